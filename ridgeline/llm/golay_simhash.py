@@ -247,16 +247,11 @@ def spheres(prints: DataFrame) -> DataFrame:
     return named.select("fp", least.alias("a")).where("a < fp").select("a", F.col("fp").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, largest: int = 20_000) -> DataFrame:
-    """(doc_id, fp, component_id) of each row of docs(doc_id, text).
-
-    component_id is the smallest doc_id reachable over links of at most four bits. Null
-    and empty texts have fingerprint zero and are linked like any other; equal rows get equal
-    results; a null doc_id is never the smallest unless it is alone with nulls; other columns are
-    ignored; an empty table gives no rows.
-    """
+def _classified(docs: DataFrame, words: int, largest: int) -> DataFrame:
+    """(doc_id, hash, fp, root, component_id): root names the component by one of its fingerprints."""
     text_batches(docs.sparkSession)
-    prints = materialize(docs.select(F.col("doc_id").alias("doc_id"), fingerprint_column(F.col("text"), words).alias("fp")), "prints")
+    text = F.coalesce("text", F.lit(""))
+    prints = materialize(docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("hash"), fingerprint_column(F.col("text"), words).alias("fp")), "prints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     edges = materialize(links(classes, largest), "links")
     dense = edges.where("a = b").select(F.col("a").alias("fp")).distinct()
@@ -267,7 +262,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, largest: int = 20_000)
     of = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     of = materialize(of, "roots")
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(of.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(of.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "hash", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, largest: int = 20_000) -> DataFrame:
+    """(doc_id, fp, component_id) of each row of docs(doc_id, text).
+
+    component_id is the smallest doc_id reachable over links of at most four bits. Null and empty
+    texts have fingerprint zero and are linked like any other; equal rows get equal results; a null
+    doc_id is the smallest of none but nulls; other columns are ignored; an empty table gives no rows.
+    """
+    return _classified(docs, words, largest).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, largest: int = 20_000) -> DataFrame:
+    """One row of docs of each component, all columns: that of the smallest doc_id, then the smallest text hash."""
+    found = _classified(docs, words, largest)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first"))
+    keepers = first.select(F.col("first.doc_id").alias("__id"), F.col("first.hash").alias("__hash"))
+    own = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = own.join(keepers, own["doc_id"].eqNullSafe(keepers["__id"]) & (own["__own"] == keepers["__hash"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
 
 
 def hex_column(fp: str) -> Column:
