@@ -1 +1 @@
-"""Ridgeline."""
+"""Sensor-series scoring and highlight analytics on Spark."""

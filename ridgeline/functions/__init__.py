@@ -1 +1 @@
-"""Ridgeline."""
+"""Scalar expressions over columns."""
