@@ -95,14 +95,14 @@ def upright_from_mean(spark, d):
     return g.select("label", "part", gates.upright(F.col("g0"), F.col("g1"), F.lit(0.0)).alias("turn"))
 
 
-_SIZE = "sizes AS (SELECT p_partkey AS id, CAST(p_size * 40 + 640 + p_partkey % 7 AS BIGINT) AS w, CAST(p_size * 20 + 480 + p_partkey % 11 * 100 AS BIGINT) AS h, CAST(p_partkey % 30 AS DOUBLE) AS deg FROM part)"
+_SIZE = "sizes AS (SELECT p_partkey AS id, CAST(p_size * 40 + 640 + p_partkey % 7 AS BIGINT) AS w, CAST(p_size * 20 + 481 + p_partkey % 11 * 100 AS BIGINT) AS h, CAST(p_partkey % 30 AS DOUBLE) AS deg FROM part)"
 _CROP = _SIZE + """, raw AS (SELECT *, CASE WHEN w * 1920 > h * 1080 THEN CAST(round_even(h * 1080 / 1920.0, 0) AS BIGINT) ELSE w END AS c0, CASE WHEN w * 1920 > h * 1080 THEN h ELSE CAST(round_even(w * 1920 / 1080.0, 0) AS BIGINT) END AS c1 FROM sizes),
 crops AS (SELECT id, w, h, deg, least(w, c0 - c0 % 2) AS cw, least(h, c1 - c1 % 2) AS ch FROM raw)"""
 
 
 def _sizes(spark, d):
     k, s = F.col("p_partkey"), F.col("p_size")
-    return read(spark, d, "part").select(k.alias("id"), (s * 40 + 640 + k % 7).cast("long").alias("w"), (s * 20 + 480 + k % 11 * 100).cast("long").alias("h"), (k % 30).cast("double").alias("deg"))
+    return read(spark, d, "part").select(k.alias("id"), (s * 40 + 640 + k % 7).cast("long").alias("w"), (s * 20 + 481 + k % 11 * 100).cast("long").alias("h"), (k % 30).cast("double").alias("deg"))
 
 
 def _crops(spark, d):

@@ -47,7 +47,7 @@ def seconds(spark: SparkSession, d: str) -> DataFrame:
 
 
 SEGMENTS = """segments AS (SELECT d.doc_id AS id, d.source AS content_hash, d.lang, d.doc_id % 50 AS slot, CAST(d.doc_id % 400 AS DOUBLE) AS t_in,
-  CAST(d.doc_id % 400 + 10 + d.n_chars % 21 AS DOUBLE) AS t_out, d.n_chars / 1000.0 AS score, d.n_chars,
+  CAST(d.doc_id % 400 + 10 + d.n_chars % 21 AS DOUBLE) AS t_out, d.n_chars / 1009.0 AS score, d.n_chars,
   CASE WHEN l.quality IS NULL THEN 'candidate' WHEN l.quality = 1 THEN 'approved' ELSE 'rejected' END AS status,
   CASE WHEN l.toxic = 1 THEN 'toxic' WHEN d.doc_id % 2 = 0 THEN 'dull' END AS reason,
   CASE WHEN d.doc_id % 3 = 0 THEN d.doc_id % 400 + (d.doc_id % 7 - 3) * 0.25 END AS t_in_user,
@@ -62,7 +62,7 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
     t_in, t_out = i % 400, i % 400 + 10 + n % 21
     return docs.join(labels, "doc_id", "left").select(
         i.alias("id"), F.col("source").alias("content_hash"), "lang", (i % 50).alias("slot"), t_in.cast("double").alias("t_in"), t_out.cast("double").alias("t_out"),
-        (n / 1000.0).alias("score"), n, status.alias("status"), F.when(F.col("toxic") == 1, "toxic").when(i % 2 == 0, "dull").alias("reason"),
+        (n / 1009.0).alias("score"), n, status.alias("status"), F.when(F.col("toxic") == 1, "toxic").when(i % 2 == 0, "dull").alias("reason"),
         F.when(i % 3 == 0, t_in + (i % 7 - 3) * 0.25).alias("t_in_user"), F.when(i % 5 == 0, t_out + (i % 9 - 2) * 0.5).alias("t_out_user"),
     )
 

@@ -67,7 +67,7 @@ def log(spark, d):
     return m.segments(spark, d).where("status <> 'candidate'").select("id", F.col("content_hash").alias("grp"), "score", "n_chars", "t_in", "slot", (F.col("status") == "approved").cast("int").alias("label"))
 
 
-@query("fit_matrix", f"WITH {_LOG}, f AS (SELECT l.id, l.label, CASE WHEN l.id % 7 > 0 THEN score END AS speed, s.slot * 1.0 AS turn, CASE WHEN l.id % 11 > 0 THEN 0.5 ELSE 0.0 END AS jump FROM log l JOIN segments s ON l.id = s.id) SELECT id, label, round(speed, 6) AS speed, turn, jump, speed IS NOT NULL AS usable FROM f")
+@query("fit_matrix", f"WITH {_LOG}, f AS (SELECT l.id, l.label, CASE WHEN l.id % 7 > 0 THEN l.score END AS speed, s.slot * 1.0 AS turn, CASE WHEN l.id % 11 > 0 THEN 0.5 ELSE 0.0 END AS jump FROM log l JOIN segments s ON l.id = s.id) SELECT id, label, round(speed, 6) AS speed, turn, jump, speed IS NOT NULL AS usable FROM f")
 def fit_matrix(spark, d):
     own = log(spark, d)
     i = F.col("id")
