@@ -144,7 +144,7 @@ def decode_column(ids: Column, path: str) -> Column:
     @F.pandas_udf("string")
     def text(batches: pd.Series) -> pd.Series:
         own = codec(path)
-        return pd.Series([None if x is None else own.decode(x.tolist()) for x in batches], dtype=object)
+        return pd.Series([None if x is None else own.decode(list(x)) for x in batches], dtype=object)
 
     return text(ids)
 

@@ -1,16 +1,19 @@
 """Deletes repeated runs of lines, found with a suffix array over line ids.
 
 Lines that hold a word become ids; every document is a sequence of them, and a suffix starts at
-every line. The suffix array is built by distributed prefix doubling: the rank of a suffix by its
-first 2k lines is the rank of the pair (rank by k lines here, rank by k lines k lines further on).
-Ranks come from a range exchange of the distinct pairs, counted before the exchange, so a line that
-opens a third of all suffixes is one row there. A suffix that shares its prefix with no other is
-final and leaves; the suffixes of one rank are an interval of the suffix array whose members share k
-lines. The levels are then walked downwards, by which every suffix grows to its exact longest common
-prefix with another: the LCP interval that it is a leaf of.
-
-Of the occurrences of a run, the first in the order of (doc_id, text hash, line) stays and the later
-ones go, if the run has at least two lines or is one line with at least 49 blanks (50 words).
+every line that occurs elsewhere and ends before the first that does not. The suffix array is built
+by distributed prefix doubling: the rank of a suffix by its first 2k lines is the rank of the pair
+(rank by k lines here, rank by k lines k lines further on). Ranks come from a range exchange of the
+distinct pairs, counted before the exchange, so a line that opens a third of all suffixes is one row
+there. Doubling ends when no two suffixes share so many lines.
+
+The suffixes of one rank are an LCP interval: a stretch of the suffix array whose members share k
+lines. Of the occurrences of an interval's run, the first in the order of (doc_id, text hash, line)
+stays and the later ones go, if the run has at least two lines or is one line with at least 49 blanks
+(50 words). A maximal run of n lines is covered by the intervals of the power of two below n at each
+of its lines, so the rounds' intervals delete exactly what all intervals do. The LCP array proper is
+read off for neighbours in the suffix array by comparing ranks from the longest prefix down, and
+tells the longest run that each document shares.
 
 Only built-in functions are used. Positions are longs: the document's number times 2**25 plus the
 line, so a document may have 33 million lines with words and there may be 2**38 documents.
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import dense_ids, drop_table, materialize, ordered_ids
+from ridgeline.llm.common import dense_ids, materialize, ordered_ids
 
 LINE_BITS = 25
 LONG_BLANKS = 49
@@ -52,52 +55,51 @@ def sequences(docs: DataFrame) -> DataFrame:
     return dense_ids(placed, ["doc_id", "hash"], "doc")
 
 
-def _ranked(pairs: DataFrame, keys: list[str], rank: str) -> DataFrame:
-    """The keys that occur more than once, with their first position and a rank in the keys' order."""
-    names = pairs.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("at").alias("first")).where("__n > 1")
-    return ordered_ids(names.select(*keys, "first"), keys, rank)
-
-
 def doubling(lines: DataFrame) -> list[DataFrame]:
-    """Tables (at, rank, first) for prefixes of 1, 2, 4, ... lines, of the suffixes that share them with another.
+    """Tables (at, rank, whole, n, first), the i-th for prefixes of 2**i lines, of the suffixes that begin with a line that
+    occurs elsewhere. lines has (at, h1, h2).
 
-    lines has (at, h1, h2). rank orders the prefixes; first is the first position with that prefix.
+    rank orders the prefixes, one that ends early before its continuations; whole tells that it does not end early; n and
+    first are the number and the first position of the suffixes of that rank.
     """
-    levels = [materialize(lines.join(_ranked(lines, ["h1", "h2"], "rank"), ["h1", "h2"]).select("at", "rank", "first"), "level1")]
+    names = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1")
+    own = lines.select("at", "h1", "h2").join(ordered_ids(names, ["h1", "h2"], "rank"), ["h1", "h2"])
+    levels = [materialize(own.select("at", "rank", F.lit(True).alias("whole"), "n", "first"), "level1")]
     k = 1
-    while levels[-1].limit(1).count():
+    while levels[-1].where("whole and n > 1").limit(1).count():
         ahead = W.partitionBy(F.shiftright("at", LINE_BITS)).orderBy("at").rangeBetween(k, k)
-        pairs = levels[-1].select("at", "rank", F.first("rank").over(ahead).alias("next")).where("next is not null")
-        named = _ranked(pairs, ["rank", "next"], "longer")
+        far = F.first(F.struct("rank", "whole")).over(ahead)
+        pairs = levels[-1].select("at", "rank", far.alias("__far"), F.col("whole").alias("__near"))
+        pairs = pairs.select("at", "rank", F.coalesce("__far.rank", F.lit(-1).cast("long")).alias("next"), (F.col("__near") & F.coalesce("__far.whole", F.lit(False))).alias("whole"))
+        names = pairs.groupBy("rank", "next").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+        ranked = ordered_ids(names, ["rank", "next"], "longer")
         k *= 2
-        levels.append(materialize(pairs.join(named, ["rank", "next"]).select("at", F.col("longer").alias("rank"), "first"), f"level{k}"))
-    drop_table(levels.pop())
+        levels.append(materialize(pairs.join(ranked, ["rank", "next"]).select("at", F.col("longer").alias("rank"), "whole", "n", "first"), f"level{k}"))
     return levels
 
 
-def longest_common_prefixes(levels: list[DataFrame]) -> DataFrame | None:
-    """(at, lcp, first) of each suffix that shares a line with another: the lcp-value of the smallest
-    LCP interval that holds it, which is the larger of those to its neighbours in the suffix array,
-    and the interval's first position. None without levels."""
-    grown = None
-    for i in reversed(range(len(levels))):
-        k, own = 1 << i, levels[i]
-        if grown is not None:
-            beyond = own.select(F.col("at").alias("__to"), F.col("rank").alias("__rank"))
-            tried = grown.withColumn("__to", F.col("at") + F.col("lcp")).join(beyond, "__to", "left").drop("__to")
-            share = ["lcp", "first", "__rank"]
-            classes = tried.where("__rank is not null").groupBy(*share).agg(F.count("*").alias("__n"), F.min("at").alias("__first")).where("__n > 1")
-            wider = tried.join(classes, share, "left")
-            longer = F.col("__n").isNotNull()
-            before = grown
-            entering = own.join(grown.select("at"), "at", "left_anti").select("at", F.lit(k).cast("long").alias("lcp"), "first")
-            grown = wider.select("at", (F.col("lcp") + F.when(longer, k).otherwise(0)).cast("long").alias("lcp"), F.when(longer, F.col("__first")).otherwise(F.col("first")).alias("first")).union(entering)
-            grown = materialize(grown, "lcp")
-            if i < len(levels) - 2:
-                drop_table(before)
-        else:
-            grown = own.select("at", F.lit(k).cast("long").alias("lcp"), "first")
-    return grown
+def longest_common_prefixes(levels: list[DataFrame]) -> DataFrame:
+    """(at, lcp): the larger LCP of each suffix with its neighbours in the suffix array, which no other suffix exceeds."""
+    ranks = levels[0].select("at", F.array(F.when(F.col("whole"), F.col("rank"))).alias("ranks"))
+    for level in levels[1:-1]:
+        ranks = ranks.join(level.where("whole and n > 1").select("at", "rank"), "at", "left").select("at", F.concat("ranks", F.array("rank")).alias("ranks"))
+    ranks = materialize(ranks, "ranks")
+    order = materialize(dense_ids(levels[-1].select("at", "rank"), ["rank", "at"], "i"), "suffixes")
+    before = order.select((F.col("i") + 1).alias("i"), F.col("at").alias("b"))
+    left = order.select("i", F.col("at").alias("a")).join(before, "i").select("a", "b", F.lit(0).cast("long").alias("lcp"))
+    done = None
+    for step in range(len(levels)):  # each step adds a smaller power of two
+        here, there = ranks.select(F.col("at").alias("__a"), F.col("ranks").alias("__ra")), ranks.select(F.col("at").alias("__b"), F.col("ranks").alias("__rb"))
+        both = left.withColumn("__a", F.col("a") + F.col("lcp")).withColumn("__b", F.col("b") + F.col("lcp")).join(here, "__a", "left").join(there, "__b", "left")
+        same = F.coalesce(F.size(F.filter(F.zip_with("__ra", "__rb", lambda x, y: x == y), lambda z: F.coalesce(z, F.lit(False)))), F.lit(0))
+        met = both.select("a", "b", "lcp", same.alias("same"))
+        met = materialize(met.select("a", "b", (F.col("lcp") + F.when(F.col("same") > 0, F.pow(F.lit(2.0), F.col("same") - 1)).otherwise(0)).cast("long").alias("lcp"), "same"), f"lcp{step}")
+        ended = met.where("same < 2").select("a", "b", "lcp")
+        done = ended if done is None else done.union(ended)
+        left = met.where("same >= 2").select("a", "b", "lcp")
+        if not left.limit(1).count():
+            break
+    return done.select("lcp", F.explode(F.array("a", "b")).alias("at")).groupBy("at").agg(F.max("lcp").alias("lcp"))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -106,17 +108,14 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     found = materialize(sequences(docs), "sequences")
     lines = found.select("doc", F.posexplode("lines").alias("__i", "__s")).select((F.shiftleft("doc", LINE_BITS) + F.col("__i")).alias("at"), "__s.h1", "__s.h2", F.col("__s.at").alias("line"), "__s.long")
     lines = materialize(lines, "lines")
-    levels = doubling(lines.select("at", "h1", "h2"))
-    if not levels:
-        return found.select("doc_id", "hash", F.array().cast("array<int>").alias("gone"), F.lit(0).cast("long").alias("longest")).where("false")
+    levels = doubling(lines)
     lcp = longest_common_prefixes(levels)
-    # The later occurrences of every interval: of its class at the greatest power of two, and of the interval itself.
-    later = lcp.where("at <> first and lcp > 1").select("at", F.col("lcp").alias("run"))
-    for i, level in enumerate(levels[1:], 1):
-        later = later.union(level.where("at <> first").select("at", F.lit(1 << i).cast("long")))
-    single = lines.where("long").join(levels[0].where("at <> first").select("at"), "at").select("at", F.lit(1).cast("long").alias("run"))
-    runs = later.union(single).groupBy("at").agg(F.max("run").alias("run"))
-    marked = lcp.select("at", "lcp").join(runs, "at", "left").join(lines.select("at", "line"), "at")
+    later = F.col("at") != F.col("first")
+    runs = lines.where("long").join(levels[0].where(later).select("at"), "at").select("at", F.lit(1).cast("long").alias("run"))
+    for i, level in enumerate(levels[1:-1], 1):
+        runs = runs.union(level.where(later & F.col("whole")).select("at", F.lit(1 << i).cast("long")))
+    runs = runs.groupBy("at").agg(F.max("run").alias("run"))
+    marked = lcp.join(lines.select("at", "line"), "at").join(runs, "at", "left")
     doc = F.shiftright("at", LINE_BITS)
     so_far = W.partitionBy(doc).orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     covered = marked.select(doc.alias("doc"), "line", "lcp", (F.max(F.col("at") + F.coalesce("run", F.lit(0))).over(so_far) > F.col("at")).alias("covered"))

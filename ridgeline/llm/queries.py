@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bit_packing, bpe_codec, golay_simhash, histogram_sort, line_dedup, m_tree, quality_rules, secret_scan, source_mix, token_counts
+from ridgeline.llm import bit_packing, bpe_codec, golay_simhash, histogram_sort, line_dedup, m_tree, oracles, quality_rules, secret_scan, source_mix, token_counts
 from ridgeline.llm.common import table, text_batches
 
 
@@ -113,4 +113,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_line_dedup": oracles.OP1,
+        "op7_m_tree": oracles.OP7,
+        "op8_source_mix": oracles.op8(DOMAINS, LANGUAGES, MIX_SHARE, MIX_EPOCHS, MIX_SEED),
+    }
