@@ -96,3 +96,22 @@ def composite(df: DataFrame, asset: str, order: list[str]) -> DataFrame:
     """
     out = df.withColumn("level_s", smooth("level", asset, order)).withColumn("s_air_d", F.coalesce(dilate(F.coalesce("s_air", F.lit(0.0)), asset, order), F.lit(0.0)))
     return out.withColumn("composite", 1 - (1 - F.coalesce("level_s", F.lit(0.0))) * (1 - AIR_GAIN * F.col("s_air_d")))
+
+
+def parse_weights(text: str) -> dict[str, float]:
+    """Weights from "rough=0.8,turn=0.2"; those not named are 0, a name that isn't a feature is an error."""
+    out = dict.fromkeys(WEIGHTS, 0.0)
+    for part in filter(None, (p.strip() for p in text.split(","))):
+        name, _, value = part.partition("=")
+        if name not in out:
+            raise ValueError(f"{name!r} is none of {', '.join(WEIGHTS)}")
+        out[name] = float(value)
+    return out
+
+
+def same_weights(a: dict[str, float], b: dict[str, float], tolerance: float = 1e-6) -> bool:
+    """Whether two sets of weights are in the same proportions."""
+    x, y = sum(a.values()), sum(b.values())
+    if x <= 0 or y <= 0:
+        return x == y
+    return all(abs(a.get(k, 0.0) / x - b.get(k, 0.0) / y) <= tolerance for k in {*a, *b})
