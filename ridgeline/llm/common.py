@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of whole texts that one Arrow batch may hold.
 TEXT_BATCH = 500
+#: Rows of a narrow intermediate table that one task writes.
+ROWS_PER_TASK = 40_000
 #: What separates words everywhere in this package.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -35,11 +37,19 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str = "step", rows: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors.
+
+    rows, if known, is a bound on the rows of a narrow table: it gets a task and a file for every
+    ROWS_PER_TASK of them at most, and is not compressed. Iterations over tables that have become small
+    then cost a few tasks and no codec buffers each.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ridgeline-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    if rows is None:
+        df.write.parquet(path)
+    else:
+        df.coalesce(max(1, -(-rows // ROWS_PER_TASK))).write.option("compression", "uncompressed").parquet(path)
     return spark.read.schema(df.schema).parquet(path).alias(name)
 
 
@@ -59,13 +69,13 @@ def ordered_ids(df: DataFrame, order: list[str | Column], name: str = "id") -> D
     return parts.withColumn(name, F.monotonically_increasing_id())
 
 
-def dense_ids(df: DataFrame, order: list[str | Column], name: str = "id") -> DataFrame:
+def dense_ids(df: DataFrame, order: list[str | Column], name: str = "id", rows: int | None = None) -> DataFrame:
     """Number the rows 0, 1, 2, ... in the given total order without a single-task window.
 
     One range exchange; the rows of each partition are counted (one row a partition) and the
     partitions' offsets, at most one a shuffle partition, are joined back.
     """
-    placed = materialize(ordered_ids(df, order, "__mono"), "placed")
+    placed = materialize(ordered_ids(df, order, "__mono"), "placed", rows)
     part = F.shiftright("__mono", 33)
     counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).collect()
     offsets, total = [], 0

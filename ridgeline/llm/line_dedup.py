@@ -55,7 +55,7 @@ def sequences(docs: DataFrame) -> DataFrame:
     return dense_ids(placed, ["doc_id", "hash"], "doc")
 
 
-def doubling(lines: DataFrame) -> list[DataFrame]:
+def doubling(lines: DataFrame, n_lines: int | None = None) -> list[DataFrame]:
     """Tables (at, rank, whole, n, first), the i-th for prefixes of 2**i lines, of the suffixes that begin with a line that
     occurs elsewhere. lines has (at, h1, h2).
 
@@ -64,7 +64,8 @@ def doubling(lines: DataFrame) -> list[DataFrame]:
     """
     names = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1")
     own = lines.select("at", "h1", "h2").join(ordered_ids(names, ["h1", "h2"], "rank"), ["h1", "h2"])
-    levels = [materialize(own.select("at", "rank", F.lit(True).alias("whole"), "n", "first"), "level1")]
+    levels = [materialize(own.select("at", "rank", F.lit(True).alias("whole"), "n", "first"), "level1", n_lines)]
+    n = levels[0].count()
     k = 1
     while levels[-1].where("whole and n > 1").limit(1).count():
         ahead = W.partitionBy(F.shiftright("at", LINE_BITS)).orderBy("at").rangeBetween(k, k)
@@ -74,7 +75,7 @@ def doubling(lines: DataFrame) -> list[DataFrame]:
         names = pairs.groupBy("rank", "next").agg(F.count("*").alias("n"), F.min("at").alias("first"))
         ranked = ordered_ids(names, ["rank", "next"], "longer")
         k *= 2
-        levels.append(materialize(pairs.join(ranked, ["rank", "next"]).select("at", F.col("longer").alias("rank"), "whole", "n", "first"), f"level{k}"))
+        levels.append(materialize(pairs.join(ranked, ["rank", "next"]).select("at", F.col("longer").alias("rank"), "whole", "n", "first"), f"level{k}", n))
     return levels
 
 
@@ -83,8 +84,9 @@ def longest_common_prefixes(levels: list[DataFrame]) -> DataFrame:
     ranks = levels[0].select("at", F.array(F.when(F.col("whole"), F.col("rank"))).alias("ranks"))
     for level in levels[1:-1]:
         ranks = ranks.join(level.where("whole and n > 1").select("at", "rank"), "at", "left").select("at", F.concat("ranks", F.array("rank")).alias("ranks"))
-    ranks = materialize(ranks, "ranks")
-    order = materialize(dense_ids(levels[-1].select("at", "rank"), ["rank", "at"], "i"), "suffixes")
+    n = levels[0].count()
+    ranks = materialize(ranks, "ranks", n)
+    order = materialize(dense_ids(levels[-1].select("at", "rank"), ["rank", "at"], "i", n), "suffixes", n)
     before = order.select((F.col("i") + 1).alias("i"), F.col("at").alias("b"))
     left = order.select("i", F.col("at").alias("a")).join(before, "i").select("a", "b", F.lit(0).cast("long").alias("lcp"))
     done = None
@@ -93,11 +95,12 @@ def longest_common_prefixes(levels: list[DataFrame]) -> DataFrame:
         both = left.withColumn("__a", F.col("a") + F.col("lcp")).withColumn("__b", F.col("b") + F.col("lcp")).join(here, "__a", "left").join(there, "__b", "left")
         same = F.coalesce(F.size(F.filter(F.zip_with("__ra", "__rb", lambda x, y: x == y), lambda z: F.coalesce(z, F.lit(False)))), F.lit(0))
         met = both.select("a", "b", "lcp", same.alias("same"))
-        met = materialize(met.select("a", "b", (F.col("lcp") + F.when(F.col("same") > 0, F.pow(F.lit(2.0), F.col("same") - 1)).otherwise(0)).cast("long").alias("lcp"), "same"), f"lcp{step}")
+        met = materialize(met.select("a", "b", (F.col("lcp") + F.when(F.col("same") > 0, F.pow(F.lit(2.0), F.col("same") - 1)).otherwise(0)).cast("long").alias("lcp"), "same"), f"lcp{step}", n)
         ended = met.where("same < 2").select("a", "b", "lcp")
         done = ended if done is None else done.union(ended)
         left = met.where("same >= 2").select("a", "b", "lcp")
-        if not left.limit(1).count():
+        n = left.count()
+        if not n:
             break
     return done.select("lcp", F.explode(F.array("a", "b")).alias("at")).groupBy("at").agg(F.max("lcp").alias("lcp"))
 
@@ -107,8 +110,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     places of the lines to delete (may be empty) and the length of its longest run that occurs elsewhere."""
     found = materialize(sequences(docs), "sequences")
     lines = found.select("doc", F.posexplode("lines").alias("__i", "__s")).select((F.shiftleft("doc", LINE_BITS) + F.col("__i")).alias("at"), "__s.h1", "__s.h2", F.col("__s.at").alias("line"), "__s.long")
-    lines = materialize(lines, "lines")
-    levels = doubling(lines)
+    n_lines = found.agg(F.sum(F.size("lines"))).first()[0] or 0
+    lines = materialize(lines, "lines", n_lines)
+    levels = doubling(lines, n_lines)
     lcp = longest_common_prefixes(levels)
     later = F.col("at") != F.col("first")
     runs = lines.where("long").join(levels[0].where(later).select("at"), "at").select("at", F.lit(1).cast("long").alias("run"))
