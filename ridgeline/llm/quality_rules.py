@@ -31,6 +31,8 @@ CONSISTENT = 1.41
 CUTOFF = 50.0
 LEAST = 50
 STEPS = 8
+#: Tables with a row a group are broadcast up to so many groups (a few hundred bytes each); beyond, they are joined by exchange.
+BROADCAST_GROUPS = 50_000
 FIXED = 1024  # fixed-point units
 _NAMES = ("x0", "x1", "x2", "x3", "x4")
 #: The least standard deviation of each statistic: most documents have no symbol or repeat at all.
@@ -149,31 +151,32 @@ def _cholesky(out: DataFrame) -> DataFrame:
     return out.select("group", *[f"m{i}" for i in range(5)], *[f"l{i}{j}" for j in range(5) for i in range(j, 5)], det.alias("det"))
 
 
-def _distance(rows: DataFrame, factors: DataFrame, name: str) -> DataFrame:
-    """rows with the squared Mahalanobis distance; null where the group has no estimate."""
+def _distance(rows: DataFrame, factors: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """rows with the squared Mahalanobis distance; null where the group has no estimate. few: the groups may be broadcast."""
     keep = rows.columns
-    out = rows.join(factors, "group", "left")
+    out = rows.join(F.broadcast(factors) if few else factors, "group", "left")
     for i in range(5):
         rest = reduce(lambda s, k: s - F.col(f"l{i}{k}") * F.col(f"y{k}"), range(i), F.col(_NAMES[i]) - F.col(f"m{i}"))
         out = out.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
     return out.select(*keep, reduce(lambda s, k: s + F.col(f"y{k}") * F.col(f"y{k}"), range(5), F.lit(0.0)).alias(name))
 
 
-def estimates(fit: DataFrame) -> DataFrame:
-    """Minimum covariance determinant estimates of the groups of fit(group, x0..x4)."""
+def estimates(fit: DataFrame, few: bool = False) -> DataFrame:
+    """Minimum covariance determinant estimates of the groups of fit(group, x0..x4). few: the groups may be broadcast."""
+    small = F.broadcast if few else lambda df: df
     # start: medians, and standard deviations from median absolute deviations, over values quantized to 1/64
     coarse = lambda c: F.round(c / (FIXED // 64)).cast("int")
     middle = fit.groupBy("group").agg(*[(F.percentile(coarse(F.col(x)), F.lit(0.5)) * (FIXED // 64)).alias(f"m{i}") for i, x in enumerate(_NAMES)])
-    off = fit.join(middle, "group").select("group", *[coarse(F.abs(F.col(x) - F.col(f"m{i}"))).alias(f"d{i}") for i, x in enumerate(_NAMES)])
+    off = fit.join(small(middle), "group").select("group", *[coarse(F.abs(F.col(x) - F.col(f"m{i}"))).alias(f"d{i}") for i, x in enumerate(_NAMES)])
     spread = off.groupBy("group").agg(*[(F.percentile(f"d{i}", F.lit(0.5)) * (FIXED // 64) * 1.4826).alias(f"w{i}") for i in range(5)])
     zero = [F.lit(0.0).alias(f"c{i}{j}") for i, j in _PAIRS if i != j]
     start = middle.join(spread, "group").select("group", *[f"m{i}" for i in range(5)], *zero, *[(F.col(f"w{i}") ** 2 + (FLOORS[i] * FIXED) ** 2).alias(f"c{i}{i}") for i in range(5)])
     factors = materialize(_cholesky(start).withColumn("det", F.lit(float("inf"))), "start")
     sums = [F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(_NAMES)], *[F.sum(F.col(_NAMES[i]) * F.col(_NAMES[j])).alias(f"p{i}{j}") for i, j in _PAIRS]]
     for _ in range(STEPS):
-        far = _distance(fit, factors, "d").withColumn("q", F.round(F.log1p("d") * 64).cast("int"))
+        far = _distance(fit, factors, "d", few).withColumn("q", F.round(F.log1p("d") * 64).cast("int"))
         near = far.groupBy("group").agg(F.percentile("q", F.lit(H)).alias("most"))
-        moments = far.join(near, "group").where("q <= most").groupBy("group").agg(*sums)
+        moments = far.join(small(near), "group").where("q <= most").groupBy("group").agg(*sums)
         after = materialize(_factors(moments), "factors")
         falls = after.alias("a").join(factors.select("group", F.col("det").alias("was")).alias("b"), "group").where("det < was - 0.001")
         settled = not falls.limit(1).count()
@@ -197,10 +200,11 @@ def quality(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     rows = materialize(rows.select("*", *_vector()), "statistics")
     groups = materialize(_groups(rows.where("not base_failed")), "groups")
+    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     named = groups.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), "group")
     same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
-    grouped = rows.join(named, same, "left").drop("__lang", "__source")
+    grouped = rows.join(F.broadcast(named) if few else named, same, "left").drop("__lang", "__source")
     fit = materialize(grouped.where("not base_failed and group is not null").select("group", *_NAMES), "vectors")
-    judged = _distance(grouped, estimates(fit), "__d")
+    judged = _distance(grouped, estimates(fit, few), "__d", few)
     kept = ~F.col("base_failed") & (F.coalesce("__d", F.lit(0.0)) <= CUTOFF)
     return judged.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
