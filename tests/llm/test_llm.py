@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ridgeline.llm import bit_packing, bpe_codec, components, golay_simhash, histogram_sort, line_dedup, m_tree, quality_rules, queries, secret_scan, source_mix, token_counts
+from ridgeline.llm import bit_packing, bpe_codec, components, golay_simhash, histogram_sort, line_dedup, m_tree, near_sets, quality_rules, queries, secret_scan, source_mix, token_counts
 from ridgeline.llm.pieces import Memo, pieces
 
 GPT = queries.tokenizer_path("byte_bpe_50k.json")
@@ -309,6 +309,37 @@ def test_near_duplicates(spark):
     assert golay_simhash.near_duplicates(df.limit(0)).count() == 0 and golay_simhash.keep_one(df.limit(0)).count() == 0
 
 
+def slow_shingles(text, n=5):
+    own = text.encode().lower().split()
+    return {b" ".join(own[i : i + n]) for i in range(len(own) - n + 1)} or {b" ".join(own)}
+
+
+def test_near_stage_links_five_word_similarity(spark):
+    """Near copies many bits apart go, and texts of a smaller similarity stay, however near their fingerprints."""
+    rng = random.Random(20)
+    texts = []
+    for i in range(40):
+        own = words(rng, rng.randrange(30, 200), 5000).split()
+        texts.append(" ".join(own))
+        for _ in range(i % 4):
+            copy = list(own)
+            for _ in range(rng.randrange(1, 1 + max(1, len(own) // 30))):
+                copy[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    passage = words(rng, 60, 5000)
+    texts += [f"{words(rng, 20, 5000)} {passage} {words(rng, 20, 5000)}" for _ in range(30)] + [passage.upper(), f" {passage} end", "", "\n", None, "one two", "One  two", "one three"]
+    rng.shuffle(texts)
+    df = docs_of(spark, texts, odd_ids=True).where("doc_id is not null")
+    sets = [slow_shingles(t or "") for t in texts]
+    sim = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    linked = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sim(sets[i], sets[j])]
+    assert any((slow_print(texts[i] or "") ^ slow_print(texts[j] or "")).bit_count() > 4 for i, j in linked)
+    root = roots(range(len(sets)), linked)
+    got = corpus_pipeline.near_stage(spark, df, None)
+    assert got.columns == df.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root.values()))
+
+
 def test_components_of_a_long_path(spark):
     rng = random.Random(11)
     names = rng.sample(range(10_000), 300)
