@@ -24,7 +24,7 @@ KINDS = ("assign", "access", "hex", "key", "token")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:\r?\n(?!-----)[A-Za-z0-9+/_-]+)*={0,2}")
 _ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _LONG = 32  # what all patterns but the first two need in a word at least
@@ -82,6 +82,44 @@ def _base64(run: str) -> bytes:
         return b""
 
 
+def _key_size(run: str) -> int | None:
+    """How many base64 characters, without padding, the DER element or OpenSSH key that the run begins with needs; None if unknown."""
+    head = _base64(run[:8])
+    if head[:1] != b"\x30" or len(head) < 6:
+        return None
+    width = head[1] & 0x7F if head[1] & 0x80 else 0
+    if width > 4:
+        return None
+    n = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+    return -(-4 * n // 3)
+
+
+def _wrapped_keys(text: str) -> list[tuple[int, int]]:
+    """Spans of wrapped base64 runs that hold a key. Lines of plain text may follow one, so it ends where its outer length says."""
+    out, at = [], 0
+    while m := _WRAPPED.search(text, at):
+        at, (start, end) = m.end(), m.span()
+        if is_private_key(_base64(m[0])):
+            out.append((start, end))
+            continue
+        need = _key_size(m[0])
+        if need is None:
+            continue
+        left = need
+        for part in re.finditer(r"[^\r\n]+", m[0]):
+            size = len(part[0].rstrip("="))
+            if size >= left:
+                cut = start + part.start() + left
+                if is_private_key(_base64(text[start:cut])):
+                    while text[cut : cut + 1] == "=" and cut < end:
+                        cut += 1
+                    out.append((start, cut))
+                    at = cut
+                break
+            left -= size
+    return out
+
+
 def _is_token(header: str, payload: str) -> bool:
     try:
         h, p = json.loads(_base64(header)), json.loads(_base64(payload))
@@ -99,7 +137,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         out += [("access", *m.span()) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
     if max(map(len, text.split()), default=0) >= _LONG:
         out += [("hex", *m.span()) for m in _HEX.finditer(text)]
-        out += [("key", *m.span()) for m in _WRAPPED.finditer(text) if is_private_key(_base64(m[0]))]
+        out += [("key", *x) for x in _wrapped_keys(text)]
         out += [("key", *m.span()) for m in _ANY_HEX.finditer(text) if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0]))]
         out += [("token", *m.span()) for m in _TOKEN.finditer(text) if _is_token(m[1], m[2])]
     order = {k: i for i, k in enumerate(KINDS)}

@@ -494,6 +494,29 @@ def test_secrets(spark):
     assert df.select(secret_scan.scan_column(F.col("text")).alias("s")).where("size(s) > 0").count() == 3  # the long run of one letter is hexadecimal
 
 
+def test_keys_in_pem_blocks_with_and_without_padding():
+    rng = random.Random(21)
+    ed25519 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, rng.randbytes(32))))
+    assert len(ed25519) == 48
+    keys = [ed25519] + [der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48")) + der(4, rng.randbytes(n))) for n in (111, 112, 113, 1165, 1166, 1167)]
+    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big")
+    keys += [ssh + rng.randbytes(n) for n in (60, 61, 62)]
+    assert {len(k) % 3 for k in keys} == {0, 1, 2}
+    for key in keys:
+        assert secret_scan.is_private_key(key)
+        own = base64.b64encode(key).decode()
+        for eol in ("\n", "\r\n"):
+            body = eol.join(own[i : i + 64] for i in range(0, len(own), 64))
+            for head, tail in (("-----BEGIN PRIVATE KEY-----" + eol, eol + "-----END PRIVATE KEY-----" + eol), ("", eol + "then words follow" + eol), ("", eol + "word" + eol + "other" + eol), ("x ", "")):
+                if key.startswith(b"openssh") and "word" in tail:
+                    continue  # it is found, but its end isn't known by a length at its head
+                found = [x for x in secret_scan.spans(head + body + tail) if x[0] == "key"]
+                assert len(found) == 1 and found[0][1:] == (len(head), len(head) + len(body)), (len(key), tail)
+    # a second key right behind the first is found as well
+    two = base64.b64encode(ed25519).decode()
+    assert [x[1:] for x in secret_scan.spans(two + "\n" + two) if x[0] == "key"] == [(0, 64), (65, 129)]
+
+
 # pipeline
 
 
