@@ -27,7 +27,7 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:\r?\n(?!-----)[A-Za-z0-9+/_-]+)*={0,2}")
 _ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_LONG = 32  # what all patterns but the first two need in a word at least
+_LONG = 32  # what the hexadecimal and base64 patterns need in a word at least
 
 
 def _der(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
@@ -139,6 +139,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         out += [("hex", *m.span()) for m in _HEX.finditer(text)]
         out += [("key", *x) for x in _wrapped_keys(text)]
         out += [("key", *m.span()) for m in _ANY_HEX.finditer(text) if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0]))]
+    if "eyJ" in text:
         out += [("token", *m.span()) for m in _TOKEN.finditer(text) if _is_token(m[1], m[2])]
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(set(out), key=lambda x: (x[1], order[x[0]], x[2]))

@@ -517,6 +517,10 @@ def test_keys_in_pem_blocks_with_and_without_padding():
     assert [x[1:] for x in secret_scan.spans(two + "\n" + two) if x[0] == "key"] == [(0, 64), (65, 129)]
 
 
+def test_a_short_token_needs_no_long_word():
+    assert secret_scan.spans("a eyJhbGciOiJub25lIn0.e30. b") == [("token", 2, 26)]
+
+
 # pipeline
 
 
