@@ -21,16 +21,17 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import shared_dir, text_batches
-from ridgeline.llm.pieces import Memo, chunks, pieces
+from ridgeline.llm.pieces import ADJACENT, BLANK, check_byte_level, chunks
 
 MAGIC = b"RLBITS01"
 BLOCK_IDS = 1 << 16
@@ -139,69 +140,107 @@ class PackedFile:
 
 
 class LibraryEncoder:
-    """Ids as the tokenizers library gives them.
+    """Ids as the tokenizers library gives them for a byte-level vocabulary.
 
-    A piece of letters, perhaps after a blank, is one pretoken whatever follows it, so a comma or full
-    stop at its end is set apart and the stems are kept longer than the pieces. New stems go to the
-    library many at a time, as one text whose pretokens they are: that saves most of the cost of a call.
+    A text is cut before each single blank or line break that stands between two other characters, which
+    no pretoken crosses. Every distinct piece goes to the library once, many joined in one call, and its
+    ids are kept in one array; a batch of texts is then looked up piece by piece and gathered at once.
+    The kept pieces are forgotten when there are more than PIECES of them, or IDS ids.
     """
 
-    STEMS = 800_000
+    PIECES, IDS = 1_000_000, 16_000_000
+    LONGEST = 64  # a longer piece is not kept
+    JOINED = 500  # pieces in one text for the library
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        check_byte_level(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # words seen before are kept here
-        self.marks = {m: self._encode([m])[0] for m in ".,"}
-        self.stems: dict[str, bytes] = {}
-        self.memo = Memo(self._of_pieces, limit=300_000)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _joined(self, stems: list[str], between: str) -> list[bytes]:
-        """The ids of stems that are pretokens of their joined text, every second one if there is something between them."""
-        encoded = self.tokenizer.encode(between.join(stems), add_special_tokens=False)
-        ids, of = np.array(encoded.ids, dtype=np.uint32), np.array(encoded.word_ids)
-        parts = np.split(ids, np.flatnonzero(np.diff(of)) + 1)[:: 2 if between else 1]
-        return [x.tobytes() for x in parts] if len(parts) == len(stems) else self._encode(stems)
-
-    def _of_stems(self, new: list[str]) -> None:
-        after, at_start = [x for x in new if x[0] == " "], [x for x in new if x[0] != " "]
-        if len(self.stems) + len(new) > self.STEMS:
-            self.stems = {}
-        for own, between in ((after, ""), (at_start, "\n")):
-            for i in range(0, len(own), 2000):
-                part = own[i : i + 2000]
-                self.stems.update(zip(part, self._joined(part, between), strict=True))
-
-    def _of_pieces(self, new: list[str]) -> list[bytes]:
-        cut, rest = [], []
-        for piece in new:
-            mark = piece[-1] if piece[-1] in ".," else ""
-            stem = piece[:-1] if mark else piece
-            if (stem[1:] if stem[:1] == " " else stem).isalpha():
-                cut.append((stem, mark))
-            else:
-                cut.append(None)
-                rest.append(piece)
-        wanted = {c[0] for c in cut if c}
-        missing = [x for x in wanted if x not in self.stems]
-        if len(self.stems) + len(missing) > self.STEMS:
-            missing = list(wanted)
-        self._of_stems(missing)
-        others = iter([x for i in range(0, len(rest), 2000) for x in self._encode(rest[i : i + 2000])])
-        return [self.stems[c[0]] + (self.marks[c[1]] if c[1] else b"") if c else next(others) for c in cut]
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)  # of ids that begin with a blank or line break
+        self.opens[[i for x, i in vocab.items() if x[0] in "ĠĊ"]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.n = 0
+        self.first, self.size = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
+        self.ids, self.n_ids = np.zeros(1 << 14, dtype=np.uint32), 0
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def keys(text: str) -> list[str]:
+        """The pieces of a text: the first after a tab, those after a blank without it, those after a line break with it."""
+        if ADJACENT.search(text):
+            first, *rest = BLANK.split(text)
+            return ["\t" + first, *[x[1:] for x in rest]]
+        out = text.replace("\n", " \n").split(" ")
+        out[0] = "\t" + out[0]
+        return out
+
+    @staticmethod
+    def _piece(key: str) -> str:
+        return key[1:] if key[:1] == "\t" else key if key[:1] == "\n" else " " + key
+
+    def _learn(self, new: list[str]) -> None:
+        """Give every new key a number and keep its ids."""
+        plain, rest = [], []
+        for key in new:
+            body = key[1:] if key[:1] == "\n" else key
+            # without white space and not at a text's head: these may be joined in any order
+            (plain if key[:1] != "\t" and body.split() == [body] else rest).append(key)
+        for i in range(0, len(plain), 40 * self.JOINED):
+            groups = [plain[j : j + self.JOINED] for j in range(i, min(i + 40 * self.JOINED, len(plain)), self.JOINED)]
+            for group, ids in zip(groups, self._encode(["".join(map(self._piece, g)) for g in groups]), strict=True):
+                at = np.flatnonzero(self.opens[ids])
+                if len(at) == len(group) and at[0] == 0:
+                    self._keep(group, ids, np.diff(np.r_[at, len(ids)]))
+                else:
+                    rest += group
+        for i in range(0, len(rest), self.JOINED):
+            part = rest[i : i + self.JOINED]
+            own = self._encode(list(map(self._piece, part)))
+            self._keep(part, np.concatenate(own), np.fromiter(map(len, own), dtype=np.int64, count=len(own)))
+
+    def _keep(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.n + len(keys) > len(self.first):
+            self.first, self.size = (np.r_[x, np.zeros(len(x), dtype=np.int64)] for x in (self.first, self.size))
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros(len(self.ids), dtype=np.uint32)]
+        self.index.update(zip(keys, range(self.n, self.n + len(keys)), strict=True))
+        self.first[self.n : self.n + len(keys)] = self.n_ids + np.cumsum(sizes) - sizes
+        self.size[self.n : self.n + len(keys)] = sizes
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n += len(keys)
+        self.n_ids += len(ids)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [pieces(x) for x in texts]
-        ids = self.memo(cut)
-        return [np.frombuffer(b"".join(map(ids.__getitem__, c)), dtype=np.uint32) for c in cut]
+        cut = [self.keys(x) for x in texts]
+        flat = list(chain.from_iterable(cut))
+        at = np.fromiter(map(self.index.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = set(map(flat.__getitem__, missing.tolist()))
+            if self.n and (self.n + len(new) > self.PIECES or self.n_ids > self.IDS):
+                self._forget()
+                new, missing = set(flat), np.arange(len(flat))
+            self._learn(list(new))
+            at[missing] = np.fromiter(map(self.index.__getitem__, map(flat.__getitem__, missing.tolist())), dtype=np.int64, count=len(missing))
+            for key in [k for k in new if len(k) > self.LONGEST]:
+                del self.index[key]
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.first[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.r_[0, ends][np.cumsum([0, *map(len, cut)])]
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -227,21 +266,20 @@ def write_packed(docs: DataFrame, tokenizer: str, end_id: int | None = 0, folder
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     system.create_dir(at, recursive=True)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, out, task = encoder(tokenizer), None, TaskContext.get()
         bits = bits_for(own.tokenizer.get_vocab_size(with_added_tokens=True))
         path = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.bits"
         end = np.zeros(0, dtype=np.uint32) if end_id is None else np.array([end_id], dtype=np.uint32)
         for batch in batches:
-            ids = iter(batch["__doc"].astype(object).where(batch["__doc"].notna(), None).tolist())
-            for texts in chunks(batch["__text"].tolist()):
+            ids = iter(batch.column(0).to_pylist())  # Python integers and None: exact whatever their size
+            for texts in chunks(batch.column(1).to_pylist()):
                 for encoded in own.encode_batch(texts):
                     out = out or PackedWriter(path, bits)
-                    doc = next(ids)
-                    out.add(None if doc is None else int(doc), np.concatenate([encoded, end]))
+                    out.add(next(ids), np.concatenate([encoded, end]))
         if out:
             out.close()
-            yield pd.DataFrame({"part": [task.partitionId()], "path": [path], "n_docs": [len(out.doc_ids)], "n_ids": [out.n_ids]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "path": [path], "n_docs": [len(out.doc_ids)], "n_ids": [out.n_ids]})
 
     placed = (
         docs.select(F.col("doc_id").cast("long").alias("__doc"), F.coalesce("text", F.lit("")).alias("__text"))
@@ -250,7 +288,7 @@ def write_packed(docs: DataFrame, tokenizer: str, end_id: int | None = 0, folder
         .sortWithinPartitions("__doc", "__tie")
         .select("__doc", "__text")
     )
-    files = placed.mapInPandas(write, "part int, path string, n_docs long, n_ids long").collect()  # a row a file
+    files = placed.mapInArrow(write, "part int, path string, n_docs long, n_ids long").collect()  # a row a file
     start, listed = 0, []
     for f in sorted(files, key=lambda r: r["part"]):
         listed.append({"path": f["path"], "start": start, "n_docs": f["n_docs"], "n_ids": f["n_ids"]})
@@ -266,9 +304,9 @@ def read_packed(spark, folder: str) -> DataFrame:
     with system.open_input_stream(f"{at}/manifest.json") as f:
         files = json.loads(f.read())["files"]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, start in zip(batch["path"], batch["start"], strict=True):
+            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own, i = PackedFile(path), 0
                 while i < len(own.docs):
                     # as many documents as about a million ids hold
@@ -277,13 +315,12 @@ def read_packed(spark, folder: str) -> DataFrame:
                     base = int(own.starts[i])
                     ids = own.read(base, int(own.starts[j])).astype("<u4")
                     crcs = [zlib.crc32(ids[int(own.starts[k]) - base : int(own.starts[k + 1]) - base].tobytes()) for k in range(i, j)]
-                    docs = pd.array(own.docs[i:j], dtype="Int64")
-                    docs[own.missing[i:j]] = pd.NA
-                    yield pd.DataFrame({"doc_id": docs, "start": own.starts[i:j] + start, "n_tokens": np.diff(own.starts[i : j + 1]), "ids_crc32": crcs})
+                    columns = [pa.array(own.docs[i:j], mask=own.missing[i:j]), own.starts[i:j] + start, np.diff(own.starts[i : j + 1]), pa.array(crcs, pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                     i = j
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not files:
         return spark.createDataFrame([], schema)
     rows = spark.createDataFrame([(f["path"], f["start"]) for f in files], "path string, start long")
-    return rows.repartition(len(files)).mapInPandas(read, schema)
+    return rows.repartition(len(files)).mapInArrow(read, schema)

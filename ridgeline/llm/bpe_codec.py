@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ridgeline.llm.pieces import Memo, chunks, pieces
+from ridgeline.llm.pieces import Memo, check_byte_level, chunks, pieces
 
 #: The split of byte-level vocabularies (fixed value, from the tokenizer's definition).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,6 +38,7 @@ class BpeCodec:
     """A byte-level BPE vocabulary in the tokenizers library's JSON format."""
 
     def __init__(self, path: str):
+        check_byte_level(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

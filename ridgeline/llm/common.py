@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of whole texts that one Arrow batch may hold.
-TEXT_BATCH = 500
+#: Bytes that one Arrow batch of whole texts may hold, or one text.
+TEXT_BATCH = "4m"
 #: Rows of a narrow intermediate table that one task writes.
 ROWS_PER_TASK = 40_000
 #: What separates words everywhere in this package.
@@ -21,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Keep the batches that go to Python small: texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    """Bound the bytes of the batches that go to Python: texts may be long. Batches of narrow rows stay as they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BATCH)
 
 
 def shared_dir(spark: SparkSession) -> str:

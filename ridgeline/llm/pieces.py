@@ -7,19 +7,31 @@ pieces repeat a great deal, so what a tokenizer makes of one is kept in a bounde
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable
 
-_ADJACENT = re.compile(r"\s\s")
-_BLANK = re.compile(r"(?<=\S)(?= \S)")
+ADJACENT = re.compile(r"\s\s")
+BLANK = re.compile(r"(?<=\S)(?= \S)")
+
+
+def check_byte_level(path: str) -> None:
+    """Raise for a tokenizer file that cuts or changes texts in another way than pieces() assumes."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cut = spec.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    marks = [x for x in spec.get("added_tokens") or [] if x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") or x["content"].split() != [x["content"]]]
+    if spec.get("normalizer") or not plain or marks or spec["model"].get("type") != "BPE":
+        raise ValueError(f"{path} is not a plain byte-level vocabulary")
 
 
 def pieces(text: str) -> list[str]:
     """Cut a text; joined, the pieces are the text again."""
     if not text:
         return []
-    if "\0" in text or _ADJACENT.search(text):
-        return _BLANK.split(text)
+    if "\0" in text or ADJACENT.search(text):
+        return BLANK.split(text)
     return [p for p in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if p]
 
 

@@ -31,6 +31,10 @@ class TokenCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        if kinds != ["NFC", "Replace", "Lowercase"] or (cut[0].get("pattern") or {}).get("Regex") != PATTERN or spec["model"].get("type") != "BPE":
+            raise ValueError(f"{path} is not a lower-casing vocabulary with the split that is counted here")
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
         self.width = max(vocab.values()) + 1
         symbols = byte_symbols()

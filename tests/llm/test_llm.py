@@ -121,6 +121,31 @@ def test_packed_files(spark, library):
     assert bit_packing.read_packed(spark, bit_packing.write_packed(df.limit(0), GPT)).count() == 0
 
 
+def test_packed_ids_beside_null_ones_stay_exact(spark):
+    big = (1 << 60) + 1
+    rows = [(None, "none"), (big, "a"), (big + 1, "b"), (-big, None), ((1 << 63) - 1, "last"), (big, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = bit_packing.read_packed(spark, bit_packing.write_packed(df, GPT)).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, -big, big, big, big + 1, (1 << 63) - 1]
+
+
+def test_library_encoder_forgets_and_stays_right(library, monkeypatch):
+    monkeypatch.setattr(bit_packing.LibraryEncoder, "PIECES", 60)
+    own, texts = bit_packing.LibraryEncoder(GPT), [t for t in ODD if t is not None] + noise(500, 22) + ["a\tb c\n\nd", " x", "x ", "\nx", "x\n", "x\ny z\n"]
+    for i in range(0, len(texts), 7):
+        for text, ids in zip(texts[i : i + 7], own.encode_batch(texts[i : i + 7]), strict=True):
+            assert ids.tolist() == library[GPT].encode(text, add_special_tokens=False).ids
+    assert own.encode_batch([]) == [] and own.n < 2000
+
+
+def test_other_kinds_of_vocabulary_are_refused():
+    for kind in (bit_packing.LibraryEncoder, bpe_codec.BpeCodec):
+        with pytest.raises(ValueError):
+            kind(WORD)
+    with pytest.raises(ValueError):
+        token_counts.TokenCounter(GPT)
+
+
 # op1: line dedup
 
 
