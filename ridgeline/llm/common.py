@@ -37,17 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "step", rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", rows: int | None = None, file_rows: int = 0) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors.
 
     rows, if known, is a bound on the rows of a narrow table: it gets a task and a file for every
     ROWS_PER_TASK of them at most, and is not compressed. Iterations over tables that have become small
-    then cost a few tasks and no codec buffers each.
+    then cost a few tasks and no codec buffers each. file_rows, if given, is the most rows of a file.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ridgeline-{uuid.uuid4().hex}/{name}"
     if rows is None:
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     else:
         df.coalesce(max(1, -(-rows // ROWS_PER_TASK))).write.option("compression", "uncompressed").parquet(path)
     return spark.read.schema(df.schema).parquet(path).alias(name)

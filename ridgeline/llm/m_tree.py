@@ -8,16 +8,20 @@ search keeps nodes in a heap by the least distance that they can hold, and skips
 stored parent distance already shows, by the triangle inequality, that they are too far, without
 computing theirs. Scores are exact integers; bounds leave room for rounding, so ties are not lost.
 
-Queries are taken in blocks of BLOCK rows, each sent once to the tasks that hold the trees; every
-tree answers with its best k, and the best k of those are kept.
+The queries are written to files of at most BLOCK rows in the shared folder. A task makes its tree once
+and reads block after block; every tree answers with its best k, and the best k of those are kept.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,7 +31,7 @@ from ridgeline.llm.common import materialize
 PAGE = 64
 TREE_ROWS = 16_384
 BLOCK = 4_096
-_EXACT = 1 << 28  # components below this have inner products of 64 terms or more within a long
+_EXACT = 1 << 62  # inner products that may exceed this are made of Python's integers
 
 
 class Node:
@@ -41,8 +45,9 @@ class Node:
 
 class MTree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.objects = ids, vectors, None
         own = vectors.astype(np.float64)
+        self.largest = max(int(vectors.max()), -int(vectors.min())) if vectors.size else 0
         norms = (own**2).sum(axis=1)
         self.most = float(norms.max()) if len(norms) else 0.0
         self.points = np.c_[own, np.sqrt(np.maximum(self.most - norms, 0))]
@@ -101,7 +106,10 @@ class MTree:
         base = float((point**2).sum()) + self.most
         slack = 1e-6 * (1 + np.sqrt(base))
         limit = np.inf
-        exact = query if self.vectors.dtype != object else query.astype(object)
+        wide = self.largest * max(map(abs, query.tolist()), default=0) * len(query) >= _EXACT
+        if wide and self.objects is None:
+            self.objects = self.vectors.astype(object)
+        vectors, exact = (self.objects, query.astype(object)) if wide else (self.vectors, query)
         heap, n = [(0.0, 0, self.root, None)], 1
         while heap:
             bound, _, node, gap = heapq.heappop(heap)
@@ -122,7 +130,7 @@ class MTree:
                         n += 1
                 continue
             rows = node.rows[at]
-            scores = self.vectors[rows] @ exact
+            scores = vectors[rows] @ exact
             if len(best) == k:
                 rows, scores = rows[scores >= best[0][0]], scores[scores >= best[0][0]]
             for row, score in zip(rows.tolist(), scores.tolist(), strict=True):
@@ -144,18 +152,32 @@ def quantized(vector: Column, scale: int) -> Column:
     return F.when(~F.exists(vector, bad), F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
 
 
-def _answers(sent, block: int, k: int):
-    """The function that makes a group's tree and searches it for all queries of a block."""
+def _blocks(paths: list[str], read: Callable[[str], pa.Table]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(place, vec_id, vector) of the queries in the files."""
+    for i, path in enumerate(paths):
+        own = read(path)
+        ids, vectors = own.column("vec_id").to_numpy(), own.column("v").combine_chunks()
+        ends, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy()
+        for j, query_id in enumerate(ids.tolist()):
+            yield (i << 32) + j, query_id, flat[ends[j] : ends[j + 1]]
+
+
+def _read(path: str) -> pa.Table:
+    system, at = fs.FileSystem.from_uri(path)
+    return pq.read_table(at, filesystem=system, columns=["vec_id", "v"])
+
+
+def _answers(paths: list[str], k: int):
+    """The function that makes a group's tree and searches it for all queries. A score is high * 2**63 + low."""
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         vectors = np.stack(group["v"].tolist())
-        if vectors.size and np.abs(vectors).max() >= _EXACT:
-            vectors = vectors.astype(object)
         tree, found = MTree(group["vec_id"].to_numpy(), vectors), []
-        for i, (query_id, query) in enumerate(sent.value):
+        for place, query_id, query in _blocks(paths, _read):
             if len(query) == vectors.shape[1]:
-                found += [(block, i, query_id, other, score) for score, other in tree.search(query_id, query, k)]
-        return pd.DataFrame(found, columns=["block", "query", "query_id", "vec_id", "score"])
+                found += [(place, query_id, other, *divmod(score, 1 << 63)) for score, other in tree.search(query_id, query, k)]
+        out = pd.DataFrame(found, columns=["query", "query_id", "vec_id", "high", "low"])
+        return out.assign(high=[max(-(1 << 63), min((1 << 63) - 1, x)) for x in out["high"]]).astype("int64")
 
     return answer
 
@@ -165,26 +187,19 @@ def top_k(rows: DataFrame, k: int = 5, scale: int = 256, every: int = 50, tree_r
 
     Vectors that are null or hold null or non-finite components take no part, nor do null ids; equal
     rows count once; only vectors of a query's length are its candidates. Fewer than k candidates give
-    fewer rows, an empty table none. Other columns are ignored.
+    fewer rows, an empty table none. Components beyond a long after scaling are the nearest long; a score
+    beyond one is given as the nearest long, but takes its place by its exact value (up to 126 bits).
+    Other columns are ignored.
     """
-    spark = rows.sparkSession
     own = rows.select("vec_id", quantized(F.col("embedding"), scale).alias("v")).where("vec_id is not null and v is not null")
     own = materialize(own.dropDuplicates(["vec_id", "v"]), "vectors")
-    n = own.count()
-    n_trees = max(1, -(-n // tree_rows))
+    n_trees = max(1, -(-own.count() // tree_rows))
     queries = own.where(F.col("vec_id") % every == 0)
-    n_blocks = -(-queries.count() // BLOCK)
+    paths = materialize(queries, "queries", file_rows=BLOCK).inputFiles()  # names only: the tasks read the files
     dealt = own.withColumn("tree", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_trees))).withColumn("dim", F.size("v"))
-    out = None
-    for b in range(n_blocks):
-        mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).toPandas()  # about BLOCK rows
-        sent = spark.sparkContext.broadcast([(int(i), np.asarray(v)) for i, v in zip(mine["vec_id"], mine["v"], strict=True)])
-
-        part = dealt.groupBy("tree", "dim").applyInPandas(_answers(sent, b, k), "block int, query int, query_id long, vec_id long, score long")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = W.partitionBy("block", "query").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
+    schema = "query long, query_id long, vec_id long, high long, low long"
+    found = dealt.groupBy("tree", "dim").applyInPandas(_answers(sorted(paths), k), schema)
+    order = W.partitionBy("query").orderBy(F.desc("high"), F.desc("low"), "vec_id")
+    least, most = F.lit(-(1 << 63)), F.lit((1 << 63) - 1)
+    score = F.when(F.col("high") == 0, F.col("low")).when(F.col("high") == -1, F.col("low") + least).when(F.col("high") > 0, most).otherwise(least)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
