@@ -112,12 +112,14 @@ def mix(
     plan = materialize(given.select("domain", "lang", "source", _div(F.col("budget"), F.col("available")).alias("__whole"), (F.col("budget") % F.col("available")).alias("__rest")), "plan")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     named = plan.select(*[F.col(c[2:]).alias(c) for c in leaf], "__whole", "__rest")
-    placed = rows.join(named, leaf).select(*leaf, "__rest", "__n", order.alias("__order"))
-    slices = placed.groupBy(*leaf, "__rest", F.substring("__order", 1, SLICE).alias("__slice")).agg(F.sum("__n").alias("__in"))
+    placed = rows.join(named, leaf).select(*leaf, "__rest", "__n", order.alias("__order"), F.substring(order, 1, SLICE).alias("__slice"))
+    slices = placed.groupBy(*leaf, "__rest", "__slice").agg(F.sum("__n").alias("__in"))
     before = F.coalesce(F.sum("__in").over(W.partitionBy(*leaf).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     cut = slices.withColumn("__before", before).where((F.col("__before") <= F.col("__rest")) & (F.col("__before") + F.col("__in") > F.col("__rest"))).select(*leaf, "__slice", "__before")
-    inside = placed.join(cut, leaf).where(F.substring("__order", 1, SLICE) == F.col("__slice"))
-    so_far = F.sum("__n").over(W.partitionBy(*leaf).orderBy("__order").rangeBetween(W.unboundedPreceding, W.currentRow))
+    cut = materialize(cut, "cut")  # a row a leaf
+    # the slice is part of the key, so a hot leaf's rows are dealt by its 4096 slices
+    inside = placed.join(cut, [*leaf, "__slice"])
+    so_far = F.sum("__n").over(W.partitionBy(*leaf, "__slice").orderBy("__order").rangeBetween(W.unboundedPreceding, W.currentRow))
     last = inside.withColumn("__sum", F.col("__before") + so_far).where("__sum <= __rest").groupBy(*leaf).agg(F.max("__order").alias("__last"))
     ends = materialize(named.join(cut, leaf, "left").join(last, leaf, "left").select(*leaf, "__whole", F.coalesce("__last", "__slice").alias("__last")), "ends")
     # without a last document in the slice all before the slice is taken; its name is less than any order in it
