@@ -24,10 +24,12 @@ KINDS = ("assign", "access", "hex", "key", "token")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:\r?\n(?!-----)[A-Za-z0-9+/_-]+)*={0,2}")
+#: Base64 of a DER sequence or of an OpenSSH container, perhaps over several lines: both begin with fixed bits.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3Bl)[A-Za-z0-9+/_-]{6,}(?:\r?\n(?!-----)[A-Za-z0-9+/_-]+)*={0,2}")
 _ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_LONG = 32  # what the hexadecimal and base64 patterns need in a word at least
+#: Base64 of "{" and a quote or white space, as JSON objects begin.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+_LONG = 32  # what the hexadecimal patterns need in a word at least
 
 
 def _der(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
@@ -95,31 +97,35 @@ def _key_size(run: str) -> int | None:
 
 
 def _wrapped_keys(text: str) -> list[tuple[int, int]]:
-    """Spans of wrapped base64 runs that hold a key. Lines of plain text may follow one, so it ends where its outer length says."""
+    """Spans of base64 runs that hold a key. Lines of plain text may follow one, so a DER key ends where its outer length says."""
     out, at = [], 0
     while m := _WRAPPED.search(text, at):
-        at, (start, end) = m.end(), m.span()
-        if is_private_key(_base64(m[0])):
-            out.append((start, end))
-            continue
+        start, end = m.span()
         need = _key_size(m[0])
-        if need is None:
+        cut = end if need is None else _after(m[0], need)
+        # in a run that begins with no key, one may begin at a later line
+        at = m.end() if "\n" not in m[0] else start + m[0].index("\n")
+        if cut is None or not is_private_key(_base64(text[start : start + cut] if need is not None else m[0])):
             continue
-        left = need
-        for part in re.finditer(r"[^\r\n]+", m[0]):
-            size = len(part[0].rstrip("="))
-            if size >= left:
-                cut = start + part.start() + left
-                if is_private_key(_base64(text[start:cut])):
-                    while text[cut : cut + 1] == "=" and cut < end:
-                        cut += 1
-                    out.append((start, cut))
-                    at = cut
-                break
-            left -= size
+        if need is not None:
+            end = start + cut
+            while text[end : end + 1] == "=":
+                end += 1
+        out.append((start, end))
+        at = end
     return out
 
 
+def _after(run: str, need: int) -> int | None:
+    """The place after so many base64 characters of a run, not counting line ends; None if it has fewer."""
+    left = need
+    for part in re.finditer(r"[^\r\n=]+", run):
+        if len(part[0]) >= left:
+            return part.start() + left
+        left -= len(part[0])
+    return None
+
+
 def _is_token(header: str, payload: str) -> bool:
     try:
         h, p = json.loads(_base64(header)), json.loads(_base64(payload))
@@ -129,24 +135,24 @@ def _is_token(header: str, payload: str) -> bool:
 
 
 def spans(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of all findings, by start and then kind."""
+    """(kind, start, end) of all findings, by start and then kind. A text of any length is read whole; an empty one has none."""
     out, low = [], text.lower()
     if "pass" in low or "secret" in low or "token" in low or "api" in low:
         out += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
     if "AKIA" in text:
         out += [("access", *m.span()) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
+    out += [("key", *x) for x in _wrapped_keys(text)]
     if max(map(len, text.split()), default=0) >= _LONG:
         out += [("hex", *m.span()) for m in _HEX.finditer(text)]
-        out += [("key", *x) for x in _wrapped_keys(text)]
         out += [("key", *m.span()) for m in _ANY_HEX.finditer(text) if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0]))]
-    if "eyJ" in text:
+    if "ey" in text or "ew" in text:
         out += [("token", *m.span()) for m in _TOKEN.finditer(text) if _is_token(m[1], m[2])]
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(set(out), key=lambda x: (x[1], order[x[0]], x[2]))
 
 
 def scan_column(text: Column) -> Column:
-    """array<struct(kind, start, end)> of each text."""
+    """array<struct(kind, start, end)> of each text: empty for a null one. Equal texts give equal arrays; no other column is read."""
 
     @F.pandas_udf("array<struct<kind:string,start:int,end:int>>")
     def found(batches: pd.Series) -> pd.Series:
@@ -156,7 +162,7 @@ def scan_column(text: Column) -> Column:
 
 
 def digest_column(text: Column) -> Column:
-    """struct(n_assign, n_access, n_hex, base_sha256, spans) of each text."""
+    """struct(n_assign, n_access, n_hex, base_sha256, spans) of each text, a null one as empty. No other column is read."""
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     def digests(batches: pd.Series) -> pd.DataFrame:
