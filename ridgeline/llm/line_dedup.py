@@ -9,8 +9,8 @@ there. Doubling ends when no two suffixes share so many lines.
 
 The suffixes of one rank are an LCP interval: a stretch of the suffix array whose members share k
 lines. Of the occurrences of an interval's run, the first in the order of (doc_id, text hash, line)
-stays and the later ones go, if the run has at least two lines or is one line with at least 49 blanks
-(50 words). A maximal run of n lines is covered by the intervals of the power of two below n at each
+stays and the later ones go, if the run has at least two lines or is one long line: one with at least
+49 blanks (U+0020), as a line of 50 words has that are set apart by single blanks. A maximal run of n lines is covered by the intervals of the power of two below n at each
 of its lines, so the rounds' intervals delete exactly what all intervals do. The LCP array proper is
 read off for neighbours in the suffix array by comparing ranks from the longest prefix down, and
 tells the longest run that each document shares.
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import dense_ids, materialize, ordered_ids
+from ridgeline.llm.common import dense_ids, drop_table, materialize, ordered_ids
 
 LINE_BITS = 25
 LONG_BLANKS = 49
@@ -101,13 +101,17 @@ def longest_common_prefixes(levels: list[DataFrame]) -> DataFrame:
         left = met.where("same >= 2").select("a", "b", "lcp")
         if not left.limit(1).count():
             break
+    drop_table(ranks)
+    drop_table(order)
     return done.select("lcp", F.explode(F.array("a", "b")).alias("at")).groupBy("at").agg(F.max("lcp").alias("lcp"))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, hash, gone, longest): for each distinct (doc_id, text) with a line that occurs elsewhere, the
     places of the lines to delete (may be empty) and the length of its longest run that occurs elsewhere."""
-    found = materialize(sequences(docs), "sequences")
+    placed = sequences(docs)
+    found = materialize(placed, "sequences")
+    drop_table(placed)
     lines = found.select("doc", F.posexplode("lines").alias("__i", "__s")).select((F.shiftleft("doc", LINE_BITS) + F.col("__i")).alias("at"), "__s.h1", "__s.h2", F.col("__s.at").alias("line"), "__s.long")
     n_lines = found.agg(F.sum(F.size("lines"))).first()[0] or 0
     lines = materialize(lines, "lines", n_lines)
@@ -123,7 +127,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     so_far = W.partitionBy(doc).orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     covered = marked.select(doc.alias("doc"), "line", "lcp", (F.max(F.col("at") + F.coalesce("run", F.lit(0))).over(so_far) > F.col("at")).alias("covered"))
     by_doc = covered.groupBy("doc").agg(F.collect_list(F.when(F.col("covered"), F.col("line"))).alias("gone"), F.max("lcp").alias("longest"))
-    return found.select("doc", "doc_id", "hash").join(by_doc, "doc").select("doc_id", "hash", "gone", "longest")
+    out = materialize(found.select("doc", "doc_id", "hash").join(by_doc, "doc").select("doc_id", "hash", "gone", "longest"), "runs")
+    for used in (found, lines, lcp, *levels):
+        drop_table(used)
+    return out
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
