@@ -237,6 +237,26 @@ def test_shards(spark):
     assert len(few) == 3 and few["shard"].between(0, 15).all()
 
 
+def test_equal_rows_without_ids_are_divided(spark):
+    df = spark.createDataFrame([(None, "the same text " * 10)] * 64 + [(7, "x")] * 3, "doc_id long, text string")
+    out = histogram_sort.shard_by_bytes(df, 16).toPandas()
+    assert sorted(out.groupby("shard").size())[:15] == [4] * 15 and len(out) == 67
+    assert all(sorted(x["slot"]) == list(range(len(x))) for _, x in out.groupby("shard"))
+
+
+@pytest.mark.parametrize("tasks", [1, 8, 40])
+def test_splitters_decide_where_rows_go(spark, tasks):
+    rng = random.Random(23)
+    texts = [words(rng, rng.randrange(1, 60)) for _ in range(700)] + ["hot " * 50] * 300
+    df = spark.createDataFrame([(rng.choice([i, None, 5]), t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    out = histogram_sort.shard_by_bytes(df, 8, carry=["text"], tasks=tasks)
+    got = out.toPandas()
+    assert Counter(got["text"]) == Counter(texts)
+    sums = got.groupby("shard")["size"].sum()
+    assert len(sums) == 8 and (sums - sums.sum() / 8).abs().max() <= 2 * (0.001 * sums.mean() + got["size"].max())
+    assert all(sorted(x["slot"]) == list(range(len(x))) for _, x in got.groupby("shard"))
+
+
 # op4: near-duplicates
 
 
@@ -411,6 +431,85 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert not any(r["kept"] for r in quality_rules.quality(df.where("doc_id in (440, 442)")).collect())
 
 
+def clean_text(rng, n):
+    own = words(rng, n, 5000).split()
+    return "\n".join(" ".join(own[i : i + 8]) for i in range(0, n, 8))
+
+
+def test_each_statistic_rejects_by_itself(spark):
+    rng = random.Random(27)
+    rows = [(i, clean_text(rng, int(rng.lognormvariate(5.3, 0.4)) + 60)) for i in range(300)]
+    licence = "this software is provided as is without any warranty of whatever kind"
+    own = clean_text(rng, 160).split()
+    bad = {
+        1000: words(rng, 40_000, 5000),  # length
+        1001: " ".join(w * 6 for w in own),  # length of words
+        1002: " ".join(own) + "#" * 40,  # symbols
+        1003: "\n".join(["ab"] * 4 + ["cd"] * 4 + own + [rng.choice(own) for _ in range(2000)]),  # repeated lines
+        1004: "\n".join(f"{w} x{i} y{i}" for i, w in enumerate(own)) + " " + " ".join(own[:60]) + " " + " ".join(f"z{i} " + " ".join(own[i : i + 60]) for i in range(0, 160, 60) for _ in range(3)),
+    }
+    good = {2000: f"{licence}\n{clean_text(rng, 50)}\n{licence}", 2001: clean_text(rng, 600)}
+    df = spark.createDataFrame([*rows, *bad.items(), *good.items()], "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source")
+    got = {r["doc_id"]: r for r in quality_rules.quality(df).collect()}
+    assert all(got[i]["kept"] for i in range(300)) and all(got[i]["kept"] for i in good)
+    assert not any(got[i]["kept"] for i in bad)
+    assert not any(got[i]["base_failed"] for i in (1000, 1001, 1002, 1003))
+
+
+def slow_verdicts(rows):
+    """kept of (doc_id, text, lang, source) by numpy: the same start, steps and pools, group by group."""
+    fixed, floors, out, vectors = quality_rules.FIXED, np.array(quality_rules.FLOORS) * quality_rules.FIXED, {}, {}
+    half_up = lambda x: np.floor(np.asarray(x, dtype=float) + 0.5)
+    for doc, text, lang, source in rows:
+        n, chars, symbols, dup, rep = slow_statistics(text or "")
+        lines = sum(1 for x in (text or "").split("\n") if x.strip(" \t\n\x0b\f\r"))
+        out[doc] = not (n < 50 or 100 * rep > 50 * n)
+        if out[doc]:
+            v = (np.log1p(n), np.log(chars / n), np.log1p(1000 * symbols / n), np.log((1 + lines) / (1 + lines - dup)), np.log((1 + n) / (1 + n - rep)))
+            vectors[doc] = (lang, source, half_up(np.array(v) * fixed))
+    size = Counter(v[:2] for v in vectors.values())
+    pool = Counter(v[0] for v in vectors.values() if size[v[:2]] < quality_rules.LEAST)
+    rest = sum(n for n in pool.values() if n < quality_rules.LEAST)
+    groups = defaultdict(list)
+    for doc, (lang, source, _) in vectors.items():
+        key = ("s", lang, source) if size[lang, source] >= quality_rules.LEAST else ("l", lang) if pool[lang] >= quality_rules.LEAST else ("r",) if rest >= quality_rules.LEAST else None
+        groups[key].append(doc)
+    for key, docs in groups.items():
+        if key is None:
+            continue
+        x, unit = np.array([vectors[d][2] for d in docs]), fixed // 64
+        mean = np.median(half_up(x / unit), axis=0) * unit
+        spread = np.median(half_up(np.abs(x - mean) / unit), axis=0) * unit * 1.4826
+        cov, was = np.diag(spread**2 + floors**2), np.inf
+        while True:
+            far = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            q = half_up(np.log1p(far) * 64)
+            near = x[q <= np.percentile(q, 100 * quality_rules.H)]
+            mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * quality_rules.CONSISTENT + np.diag(floors**2)
+            det = np.linalg.slogdet(cov)[1]
+            if det >= was - 0.001:
+                break
+            was = det
+        far = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        out |= {d: bool(f <= quality_rules.CUTOFF) for d, f in zip(docs, far, strict=True)}
+    return out
+
+
+def test_verdicts_equal_brute_force(spark):
+    rng = random.Random(28)
+    rows = []
+    for i in range(700):
+        text = clean_text(rng, rng.randrange(40, 400)) if rng.random() < 0.8 else " ".join(rng.choice(["##", "aa", "bbbbbbbb" * rng.randrange(1, 4), f"w{rng.randrange(300)}"]) for _ in range(rng.randrange(30, 900)))
+        rows.append((i, text, rng.choice(["en"] * 6 + ["de", "fr", None]), rng.choice(["src0", "src1", "src1", None])))
+    rows += [(700 + i, t, "en", "src0") for i, t in enumerate(ODD)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = slow_verdicts(rows)
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality(df).collect()}
+    assert got == want and 0 < sum(want.values()) < len(want)
+    base = {r["doc_id"] for r in quality_rules.quality(df).where("not base_failed and not kept").collect()}
+    assert base  # some fall to the distance
+
+
 def test_determinant_falls_to_the_clean_rows(spark):
     rng = np.random.default_rng(15)
     x = rng.normal(size=(900, 5)) * [1, 2, 1, 3, 1] + [5, 1, 0, 2, 4]
@@ -441,6 +540,35 @@ def test_search(spark):
     assert m_tree.top_k(df.limit(0)).count() == 0 and m_tree.top_k(df.where("vec_id < 3"), every=1).count() == 6
 
 
+def brute_search(ids, vectors, every, k=5):
+    out = set()
+    for q, own in zip(ids, vectors, strict=True):
+        if q % every == 0:
+            scored = sorted(((-sum(x * y for x, y in zip(own, v, strict=True)), i) for i, v in zip(ids, vectors, strict=True) if i != q))[:k]
+            out |= {(q, r, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, i) in enumerate(scored, 1)}
+    return out
+
+
+def test_search_of_several_blocks_in_several_trees(spark, monkeypatch):
+    monkeypatch.setattr(m_tree, "BLOCK", 20)
+    rng = np.random.default_rng(24)
+    centers = rng.normal(size=(12, 6)) * 8
+    x = np.repeat(centers, 25, axis=0) + rng.normal(size=(300, 6)) * 0.1
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in m_tree.top_k(df, every=5, tree_rows=100).collect()}
+    assert got == brute_search(range(300), np.floor(256 * x).astype(np.int64).tolist(), 5)
+
+
+def test_scores_beyond_a_long_keep_their_order(spark):
+    rng = random.Random(25)
+    vectors = [[rng.uniform(-1, 1) * 10.0**e for _ in range(4)] for e in (0, 3, 9, 12, 14) for _ in range(12)] + [[1e300, -1e300, 0.0, 1.0], [-1e300, 1.0, 0.0, 1e200]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    own = [[max(-(1 << 63), min((1 << 63) - 1, int(np.floor(256 * c)) if abs(c) < 1e17 else int(np.sign(c)) * (1 << 63))) for c in v] for v in vectors]
+    got = {tuple(r) for r in m_tree.top_k(df.where("vec_id < 60"), every=1, tree_rows=25).collect()}
+    assert got == brute_search(range(60), own[:60], 1)
+    assert m_tree.top_k(df, every=1).where("score is null").count() == 0
+
+
 def test_tree_skips_most_of_what_is_far():
     rng = np.random.default_rng(17)
     centers = rng.integers(-4000, 4000, size=(40, 6))
@@ -544,6 +672,102 @@ def test_keys_in_pem_blocks_with_and_without_padding():
 
 def test_a_short_token_needs_no_long_word():
     assert secret_scan.spans("a eyJhbGciOiJub25lIn0.e30. b") == [("token", 2, 26)]
+    spaced = base64.urlsafe_b64encode(b'{\n "alg": "none"}').decode().rstrip("=")
+    assert secret_scan.spans(f"{spaced}.e30.") == [("token", 0, len(spaced) + 5)]
+
+
+LETTERS = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def slow_run(text, i, allowed):
+    j = i
+    while j < len(text) and text[j] in allowed:
+        j += 1
+    return j
+
+
+def slow_base(text):
+    """The base kinds by hand, one character after the other."""
+    out = []
+    for kind in ("assign", "access", "hex"):
+        i = 0
+        while i < len(text):
+            end, long_enough = i, False
+            if kind == "assign":
+                name = next((w for w in ("password", "passwd", "secret", "token", "apikey", "api_key") if text[i : i + len(w)].isascii() and text[i : i + len(w)].lower() == w), None)
+                if name:
+                    j = i + len(name)
+                    j += text[j : j + 1] in ("'", '"')
+                    j = slow_run(text, j, " ")
+                    if text[j : j + 1] in (":", "="):
+                        j = slow_run(text, j + 1, " ")
+                        j += text[j : j + 1] in ("'", '"')
+                        end = slow_run(text, j, LETTERS | set("+/_.=-"))
+                        end, long_enough = (end, end - j >= 8) if end > j else (i, False)
+            elif kind == "access" and text.startswith("AKIA", i):
+                j = slow_run(text, i + 4, {c for c in LETTERS if not c.islower()})
+                end, long_enough = (j, j - i >= 16) if j > i + 4 else (i, False)
+            elif kind == "hex":
+                end = slow_run(text, i, set("0123456789abcdef"))
+                long_enough = end - i >= 32
+            if long_enough:
+                out.append((kind, i, end))
+            i = max(end, i + 1)
+    return out
+
+
+def slow_keys(text):
+    """Every base64 run from every place, cut after every character."""
+    allowed, out, i = LETTERS | set("+/_-"), [], 0
+    while i < len(text):
+        if text[i] not in allowed or (i and text[i - 1] in allowed):
+            i += 1
+            continue
+        places = []
+        for j in range(i, len(text)):
+            line_end = text[j] == "\n" or text[j : j + 2] == "\r\n"
+            if line_end and not text[j:].lstrip("\r\n").startswith("-----") and text[j:].replace("\r\n", "\n")[1:2] in allowed | {"\n"} and text[j:].replace("\r\n", "\n")[1:2] != "\n":
+                continue
+            if text[j] == "\n" and text[j - 1] == "\r":
+                continue
+            if text[j] not in allowed:
+                break
+            places.append(j)
+        data = "".join(text[j] for j in places).replace("-", "+").replace("_", "/")
+        ends = [n for n in range(11, len(data) + 1) if n % 4 != 1]
+        decoded = lambda n: base64.b64decode(data[:n] + "=" * (-n % 4))
+        ends = ends[-1:] if data.startswith("b3Bl") else ends if data.startswith("M") else []
+        n = next((n for n in ends if secret_scan.is_private_key(decoded(n))), None)
+        if n:
+            end = places[n - 1] + 1
+            while text[end : end + 1] == "=":
+                end += 1
+            out.append(("key", i, end))
+        i = end if n else (slow_run(text, i, allowed))
+    return out
+
+
+def test_spans_equal_a_scanner_by_hand():
+    rng = random.Random(26)
+    small = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, rng.randbytes(32))))
+    middle = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48")) + der(4, rng.randbytes(91)))
+    parts = ["password", "PassWd", "api_key", "APIKEY", "tokeN", "secret", " ", " : ", "=", "'", '"', "é", "\n", "\r\n", "AKIA", "ABCD1234EFGH5678", "a1b2c3d4" * 4, "0f" * 20, "abc.def-ghi_jkl/mno", "word", "-----END X-----", "\u212a", "MABC", "x=", "ſ"]
+    for key in (small, middle):
+        own = base64.b64encode(key).decode()
+        parts += [own, *("\n".join(own[i : i + w] for i in range(0, len(own), w)) for w in (16, 24, 64)), own[:-5]]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        got = secret_scan.spans(text)
+        base = sorted(slow_base(text), key=lambda x: (x[1], secret_scan.KINDS.index(x[0])))
+        assert [x for x in got if x[0] in ("assign", "access", "hex")] == base, text
+        assert [x for x in got if x[0] == "key"] == slow_keys(text), text
+
+
+def test_column_operators_on_empty_tables(spark):
+    df = docs_of(spark, []).withColumn("n_tokens", F.lit("clash"))
+    for column in (secret_scan.scan_column(F.col("text")), secret_scan.digest_column(F.col("text")), token_counts.count_column(F.col("text"), WORD), bpe_codec.round_trip_column(F.col("text"), GPT)):
+        assert df.select("*", column.alias("found")).count() == 0
+        assert docs_of(spark, ["same", "same", None, "x " * 100_000]).select(column.alias("found")).where("found is not null").count() == 4
 
 
 # pipeline
