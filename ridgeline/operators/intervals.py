@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def _cells(lo: Column, hi: Column, width: float) -> Column:
@@ -40,31 +45,43 @@ def spatial_nearest(points: DataFrame, targets: DataFrame, key: str, radius: flo
 
 
 def budget_split(df: DataFrame, group: str, order: list[str], size: str, budget: float) -> DataFrame:
-    """df with part 1, 2, ...: consecutive rows of a group as long as their sizes fit the budget; a larger one stands alone.
-    A fold over each group's ordered list."""
-    rows = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(*order, size))).alias("__rows"))
-    zero = F.struct(F.lit(0).alias("part"), F.lit(0.0).alias("used"), F.array().cast("array<int>").alias("out"))
-
-    def add(s: Column, r: Column) -> Column:
-        x = r[size].cast("double")
-        new = (s["part"] == 0) | (s["used"] + x > budget)
-        part = F.when(new, s["part"] + 1).otherwise(s["part"])
-        return F.struct(part.alias("part"), F.when(new, x).otherwise(s["used"] + x).alias("used"), F.concat(s["out"], F.array(part)).alias("out"))
-
-    parts = rows.withColumn("__parts", F.aggregate("__rows", zero, add, lambda s: s["out"]))
-    return parts.select(group, F.inline(F.arrays_zip("__rows", "__parts"))).select(group, "__rows.*", F.col("__parts").alias("part"))
-
-
-def suppress(df: DataFrame, group: str, order: list[Column], start: str, end: str, gap: float) -> DataFrame:
-    """(group, start, end) of rows kept greedily in the given order: a row goes if a kept one is less than the gap away."""
-    rows = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(*[c.alias(f"__o{i}") for i, c in enumerate(order)], F.col(start).cast("double").alias("a"), F.col(end).cast("double").alias("b")))).alias("__rows"))
-    none = F.array().cast("array<struct<a:double,b:double>>")
-
-    def add(kept: Column, r: Column) -> Column:
-        near = F.exists(kept, lambda k: (r["a"] < k["b"] + gap) & (k["a"] - gap < r["b"]))
-        return F.when(near, kept).otherwise(F.concat(kept, F.array(F.struct(r["a"].alias("a"), r["b"].alias("b")))))
-
-    return rows.select(group, F.inline(F.aggregate("__rows", none, add))).withColumnsRenamed({"a": start, "b": end})
+    """(group, *order, size, part) with part 1, 2, ...: consecutive rows of a group as long as their sizes fit the budget; a
+    larger one stands alone. One pass over each group in order."""
+    own = df.select(group, *order, size)
+
+    def deal(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(order, na_position="first")
+        parts, part, used = [], 0, 0.0
+        for x in g[size].astype(float):
+            fits = part and not used + x > budget
+            part, used = (part, used + x) if fits else (part + 1, x)
+            parts.append(part)
+        return g.assign(part=np.array(parts, dtype=np.int32))
+
+    return own.groupBy(group).applyInPandas(deal, StructType([*own.schema.fields, StructField("part", IntegerType())]))
+
+
+def suppress(df: DataFrame, group: str, order: list[Column], start: str, end: str, gap: float, most: int | None = None, digits: int | None = None) -> DataFrame:
+    """The rows of df kept greedily in the given order of each group: a row goes if a kept one is less than the gap away, or if
+    most rows are kept. With digits, kept edges count as rounded to so many.
+
+    Kept rows are apart, so in the order of their starts only the neighbours of a new one need be looked at."""
+    names, columns = [f"__o{i}" for i in range(len(order))], df.columns
+    keyed = df.select("*", *[c.alias(n) for n, c in zip(names, order, strict=True)])
+
+    def choose(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(names)
+        starts, ends, kept = [], [], []
+        for a, b in zip(g[start].astype(float), g[end].astype(float), strict=True):
+            i = bisect(starts, a)
+            free = (not i or a >= ends[i - 1] + gap) and (i == len(starts) or starts[i] - gap >= b) and (most is None or len(starts) < most)
+            kept.append(free)
+            if free:
+                starts.insert(i, a if digits is None else round(a, digits))
+                ends.insert(i, b if digits is None else round(b, digits))
+        return g.loc[np.array(kept, dtype=bool), columns]
+
+    return keyed.groupBy(group).applyInPandas(choose, df.schema)
 
 
 def diversify(df: DataFrame, group: str, kind: str, score: str, key: str, factor: float = 0.75, most: int = 6) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ridgeline.operators import calibration as cal
 from ridgeline.plans import mapping as m
 from ridgeline.plans.registry import query, r6
+from ridgeline.session import saved
 
 _FEATURES = list(m.FEATURES)
 _SUBS = [f"s_{f}" for f in _FEATURES]
@@ -24,7 +25,8 @@ _LEVELS = _RANKED + f""", levels AS (SELECT *, CASE WHEN {_SUM} > 0 THEN sqrt((c
   (s_speed IS NOT NULL)::INT + 2 * (s_turn IS NOT NULL)::INT + 4 * (s_rough IS NOT NULL)::INT AS key FROM ranked)"""
 _BUCKETS = _LEVELS + """, buckets AS (SELECT key, count(level_raw) AS n, quantile_cont(level_raw, [i / 100.0 for i in range(0, 101)]) AS b FROM levels WHERE level_raw IS NOT NULL GROUP BY key HAVING count(*) >= 200
   UNION ALL SELECT NULL, count(level_raw), quantile_cont(level_raw, [i / 100.0 for i in range(0, 101)]) FROM levels WHERE level_raw IS NOT NULL)"""
-_APPLIED = _BUCKETS + ", picked AS (SELECT l.*, coalesce(o.b, e.b) AS pb FROM levels l LEFT JOIN (SELECT * FROM buckets WHERE key IS NOT NULL) o ON l.key = o.key LEFT JOIN (SELECT b FROM buckets WHERE key IS NULL) e ON true), applied AS (SELECT *, " + _RANK.format(v="level_raw", b="pb") + """ AS level,
+#: Common table expressions up to composed(asset, t, composite, s_*).
+APPLIED = _BUCKETS + ", picked AS (SELECT l.*, coalesce(o.b, e.b) AS pb FROM levels l LEFT JOIN (SELECT * FROM buckets WHERE key IS NOT NULL) o ON l.key = o.key LEFT JOIN (SELECT b FROM buckets WHERE key IS NULL) e ON true), applied AS (SELECT *, " + _RANK.format(v="level_raw", b="pb") + """ AS level,
   CASE WHEN air_s IS NOT NULL THEN greatest(0.0, least(1.0, air_s / 0.8)) END AS s_air FROM picked),
 smoothed AS (SELECT *, avg(level) OVER w AS level_s, coalesce(max(coalesce(s_air, 0.0)) OVER w, 0.0) AS s_air_d FROM applied WINDOW w AS (PARTITION BY asset ORDER BY day ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
 composed AS (SELECT *, 1 - (1 - coalesce(level_s, 0.0)) * (1 - 0.75 * s_air_d) AS composite FROM smoothed)"""
@@ -35,7 +37,8 @@ def _breaks(spark, d):
 
 
 def _ranked(spark, d):
-    return cal.ranked(m.seconds(spark, d), _breaks(spark, d), _FEATURES)
+    seconds = saved(m.seconds(spark, d))  # the percentile tables and the ranks both read it
+    return cal.ranked(seconds, cal.corpus_breaks(seconds, _FEATURES), _FEATURES)
 
 
 def _levels(spark, d):
@@ -43,7 +46,7 @@ def _levels(spark, d):
 
 
 def composed(spark, d):
-    levels = _levels(spark, d)
+    levels = saved(_levels(spark, d))
     applied = cal.level_ranks(levels, cal.level_breaks(levels)).withColumn("s_air", cal.air_score(F.col("air_s")))
     return cal.composite(applied, "asset", ["day"])
 
@@ -90,14 +93,14 @@ def dilate3(spark, d):
     return m.gappy(spark, d).select("event_id", cal.dilate("v", "asset", ["t"]).alias("dilated"))
 
 
-@query("composite", f"WITH {_APPLIED} SELECT asset, t, round(level, 6) AS level, round(s_air_d, 6) AS s_air_d, round(composite, 6) AS composite FROM composed")
+@query("composite", f"WITH {APPLIED} SELECT asset, t, round(level, 6) AS level, round(s_air_d, 6) AS s_air_d, round(composite, 6) AS composite FROM composed")
 def composite(spark, d):
     return composed(spark, d).select("asset", "t", r6("level"), r6("s_air_d"), r6("composite"))
 
 
 @query(
     "top_seconds",
-    f"""WITH {_APPLIED}, best AS (SELECT asset, t, composite, s_speed, s_turn, s_rough, row_number() OVER (PARTITION BY asset ORDER BY round(composite, 6) DESC, t) AS rank FROM composed)
+    f"""WITH {APPLIED}, best AS (SELECT asset, t, composite, s_speed, s_turn, s_rough, row_number() OVER (PARTITION BY asset ORDER BY round(composite, 6) DESC, t) AS rank FROM composed)
     SELECT asset, t, rank, round(composite, 6) AS composite,
       array_to_string(list_transform(list_reverse_sort([x for x in [{{'v': round(s_speed, 6), 'n': 'speed'}}, {{'v': round(s_turn, 6), 'n': 'turn'}}, {{'v': round(s_rough, 6), 'n': 'rough'}}] if x.v IS NOT NULL])[1:2], lambda x: x.n), ',') AS drivers FROM best WHERE rank <= 5""",
 )

@@ -110,12 +110,13 @@ def telemetry_diagnostics(spark, d):
 _RANK_SQL = """rolled AS (SELECT asset, composite, CASE WHEN count(composite) OVER w = 12 THEN avg(composite) OVER w END AS roll FROM composed WINDOW w AS (PARTITION BY asset ORDER BY day ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))"""
 
 
-@query("ride_rank", f"WITH {flagship._APPLIED}, {_RANK_SQL}, r AS (SELECT asset, max(roll) AS clip, list_avg(list_reverse_sort(list(composite))[1:30]) AS top30, quantile_cont(composite, 0.5) AS floor, max(composite) AS peak FROM rolled GROUP BY asset) SELECT asset, round(clip, 6) AS clip, round(top30, 6) AS top30, round(floor, 6) AS floor, round(peak, 6) AS peak FROM r")
+@query("ride_rank", f"WITH {flagship.APPLIED}, {_RANK_SQL}, r AS (SELECT asset, max(roll) AS clip, list_avg(list_reverse_sort(list(composite))[1:30]) AS top30, quantile_cont(composite, 0.5) AS floor, max(composite) AS peak FROM rolled GROUP BY asset) SELECT asset, round(clip, 6) AS clip, round(top30, 6) AS top30, round(floor, 6) AS floor, round(peak, 6) AS peak FROM r")
 def ride_rank(spark, d):
     own = flagship.composed(spark, d).withColumn("roll", series.full_trailing_mean("asset", ["day"], "composite"))
-    best = F.slice(F.sort_array(F.collect_list("composite"), asc=False), 1, 30)
-    mean = F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(best)
-    out = own.groupBy("asset").agg(F.max("roll").alias("clip"), mean.alias("top30"), F.percentile("composite", F.lit(0.5)).alias("floor"), F.max("composite").alias("peak"))
+    # no list of an asset's seconds: only its 30 best are averaged
+    ranked = own.withColumn("__n", F.row_number().over(W.partitionBy("asset").orderBy(F.desc("composite"))))
+    top = F.avg(F.when(F.col("__n") <= 30, F.col("composite")))
+    out = ranked.groupBy("asset").agg(F.max("roll").alias("clip"), top.alias("top30"), F.percentile("composite", F.lit(0.5)).alias("floor"), F.max("composite").alias("peak"))
     return out.select("asset", r6("clip"), r6("top30"), r6("floor"), r6("peak")).orderBy(F.desc_nulls_last("clip"), "asset")
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeline.functions import numbers
-from ridgeline.kernels import clips, filters, framing, tracker
-from ridgeline.operators import decisions, intervals, series
+from ridgeline.kernels import filters, framing, tracker
+from ridgeline.operators import clips, decisions, intervals, series
 from ridgeline.plans import flagship
 from ridgeline.plans import mapping as m
 from ridgeline.plans.registry import query, r6, read
@@ -27,7 +27,7 @@ def dominant(maxima: list, names: tuple[str, ...]):
 @query("dominant_feature", f"WITH {m.SECONDS} SELECT asset, win, CASE greatest(s_speed, s_turn, s_rough, s_jump) WHEN s_speed THEN 'speed' WHEN s_turn THEN 'turn' WHEN s_rough THEN 'rough' WHEN s_jump THEN 'jump' ELSE 'unknown' END AS dominant FROM {_DOMINANT}")
 def dominant_feature(spark, d):
     w = m.seconds(spark, d).groupBy("asset", F.floor(F.col("t") / 10).alias("win")).agg(*[F.max(c).alias(c) for c in ("speed", "turn", "rough")], (F.max("air_s") * 700).alias("jump"))
-    return w.select("asset", "win", dominant([F.col(c) for c in clips.TYPES], clips.TYPES).alias("dominant"))
+    return w.select("asset", "win", dominant([F.col(c) for c in clips.KINDS], tuple(clips.KINDS)).alias("dominant"))
 
 
 @query("diversify", f"WITH {m.SEGMENTS}, n AS (SELECT *, score * pow(0.75, row_number() OVER (PARTITION BY content_hash, lang ORDER BY score DESC, id) - 1) AS adjusted FROM segments), r AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY adjusted DESC, id) AS rank FROM n) SELECT content_hash, id, rank, round(adjusted, 6) AS adjusted FROM r WHERE rank <= 6")
@@ -36,11 +36,38 @@ def diversify(spark, d):
     return out.select("content_hash", "id", F.col("rank").cast("long").alias("rank"), r6("adjusted"))
 
 
-@query("clip_candidates")
+_CLIPS = f"""WITH RECURSIVE {flagship.APPLIED}, {m.SAMPLES}, sec AS (SELECT asset, CAST(t AS INTEGER) AS i, round(composite, 9) AS y, s_speed AS speed, s_turn AS turn, s_rough AS rough, s_air_d AS jump FROM composed),
+ev AS (SELECT asset, min(t) AS ts, min(t) + 0.4 AS te FROM samples WHERE value > 450 GROUP BY asset),
+lim AS (SELECT asset, count(*)::INTEGER AS n, quantile_cont(y, 0.5) AS m, quantile_cont(y, 0.7) AS h, quantile_cont(y, 0.95) AS u FROM sec GROUP BY asset HAVING max(abs(y)) > 0),
+nb AS (SELECT sec.*, n, greatest(h, m + 0.3 * (u - m)) AS least_y, greatest(0.55, m + 0.15 * (u - m)) AS bar, lag(y) OVER w AS was, lead(y) OVER w AS will FROM sec JOIN lim USING (asset) WINDOW w AS (PARTITION BY asset ORDER BY i)),
+pk AS (SELECT asset, i, y, n, bar FROM nb WHERE y >= least_y AND (was IS NULL OR y > was) AND (will IS NULL OR CASE WHEN was IS NULL THEN y > will ELSE y >= will END)),
+st AS (SELECT p.*, coalesce((SELECT max(s.i) + 1 FROM sec s WHERE s.asset = p.asset AND s.i < p.i AND s.y < p.y * 0.55), 0) AS f, coalesce((SELECT min(s.i) FROM sec s WHERE s.asset = p.asset AND s.i > p.i AND s.y < p.y * 0.55), n) - 1 AS l FROM pk p),
+tried AS (SELECT asset, i, unnest(CASE WHEN least(i, l - 29) < greatest(f, i - 26) THEN [greatest(f, least(i, l - 29))] ELSE range(greatest(f, i - 26), least(i, l - 29) + 1) END) AS s FROM st WHERE l + 1 - f > 30),
+means AS (SELECT w.asset, w.i, w.s, avg(x.y) AS mean FROM tried w JOIN sec x ON x.asset = w.asset AND x.i >= w.s AND x.i < w.s + 30 GROUP BY 1, 2, 3),
+best AS (SELECT *, max(mean) OVER (PARTITION BY asset, i) AS top FROM means),
+chosen AS (SELECT asset, i, min({{'o': abs(i - s - 1.5), 's': s}}).s AS s FROM best WHERE mean >= top - 0.01 * abs(top) GROUP BY asset, i),
+e0 AS (SELECT st.*, coalesce(s, f) - 1.5::DOUBLE AS a0, coalesce(s + 29, l) + 1::DOUBLE AS b0 FROM st LEFT JOIN chosen USING (asset, i)),
+e1 AS (SELECT *, greatest(0, 10 - (b0 - a0)) / 2 AS short FROM e0),
+e2 AS (SELECT *, CASE WHEN b0 + short - i < 4 THEN least(n, i + 4) ELSE b0 + short END::DOUBLE AS b1 FROM e1),
+e3 AS (SELECT e2.*, greatest(a0 - short, b1 - 30, 0) AS a2, least(n, b1) AS b2, ts, te FROM e2 LEFT JOIN ev USING (asset)),
+e4 AS (SELECT asset, i, y, n, bar, CASE WHEN ts < a2 AND a2 < te THEN greatest(0, ts - 0.5) ELSE a2 END AS a, CASE WHEN ts < b2 AND b2 < te THEN te + 0.5 ELSE b2 END AS b FROM e3),
+e5 AS (SELECT *, floor(a) AS lo, greatest(least(n, ceil(b)), floor(a) + 1) AS hi FROM e4 WHERE b - a >= 8),
+sc AS (SELECT e.asset, e.i, e.y, e.n, e.bar, e.a, e.b, avg(x.y) AS score, max(x.speed) AS speed, max(x.turn) AS turn, max(x.rough) AS rough, max(x.jump) AS jump FROM e5 e JOIN sec x ON x.asset = e.asset AND x.i >= e.lo AND x.i < e.hi GROUP BY ALL),
+ok AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY y DESC, CASE WHEN i = 0 THEN 1 WHEN i = n - 1 THEN 2 ELSE 0 END, i) AS rn FROM sc WHERE score >= bar - 1e-9),
+rec AS (SELECT asset, rn, [{{'a': round(a, 2), 'b': round(b, 2)}}] AS kept, true AS free FROM ok WHERE rn = 1
+  UNION ALL SELECT asset, rn, CASE WHEN free THEN list_append(kept, {{'a': round(a, 2), 'b': round(b, 2)}}) ELSE kept END, free FROM (SELECT o.asset, o.rn, o.a, o.b, r.kept, len(r.kept) < 18 AND len(list_filter(r.kept, lambda k: o.a < k.b + 9 AND k.a - 9 < o.b)) = 0 AS free FROM rec r JOIN ok o ON o.asset = r.asset AND o.rn = r.rn + 1)),
+kind AS (SELECT ok.*, CASE greatest(speed, turn, rough, jump) WHEN speed THEN 'speed' WHEN turn THEN 'turn' WHEN rough THEN 'rough' WHEN jump THEN 'jump' ELSE 'unknown' END AS dominant FROM ok JOIN rec USING (asset, rn) WHERE free),
+adj AS (SELECT *, score * pow(0.75, row_number() OVER (PARTITION BY asset, dominant ORDER BY score DESC, rn) - 1) AS adjusted FROM kind),
+placed AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY adjusted DESC, rn) AS rank FROM adj)
+SELECT asset, rank::INTEGER AS rank, round(a, 2) AS t_in, round(b, 2) AS t_out, i::DOUBLE AS peak_t, round(y, 6) AS peak, round(score, 6) AS score, round(adjusted, 6) AS adjusted, dominant FROM placed WHERE rank <= 6"""
+
+
+@query("clip_candidates", _CLIPS)
 def clip_candidates(spark, d):
-    scores = flagship.composed(spark, d).select("asset", "t", "composite", "s_speed", "s_turn", "s_rough", "s_air_d")
+    scores = flagship.composed(spark, d).select("asset", "t", F.round("composite", 9).alias("composite"), "s_speed", "s_turn", "s_rough", "s_air_d")
     events = m.samples(spark, d).where("value > 450").groupBy("asset").agg(F.min("t").alias("t_start")).withColumn("t_end", F.col("t_start") + 0.4)
-    return clips.clip_candidates(scores, events, "asset")
+    found = clips.clip_candidates(scores, events, "asset")
+    return found.select("asset", "rank", "t_in", "t_out", "peak_t", r6("peak"), r6("score"), r6("adjusted"), "dominant")
 
 
 _BUDGET = f"""WITH RECURSIVE {m.SEGMENTS}, o AS (SELECT content_hash, id, t_out - t_in AS len, row_number() OVER (PARTITION BY content_hash ORDER BY t_in, id) AS n FROM segments WHERE status = 'approved'),
@@ -54,10 +81,16 @@ def budget_split(spark, d):
     return intervals.budget_split(own, "content_hash", ["t_in", "id"], "len", 175.0).select("content_hash", "id", "part")
 
 
-@query("suppress_overlaps")
+_SUPPRESS = f"""WITH RECURSIVE {m.SEGMENTS}, o AS (SELECT content_hash, t_in, t_out, row_number() OVER (PARTITION BY content_hash ORDER BY score DESC, id) AS n FROM segments),
+f AS (SELECT content_hash, n, t_in, t_out, true AS free, [{{'a': t_in, 'b': t_out}}] AS kept FROM o WHERE n = 1
+  UNION ALL SELECT content_hash, n, t_in, t_out, free, CASE WHEN free THEN list_append(kept, {{'a': t_in, 'b': t_out}}) ELSE kept END FROM (SELECT o.*, f.kept, len(list_filter(f.kept, lambda k: o.t_in < k.b + 9 AND k.a - 9 < o.t_out)) = 0 AS free FROM f JOIN o ON o.content_hash = f.content_hash AND o.n = f.n + 1))
+SELECT content_hash, t_in, t_out FROM f WHERE free"""
+
+
+@query("suppress_overlaps", _SUPPRESS)
 def suppress_overlaps(spark, d):
     own = m.segments(spark, d)
-    return intervals.suppress(own, "content_hash", [-F.col("score"), F.col("id")], "t_in", "t_out", 9.0)
+    return intervals.suppress(own, "content_hash", [-F.col("score"), F.col("id")], "t_in", "t_out", 9.0).select("content_hash", "t_in", "t_out")
 
 
 _LOG = m.SEGMENTS + ", log AS (SELECT id, content_hash AS grp, score, CASE status WHEN 'approved' THEN 1 ELSE 0 END AS label FROM segments WHERE status <> 'candidate')"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, name: str = "ridgeline", **conf: str) -> SparkSession:
@@ -20,3 +22,17 @@ def session(master: str | None = None, name: str = "ridgeline", **conf: str) ->
     for k, v in (own | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the checkpoint folder that all executors share, for plans that read it several times.
+
+    The folder is that of spark.checkpoint.dir, or in local mode, if it is unset, a temporary one.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ridgeline-"))
+    return df.checkpoint()
