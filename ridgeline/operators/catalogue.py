@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ridgeline.operators import ordering
+
 STAGES = {"probe": 1, "telemetry": 4, "proxy": 1, "thumbs": 1, "score": 3, "archive": 1, "select": 1, "track": 1}
 
 
@@ -84,8 +86,8 @@ def set_ride(assets: DataFrame, ride: str, lighting: str | None = None, mount: s
 def enqueue(jobs: DataFrame, delta: DataFrame) -> DataFrame:
     """Jobs with new queued ones, numbered after the last."""
     last = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))  # one row
-    new = delta.withColumn("__n", F.row_number().over(W.orderBy("created_at", "name"))).join(F.broadcast(last))
-    new = new.withColumn("id", (F.col("__last") + F.col("__n")).cast("long")).withColumn("status", F.lit("queued")).drop("__last", "__n")
+    new = ordering.numbered(delta, ["created_at", "name"], "__n").join(F.broadcast(last))
+    new = new.withColumn("id", (F.col("__last") + F.col("__n") + 1).cast("long")).withColumn("status", F.lit("queued")).drop("__last", "__n")
     return jobs.unionByName(new, allowMissingColumns=True)
 
 
@@ -116,20 +118,40 @@ def relink(wanted: DataFrame, found: DataFrame, key: str = "content_hash") -> Da
 
 
 def ordered_edit(jobs: DataFrame, segments: DataFrame) -> DataFrame:
-    """(job, pos, segment_id, *segment): the segments of each job in the order of its list; a missing one has nulls."""
+    """(job, pos, segment_id, *segment): the segments of each job in the order of its list. A segment that is not there is an
+    error when the rows are read: an edit that silently lost a part would be another edit."""
     items = jobs.select(F.col("id").alias("job"), F.posexplode("segment_ids").alias("pos", "segment_id"))
-    return items.join(segments.withColumnRenamed("id", "segment_id"), "segment_id", "left")
+    both = items.join(segments.withColumnRenamed("id", "segment_id").withColumn("__there", F.lit(True)), "segment_id", "left")
+    message = F.concat(F.lit("no segment "), F.col("segment_id").cast("string"), F.lit(" for job "), F.col("job").cast("string"))
+    checked = F.when(F.col("__there"), F.col("pos")).otherwise(F.raise_error(message).cast("int"))
+    return both.withColumn("pos", checked).drop("__there")
 
 
 def save_snapshot(df: DataFrame, path: str) -> None:
-    """Replace a snapshot directory: written beside, then renamed, through the path's own file system."""
+    """Replace a snapshot directory: written beside, then renamed, through the path's own file system.
+
+    A rename that fails is an error, after which the old snapshot stands at the path as before; the old one is deleted only
+    when the new one has taken its place.
+    """
     spark = df.sparkSession
     aside, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
     df.write.parquet(aside)
     jvm = spark.sparkContext._jvm
     target, fresh, gone = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, aside, old))
     system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if system.exists(target):
-        system.rename(target, gone)
-    system.rename(fresh, target)
-    system.delete(gone, True)
+    swap(system, target, fresh, gone)
+
+
+def swap(system, target, fresh, gone) -> None:
+    """Put fresh in the place of target on a Hadoop file system, whose rename() tells failure by false."""
+    had = system.exists(target)
+    if had and not system.rename(target, gone):
+        system.delete(fresh, True)
+        raise OSError(f"{target} could not be set aside; it is unchanged")
+    if not system.rename(fresh, target):
+        if had and not system.rename(gone, target):
+            raise OSError(f"{target} could not be replaced; its rows are in {gone}")
+        system.delete(fresh, True)
+        raise OSError(f"{target} could not be replaced; it is unchanged")
+    if had:
+        system.delete(gone, True)

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ridgeline.operators import ordering
+from ridgeline.session import saved
+
 
 def attribute_rates(decided: DataFrame, attributes: dict[str, Column], group: str) -> DataFrame:
     """(attribute, value, ok, n, groups, rate) of each attribute with more than one value, in one pass over decided(approved, group)."""
@@ -17,22 +20,30 @@ def attribute_rates(decided: DataFrame, attributes: dict[str, Column], group: st
 
 
 def confounded(decided: DataFrame, attributes: dict[str, Column], group: str) -> DataFrame:
-    """(attributes, buckets): attributes that divide the groups in exactly the same way are one variable."""
+    """(attributes, buckets): attributes that divide the groups in exactly the same way are one variable.
+
+    A set is known by its size and two hash sums over its members, so no list of groups is made.
+    """
     pairs = F.array(*[F.struct(F.lit(k).alias("attribute"), c.cast("string").alias("value")) for k, c in attributes.items()])
     rows = decided.select(F.col(group).cast("string").alias("__g"), F.inline(pairs)).distinct()
-    buckets = rows.groupBy("attribute", "value").agg(F.array_join(F.array_sort(F.collect_set("__g")), "|").alias("members"))
-    parts = buckets.groupBy("attribute").agg(F.array_join(F.array_sort(F.collect_set("members")), ";").alias("signature"), F.countDistinct("members").alias("buckets")).where("buckets > 1")
-    same = parts.groupBy("signature").agg(F.array_sort(F.collect_list("attribute")).alias("attributes"), F.first("buckets").alias("buckets")).where(F.size("attributes") > 1)
-    return same.select(F.array_join("attributes", ",").alias("attributes"), "buckets")
+
+    def of_set(*member: str) -> list[Column]:
+        return [F.count("*").alias("n"), F.bit_xor(F.xxhash64(*member)).alias("x"), F.sum(F.xxhash64(F.lit("sum"), *member).cast("decimal(38,0)")).alias("s")]
+
+    buckets = rows.groupBy("attribute", "value").agg(*of_set("__g"))
+    # values that hold the same groups are one bucket
+    parts = buckets.select("attribute", "n", "x", "s").distinct().withColumnsRenamed({"n": "bn", "x": "bx", "s": "bs"})
+    parts = parts.groupBy("attribute").agg(*of_set("bn", "bx", "bs")).where("n > 1")
+    same = parts.groupBy("n", "x", "s").agg(F.array_sort(F.collect_list("attribute")).alias("attributes")).where(F.size("attributes") > 1)
+    return same.select(F.array_join("attributes", ",").alias("attributes"), F.col("n").alias("buckets"))
 
 
 def auc_pooled(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(auc, n_pos, n_neg) by mid-ranks. Ranks come from counts per distinct score, so equal scores are one row in the
-    window; the running sum is over those."""
+    """(auc, n_pos, n_neg) by mid-ranks. Ranks come from counts per distinct score, so equal scores are one row, and from
+    running totals over those, dealt by range."""
     own = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     counts = own.groupBy(score).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("pos"))
-    before = F.coalesce(F.sum("n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("mid", before + (F.col("n") + 1) / 2)
+    ranked = ordering.running(counts, [score], {"before": F.col("n")}).withColumn("mid", F.col("before") + (F.col("n") + 1) / 2)
     sums = ranked.agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"), F.sum(F.col("mid") * F.col("pos")).alias("r"))
     return sums.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"), F.col("p").cast("long").alias("n_pos"), F.col("q").cast("long").alias("n_neg"))
 
@@ -48,9 +59,13 @@ def auc_within(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
 
 
 def folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """df with fold 0..k-1: each label's rows dealt round robin in a seeded order of md5."""
+    """df with fold 0..k-1: each label's rows dealt round robin in a seeded order of md5. Rows are numbered over all labels in
+    tasks of equal size, and counted from their label's first one."""
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    return df.withColumn("fold", ((F.row_number().over(W.partitionBy(label).orderBy(order, key)) - 1) % k).cast("int"))
+    placed = ordering.numbered(df.withColumn("__md5", order), [label, "__md5", key], "__n")
+    firsts = placed.groupBy(F.col(label).alias("__label")).agg(F.min("__n").alias("__first"))  # a row a label
+    both = placed.join(F.broadcast(firsts), F.col(label).eqNullSafe(F.col("__label")))
+    return both.select(*df.columns, ((F.col("__n") - F.col("__first")) % k).cast("int").alias("fold"))
 
 
 def fit_matrix(segments: DataFrame, features: list[str], optional: tuple[str, ...] = ("jump",)) -> DataFrame:
@@ -92,7 +107,8 @@ def out_of_fold(matrix: DataFrame, features: list[str], label: str, key: str, k:
     from pyspark.ml.functions import vector_to_array
 
     spark = matrix.sparkSession
-    dealt = folds(standardise(matrix.where("usable"), features), key, label, k, seed).cache()
+    dealt = folds(standardise(matrix.where("usable"), features), key, label, k, seed)
+    dealt = saved(dealt)  # read by every model and every held-out fold
     scored, weights = None, []
     for i in range(k):  # k is a parameter, 5
         model = fit_ridge(dealt.where(F.col("fold") != i), features, label, l2)

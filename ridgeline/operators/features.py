@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeline.functions import clock
-from ridgeline.functions.numbers import dot, norm, normalised
+from ridgeline.functions.numbers import dot, norm, normalised, quat_conjugate, quat_rotate
 from ridgeline.kernels import filters
 from ridgeline.operators import gates, series
 
@@ -128,3 +128,43 @@ def visible_roll(rolls: DataFrame, fits: DataFrame, asset: str = ASSET) -> DataF
     own = rolls.join(fits.where("usable").select(asset, "axis", "gain", "constant"), [asset, "axis"])
     middle = own.groupBy(asset).agg(F.percentile("roll", F.lit(0.5)).alias("__mid"))
     return own.join(middle, asset).withColumn("visible", F.col("gain") * (F.col("roll") - F.col("__mid")) + F.col("constant")).drop("__mid")
+
+
+def direction_spread(df: DataFrame, group: str, vectors: dict[str, list[Column]]) -> DataFrame:
+    """(group, *names): the mean angle in degrees of each named vector from its mean direction; null for fewer than two vectors.
+    Vectors without length or with a part that is missing don't count."""
+    units = df.select(group, *[F.array(*[F.when(norm(*v) > 1e-9, x / norm(*v)) for x in v]).alias(k) for k, v in vectors.items()])
+    whole = {k: F.exists(k, lambda x: x.isNull() | F.isnan(x)) for k in vectors}
+    units = units.select(group, *[F.when(~whole[k], F.col(k)).alias(k) for k in vectors])
+    means = units.groupBy(group).agg(*[F.array(*[F.avg(F.get(k, F.lit(i))) for i in range(3)]).alias(f"__m_{k}") for k in vectors], *[F.count(k).alias(f"__n_{k}") for k in vectors])
+    both = units.join(means, group)
+
+    def angle(k: str) -> Column:
+        mean = [F.get(f"__m_{k}", F.lit(i)) for i in range(3)]
+        along = F.try_divide(dot([F.get(k, F.lit(i)) for i in range(3)], mean), norm(*mean))
+        return F.when(F.col(f"__n_{k}") > 1, F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), along)))))
+
+    return both.groupBy(group).agg(*[F.avg(angle(k)).alias(k) for k in vectors])
+
+
+def roll_suppression(telemetry: DataFrame, group: str = ASSET, least: float = 0.5) -> DataFrame:
+    """(group, spread, image_spread, suppression, locked): how much steadier gravity is in the picture than in the body.
+
+    Gravity is turned by the image orientation both ways, since files don't tell which one is meant, and the steadier one
+    counts. A body that moves by half a degree or less tells nothing.
+    """
+    gravity, turn = [F.col(f"grav_{i}") for i in range(3)], [F.col(f"iori_{x}") for x in "wxyz"]
+    found = direction_spread(telemetry, group, {"spread": gravity, "__one": quat_rotate(quat_conjugate(turn), gravity), "__two": quat_rotate(turn, gravity)})
+    image = F.least("__one", "__two")
+    share = F.when(F.col("spread") > least, 1 - image / F.col("spread"))
+    return found.select(group, "spread", image.alias("image_spread"), share.alias("suppression"), (share > 0.5).alias("locked"))
+
+
+def level_summary(rolls: DataFrame, fits: DataFrame, asset: str = ASSET, still: float = 1.0) -> DataFrame:
+    """(asset, axis, gain, constant, spread, p95, share): how far the picture leans over a clip. rolls(asset, t, axis, roll); of
+    usable fits only. spread is the standard deviation of the visible roll, p95 that of its size, share how much of the time
+    it is more than still degrees off."""
+    seen = visible_roll(rolls, fits, asset)
+    return seen.groupBy(asset, "axis", "gain", "constant").agg(
+        F.stddev_pop("visible").alias("spread"), F.percentile(F.abs("visible"), F.lit(0.95)).alias("p95"), F.avg((F.abs("visible") > still).cast("double")).alias("share"),
+    )

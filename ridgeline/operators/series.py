@@ -15,23 +15,30 @@ def grid(spans: DataFrame, asset: str, end: str, step: float = 1.0) -> DataFrame
     return spans.select(asset, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("__i")).select(asset, (F.col("__i") * step).alias("t"))
 
 
+def _around(points: DataFrame, samples: DataFrame, asset: str, value: str) -> DataFrame:
+    """points(asset, t) with (t0, v0), the last sample at or before t, and (t1, v1), the first at or after it.
+
+    Points and samples are laid in one order by (t, samples first); each row takes the last sample so far in that order,
+    and the last so far in the opposite one. Both frames only grow, so each is one pass, however long a series is.
+    """
+    none = F.lit(None).cast("struct<t:double,v:double>")
+    own = samples.where(F.col(value).isNotNull()).select(asset, F.col("t").cast("double").alias("t"), F.col(value).cast("double").alias("v"))
+    both = points.select(asset, F.col("t").cast("double").alias("t"), none.alias("__s"), F.lit(1).alias("__p")).unionByName(
+        own.select(asset, "t", F.struct("t", "v").alias("__s"), F.lit(0).alias("__p"))
+    )
+    up = W.partitionBy(asset).orderBy("t", "__p").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(asset).orderBy(F.desc("t"), "__p").rowsBetween(W.unboundedPreceding, 0)
+    found = both.select(asset, "t", "__p", F.last("__s", ignorenulls=True).over(up).alias("__a"), F.last("__s", ignorenulls=True).over(down).alias("__b"))
+    return found.where("__p = 1").select(asset, "t", F.col("__a.t").alias("t0"), F.col("__a.v").alias("v0"), F.col("__b.t").alias("t1"), F.col("__b.v").alias("v1"))
+
+
 def interpolate(points: DataFrame, samples: DataFrame, asset: str, value: str, max_gap: float | None = None, clamp: bool = True) -> DataFrame:
     """points(asset, t) with the value of samples(asset, t, value) interpolated linearly at t.
 
-    Points and samples are laid in one order by (t, samples first) and each point takes the last sample
-    before and the first after it, so there is one exchange by asset and no range join. Outside the
-    samples the end values hold if clamp; a bracket longer than max_gap is no value.
+    One exchange by asset and no range join. Outside the samples the end values hold if clamp; a bracket
+    longer than max_gap is no value.
     """
-    both = points.select(asset, F.col("t").cast("double").alias("t"), F.lit(None).cast("double").alias("__st"), F.lit(None).cast("double").alias("__v"), F.lit(1).alias("__p")).unionByName(
-        samples.where(F.col(value).isNotNull()).select(asset, F.col("t").cast("double").alias("t"), F.col("t").cast("double").alias("__st"), F.col(value).cast("double").alias("__v"), F.lit(0).alias("__p"))
-    )
-    by = W.partitionBy(asset).orderBy("t", "__p")
-    back, ahead = by.rowsBetween(W.unboundedPreceding, 0), by.rowsBetween(0, W.unboundedFollowing)
-    found = both.select(
-        asset, "t", "__p",
-        F.last("__st", ignorenulls=True).over(back).alias("t0"), F.last("__v", ignorenulls=True).over(back).alias("v0"),
-        F.first("__st", ignorenulls=True).over(ahead).alias("t1"), F.first("__v", ignorenulls=True).over(ahead).alias("v1"),
-    ).where("__p = 1")
+    found = _around(points, samples, asset, value)
     span = F.col("t1") - F.col("t0")
     inner = F.when(F.col("t0") == F.col("t"), F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("t") - F.col("t0")) / F.nullif(span, F.lit(0.0)))
     if max_gap is not None:
@@ -42,16 +49,7 @@ def interpolate(points: DataFrame, samples: DataFrame, asset: str, value: str, m
 
 def nearest(points: DataFrame, samples: DataFrame, asset: str, value: str, tolerance: float) -> DataFrame:
     """points with the value of the sample nearest in time, the earlier one of two, within the tolerance."""
-    both = points.select(asset, F.col("t").cast("double").alias("t"), F.lit(None).cast("double").alias("__st"), F.lit(None).cast("double").alias("__v"), F.lit(1).alias("__p")).unionByName(
-        samples.where(F.col(value).isNotNull()).select(asset, F.col("t").cast("double").alias("t"), F.col("t").cast("double").alias("__st"), F.col(value).cast("double").alias("__v"), F.lit(0).alias("__p"))
-    )
-    by = W.partitionBy(asset).orderBy("t", "__p")
-    back, ahead = by.rowsBetween(W.unboundedPreceding, 0), by.rowsBetween(0, W.unboundedFollowing)
-    found = both.select(
-        asset, "t", "__p",
-        F.last("__st", ignorenulls=True).over(back).alias("t0"), F.last("__v", ignorenulls=True).over(back).alias("v0"),
-        F.first("__st", ignorenulls=True).over(ahead).alias("t1"), F.first("__v", ignorenulls=True).over(ahead).alias("v1"),
-    ).where("__p = 1")
+    found = _around(points, samples, asset, value)
     before, after = F.col("t") - F.col("t0"), F.col("t1") - F.col("t")
     early = before.isNotNull() & (after.isNull() | (before <= after))
     gap = F.when(early, before).otherwise(after)
@@ -172,13 +170,15 @@ def with_carried_time(df: DataFrame, asset: str, order: str, anchor: str, durati
 
 
 def payload_times(df: DataFrame, asset: str, order: str, stamp: str, n: str) -> DataFrame:
-    """df with a row per sample: j and t spread evenly to the next payload's stamp; the last payload reuses the step before."""
+    """df with a row per sample: j and t spread evenly to the next payload's stamp. Where there is no next stamp the samples
+    are as far apart as in the payload before, or share a second. A payload without a stamp starts at its place."""
     by = W.partitionBy(asset).orderBy(order)
-    width = F.lead(stamp).over(by) - F.col(stamp)
-    out = df.withColumn("__width", width)
-    out = out.withColumn("__width", F.coalesce("__width", F.lag("__width").over(by)))
+    own = F.when(F.col(n) > 0, (F.lead(stamp).over(by) - F.col(stamp)) / F.col(n))
+    out = df.withColumn("__step", own).withColumn("__place", F.row_number().over(by) - 1)
+    before = F.last("__step", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1))
+    out = out.withColumn("__step", F.coalesce("__step", before, 1 / F.nullif(F.col(n).cast("double"), F.lit(0.0))))
     out = out.where(F.col(n) > 0).select("*", F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1)).alias("j"))
-    return out.withColumn("t", F.col(stamp) + F.col("j") * F.coalesce("__width", F.lit(0.0)) / F.col(n)).drop("__width")
+    return out.withColumn("t", F.coalesce(F.col(stamp).cast("double"), F.col("__place").cast("double")) + F.col("j") * F.col("__step")).drop("__step", "__place")
 
 
 def hold_then_ease(df: DataFrame, asset: str, order: str, value: str, centre: float, hold: float = 1.0, ease: float = 2.0, weights: tuple = (1.0, 0.8, 0.2, 0.6)) -> DataFrame:
@@ -186,13 +186,14 @@ def hold_then_ease(df: DataFrame, asset: str, order: str, value: str, centre: fl
     raised cosine, then stays there; rows before the first sighting hold that one backwards."""
     track, held, eased, lost = weights
     by = W.partitionBy(asset).orderBy(order)
-    back, ahead = by.rowsBetween(W.unboundedPreceding, 0), by.rowsBetween(0, W.unboundedFollowing)
+    back = by.rowsBetween(W.unboundedPreceding, 0)
+    ahead = W.partitionBy(asset).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
     seen = F.col(value).isNotNull()
     out = df.select(
         "*",
         F.last(F.when(seen, F.col(order)), ignorenulls=True).over(back).alias("__t"),
         F.last(value, ignorenulls=True).over(back).alias("__last"),
-        F.first(value, ignorenulls=True).over(ahead).alias("__next"),
+        F.last(value, ignorenulls=True).over(ahead).alias("__next"),
     )
     age = F.col(order) - F.col("__t")
     blend = 0.5 * (1 - F.cos(F.lit(3.141592653589793) * (age - hold) / ease))

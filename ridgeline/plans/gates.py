@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from ridgeline.functions import clock, media, numbers
 from ridgeline.operators import gates
 from ridgeline.plans import mapping as m
 from ridgeline.plans.registry import query, r6, read
+from ridgeline.sources import payloads
 
 _FIX = m.SAMPLES + ", fixes AS (SELECT asset, event_id, t, value, CASE WHEN asset % 3 = 0 THEN NULL WHEN asset % 3 = 1 THEN k % 2 * 1.0 ELSE k % 4 * 1.0 END AS fix, CASE WHEN k % 5 = 0 THEN NULL ELSE k % 12 * 1.0 END AS dop FROM samples)"
 
@@ -240,9 +244,17 @@ def command_script(spark, d):
     return s.groupBy("asset").agg(F.array_join(F.transform(lines, lambda r: r["line"]), "\n").alias("script"))
 
 
-@query("scaled_decode", "SELECT vec_id, round(embedding[1]::DOUBLE * 1e7 / 1e7, 6) AS lat, round(embedding[2]::DOUBLE * 1e7 / 1e7, 6) AS lon, round(embedding[3]::DOUBLE * 1000 / 1000, 6) AS alt FROM embeddings")
+@query("scaled_decode", "SELECT vec_id, " + ", ".join(f"round(round(embedding[{i}]::DOUBLE * {k}) / {k}, 6) AS {n}" for i, (n, k) in enumerate({"lat": "1e7", "lon": "1e7", "alt": "1000", "speed2d": "1000", "speed3d": "100"}.items(), 1)) + " FROM embeddings")
 def scaled_decode(spark, d):
-    raw = F.array(_vector(1) * 1e7, _vector(2) * 1e7, _vector(3) * 1000)
-    divisors = F.transform(F.array(F.lit(1e7), F.lit(1e7), F.lit(1000.0)), lambda x: F.when(x == 0, F.lit(1.0)).otherwise(x))
-    v = F.zip_with(raw, divisors, lambda a, b: a / b)
-    return read(spark, d, "embeddings").select("vec_id", *[r6(F.get(v, F.lit(i)), n) for i, n in enumerate(("lat", "lon", "alt"))])
+    """Samples packed as a position stream packs them, in a payload that does not say its divisors."""
+    scales = [1e7, 1e7, 1000.0, 1000.0, 100.0]
+    whole = F.transform(F.array(*[_vector(i + 1) * k for i, k in enumerate(scales)]), lambda x: F.round(x).cast("int"))
+    fields = payloads.FIELDS["GPS5"]
+
+    @F.pandas_udf("array<double>")
+    def unpacked(batches: pd.Series) -> pd.Series:
+        layout, by = payloads.struct_format("?", 20, None, "GPS5"), payloads.divisors([], 5, "GPS5")
+        return pd.Series([payloads.decode(struct.pack(layout, *map(int, x)), layout, by)[0].tolist() for x in batches])
+
+    found = read(spark, d, "embeddings").select("vec_id", unpacked(whole).alias("v"))
+    return found.select("vec_id", *[r6(F.get("v", F.lit(i)), n) for i, n in enumerate(fields)])

@@ -63,11 +63,11 @@ def decision_rows(spark, d):
     return decided.join(m.assets(spark, d).where("gps_lat is not null"), "content_hash", "left").select("id", "status", "reason", "lang", "filename", "lighting", r6("score"))
 
 
-@query("ordered_edit_list", "WITH lists AS (SELECT l_orderkey AS job, list(l_partkey ORDER BY l_linenumber, l_partkey) AS ids FROM lineitem GROUP BY l_orderkey), items AS (SELECT job, unnest(ids) AS segment_id, unnest(range(0, len(ids))) AS pos FROM lists) SELECT job, CAST(pos AS INTEGER) AS pos, segment_id, p_name AS name FROM items LEFT JOIN (SELECT * FROM part WHERE p_size > 5) ON segment_id = p_partkey")
+@query("ordered_edit_list", "WITH lists AS (SELECT l_orderkey AS job, list(l_partkey ORDER BY l_linenumber, l_partkey) AS ids FROM lineitem GROUP BY l_orderkey), items AS (SELECT job, unnest(ids) AS segment_id, unnest(range(0, len(ids))) AS pos FROM lists) SELECT job, CAST(pos AS INTEGER) AS pos, segment_id, p_name AS name FROM items JOIN part ON segment_id = p_partkey")
 def ordered_edit_list(spark, d):
     ids = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"])
     jobs = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(ids.alias("segment_ids"))
-    segments = read(spark, d, "part").where("p_size > 5").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    segments = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     return cat.ordered_edit(jobs, segments).select("job", "pos", "segment_id", "name")
 
 

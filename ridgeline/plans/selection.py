@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import numbers
 from ridgeline.kernels import filters, framing, tracker
-from ridgeline.operators import clips, decisions, intervals, series
+from ridgeline.operators import clips, decisions, features, intervals, series
 from ridgeline.plans import flagship
 from ridgeline.plans import mapping as m
 from ridgeline.plans.registry import query, r6, read
+from ridgeline.sources import files
 
 _DOMINANT = "(SELECT asset, CAST(floor(t / 10) AS BIGINT) AS win, max(speed) AS s_speed, max(turn) AS s_turn, max(rough) AS s_rough, max(air_s) * 700 AS s_jump FROM seconds GROUP BY 1, 2)"
 
@@ -161,6 +162,12 @@ def content_fingerprint(spark, d):
     return read(spark, d, "documents").select("doc_id", F.concat(F.lit("s3s2_"), F.left(F.sha2(body, 256), F.lit(32))).alias("fingerprint"))
 
 
+@query("sampled_hash")
+def sampled_hash(spark, d):
+    """The file hash over texts as files, with windows of 100 bytes so that most texts are sampled."""
+    return read(spark, d, "documents").select("doc_id", files.hash_column(F.col("text").cast("binary"), 100).alias("hash"))
+
+
 @query("track_follow")
 def track_follow(spark, d):
     v = lambda i: F.get("embedding", F.lit(i)).cast("double")
@@ -195,12 +202,30 @@ def spectral_bands(spark, d):
     return filters.bands(own, "asset", "value", [(0.5, 3.0), (3.0, 12.0), (12.0, 45.0)])
 
 
-@query("roll_suppression", "WITH s AS (SELECT label, stddev_pop(embedding[1]::DOUBLE) AS body, stddev_pop(embedding[1]::DOUBLE * 0.5 + embedding[2]::DOUBLE * 0.1) AS one, stddev_pop(embedding[1]::DOUBLE * 0.7) AS two FROM embeddings GROUP BY label) SELECT label, round(1 - least(one, two) / body, 6) AS suppression, 1 - least(one, two) / body > 0.5 AS locked FROM s WHERE body > 0.01")
+def _spread_sql(name: str, source: str) -> str:
+    """A common table expression with the spread of the directions x, y, z of a table by label."""
+    return f"""{name}_u AS (SELECT label, x / n AS x, y / n AS y, z / n AS z FROM (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM {source}) WHERE n > 1e-9),
+{name}_m AS (SELECT label, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM {name}_u GROUP BY label),
+{name} AS (SELECT label, avg(degrees(acos(greatest(-1, least(1, (x * mx + y * my + z * mz) / sqrt(mx * mx + my * my + mz * mz)))))) AS {name} FROM {name}_u JOIN {name}_m USING (label) GROUP BY label HAVING count(*) > 1)"""
+
+
+def _turned_sql(sign: str) -> str:
+    return f"""SELECT label, (w*w+a*a-b*b-c*c)*x + 2*(a*b-({sign}w)*c)*y + 2*(a*c+({sign}w)*b)*z AS x, 2*(a*b+({sign}w)*c)*x + (w*w-a*a+b*b-c*c)*y + 2*(b*c-({sign}w)*a)*z AS y, 2*(a*c-({sign}w)*b)*x + 2*(b*c+({sign}w)*a)*y + (w*w-a*a-b*b+c*c)*z AS z FROM own"""
+
+
+_LEVEL_SQL = f"""WITH raw AS (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE + 0.3 AS z, 1.0 AS w0, embedding[4]::DOUBLE * 0.2 AS a0, embedding[5]::DOUBLE * 0.2 AS b0, embedding[6]::DOUBLE * 0.2 AS c0 FROM embeddings),
+own AS (SELECT label, x, y, z, w0 / n AS w, a0 / n AS a, b0 / n AS b, c0 / n AS c FROM (SELECT *, sqrt(w0*w0 + a0*a0 + b0*b0 + c0*c0) AS n FROM raw)),
+one_r AS ({_turned_sql('-')}), two_r AS ({_turned_sql('')}), {_spread_sql('body', 'own')}, {_spread_sql('one', 'one_r')}, {_spread_sql('two', 'two_r')}
+SELECT label, round(body, 6) AS spread, round(least(one, two), 6) AS image_spread, CASE WHEN body > 0.5 THEN round(1 - least(one, two) / body, 6) END AS suppression, CASE WHEN body > 0.5 THEN 1 - least(one, two) / body > 0.5 END AS locked FROM body JOIN one USING (label) JOIN two USING (label)"""
+
+
+@query("roll_suppression", _LEVEL_SQL)
 def roll_suppression(spark, d):
     v = lambda i: F.get("embedding", F.lit(i)).cast("double")
-    s = read(spark, d, "embeddings").groupBy("label").agg(F.stddev_pop(v(0)).alias("body"), F.stddev_pop(v(0) * 0.5 + v(1) * 0.1).alias("one"), F.stddev_pop(v(0) * 0.7).alias("two"))
-    gone = 1 - F.least("one", "two") / F.col("body")
-    return s.where("body > 0.01").select("label", r6(gone, "suppression"), (gone > 0.5).alias("locked"))
+    turn = numbers.normalised([F.lit(1.0), v(3) * 0.2, v(4) * 0.2, v(5) * 0.2])
+    own = read(spark, d, "embeddings").select("label", v(0).alias("grav_0"), v(1).alias("grav_1"), (v(2) + 0.3).alias("grav_2"), *[c.alias(f"iori_{x}") for c, x in zip(turn, "wxyz", strict=True)])
+    out = features.roll_suppression(own, "label")
+    return out.select("label", r6("spread"), r6("image_spread"), r6("suppression"), "locked")
 
 
 @query("visible_roll", f"WITH {m.SAMPLES}, r AS (SELECT asset, t, degrees(atan2(value - 245, k + 1)) AS roll FROM samples), q AS (SELECT asset, quantile_cont(roll, 0.5) AS mid FROM r GROUP BY asset) SELECT asset, t, round(0.4 * (roll - mid) + 2, 6) AS visible FROM r JOIN q USING (asset)")

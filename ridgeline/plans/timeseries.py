@@ -123,7 +123,7 @@ def chapter_time_carry(spark, d):
     return series.with_carried_time(own, "ride", "chapter", "anchor", "dur").select("ride", "chapter", "start")
 
 
-@query("payload_time_spread", f"WITH {m.SAMPLES}, w AS (SELECT asset, event_id, epoch(ts) AS st, CAST(k % 4 AS INTEGER) AS n, lead(epoch(ts)) OVER (PARTITION BY asset ORDER BY t) - epoch(ts) AS w, t FROM samples), f AS (SELECT *, coalesce(w, lag(w) OVER (PARTITION BY asset ORDER BY t), 0) AS ww FROM w) SELECT asset, event_id, j, round(st + j * ww / n, 3) AS at FROM (SELECT *, unnest(range(0, n)) AS j FROM f WHERE n > 0)")
+@query("payload_time_spread", f"WITH {m.SAMPLES}, w AS (SELECT asset, event_id, epoch(ts) AS st, CAST(k % 4 AS INTEGER) AS n, lead(epoch(ts)) OVER (PARTITION BY asset ORDER BY t) - epoch(ts) AS w, t FROM samples), s AS (SELECT *, CASE WHEN n > 0 THEN w / n END AS own FROM w), f AS (SELECT *, coalesce(own, last_value(own IGNORE NULLS) OVER (PARTITION BY asset ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0 / nullif(n, 0)) AS step FROM s) SELECT asset, event_id, j, round(st + j * step, 3) AS at FROM (SELECT *, unnest(range(0, n)) AS j FROM f WHERE n > 0)")
 def payload_time_spread(spark, d):
     own = m.samples(spark, d).select("asset", "event_id", F.col("t").alias("o"), (clock.epoch(F.col("ts"))).alias("st"), (F.col("k") % 4).cast("int").alias("n"))
     out = series.payload_times(own, "asset", "o", "st", "n")

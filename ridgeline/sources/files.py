@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions.media import VIDEO_SUFFIXES, ride_chapter
@@ -22,17 +22,32 @@ def find_videos(spark: SparkSession, root: str) -> DataFrame:
     return own.withColumn("__p", ride_chapter(F.col("name"))).select("path", "name", "bytes", "modified", F.col("__p.ride").alias("ride_id"), F.col("__p.chapter").alias("chapter"))
 
 
+def sampled_digest(n: int, read: Callable[[int, int], bytes], window: int = WINDOW) -> str:
+    """blake2b of the size and of all n bytes, or of the first, middle and last window if there are more than those hold.
+    read(size, start) gives bytes."""
+    digest = hashlib.blake2b(str(n).encode(), digest_size=16)
+    for start in (0,) if n <= 3 * window else (0, (n - window) // 2, n - window):
+        digest.update(read(n if n <= 3 * window else window, start))
+    return f"s3b2_{digest.hexdigest()}"
+
+
 def sampled_hash(path: str) -> str:
-    """blake2b of the size and of the whole file, or of its first, middle and last 8 MiB if it is larger than those."""
+    """The digest of a file, of which at most three windows are read."""
     from pyarrow import fs
 
     system, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
     with system.open_input_file(at) as f:
-        n = f.size()
-        digest = hashlib.blake2b(str(n).encode(), digest_size=16)
-        for start in (0,) if n <= 3 * WINDOW else (0, (n - WINDOW) // 2, n - WINDOW):
-            digest.update(f.read_at(n if n <= 3 * WINDOW else WINDOW, start))
-    return f"s3b2_{digest.hexdigest()}"
+        return sampled_digest(f.size(), f.read_at)
+
+
+def hash_column(content: Column, window: int = WINDOW) -> Column:
+    """The digest of binary content that is in a table already; null for null."""
+
+    @F.pandas_udf("string")
+    def of(batches: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else sampled_digest(len(x), lambda size, start, x=x: x[start : start + size], window) for x in batches], dtype=object)
+
+    return of(content)
 
 
 def with_content_hash(files: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ridgeline import nulls, schema
 from ridgeline.functions import clock, media, numbers
-from ridgeline.operators import calibration, catalogue, decisions, gates, intervals, series
+from ridgeline.operators import calibration, catalogue, decisions, gates, intervals, ordering, series
 from ridgeline.sources import files, payloads
 from ridgeline.streaming import extensions
 
@@ -98,6 +98,53 @@ def test_nan_boundary(spark):
         assert spark.createDataFrame([], s).count() == 0
 
 
+class Disk:
+    """A file system of names, on which renames from some names fail."""
+
+    def __init__(self, names, stuck):
+        self.names, self.stuck = dict(names), stuck
+
+    def exists(self, name):
+        return name in self.names
+
+    def rename(self, a, b):
+        if a in self.stuck or b in self.names:
+            return False
+        self.names[b] = self.names.pop(a)
+        return True
+
+    def delete(self, name, _):
+        return self.names.pop(name, None) is not None
+
+
+@pytest.mark.parametrize(("stuck", "left"), [((), {"at": "new"}), (("at",), {"at": "was"}), (("fresh",), {"at": "was"}), (("fresh", "gone"), {"gone": "was", "fresh": "new"})])
+def test_a_failed_swap_loses_nothing(stuck, left):
+    disk = Disk({"at": "was", "fresh": "new"}, stuck)
+    if stuck:
+        with pytest.raises(OSError):
+            catalogue.swap(disk, "at", "fresh", "gone")
+    else:
+        catalogue.swap(disk, "at", "fresh", "gone")
+    assert disk.names == left
+    first = Disk({"fresh": "new"}, ())
+    catalogue.swap(first, "at", "fresh", "gone")
+    assert first.names == {"at": "new"}
+
+
+def test_running_totals_over_several_parts(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, rng.randrange(40), rng.randrange(100)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, k int, v int").repartition(5)
+    got = {r["id"]: (r["n"], r["s"]) for r in ordering.running(df, ["k", "id"], {"n": F.lit(1), "s": F.col("v")}).collect()}
+    total = 0
+    for n, (i, _, v) in enumerate(sorted(rows, key=lambda r: (r[1], r[0]))):
+        assert got[i] == (n, total)
+        total += v
+    assert ordering.numbered(df.limit(0), ["k"], "n").count() == 0
+
+
 def test_queue(spark):
     jobs = spark.createDataFrame([], "id bigint, name string, status string, error string, created_at string")
     jobs = catalogue.enqueue(jobs, spark.createDataFrame([("a", "1"), ("b", "2")], "name string, created_at string"))
@@ -122,6 +169,11 @@ def test_catalogue_changes(spark, tmp_path):
     catalogue.save_snapshot(got, path)
     catalogue.save_snapshot(spark.read.parquet(path).limit(0), path)
     assert spark.read.parquet(path).count() == 0
+    jobs = spark.createDataFrame([(1, [2, 1]), (2, [1, 3])], "id bigint, segment_ids array<bigint>")
+    parts = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, name string")
+    assert [r["name"] for r in catalogue.ordered_edit(jobs.where("id = 1"), parts).orderBy("pos").collect()] == ["b", "a"]
+    with pytest.raises(Exception, match="no segment 3 for job 2"):
+        catalogue.ordered_edit(jobs, parts).collect()
     segments = spark.createDataFrame([(1, "candidate", None, None, None)], "id bigint, status string, reason string, t_in_user double, decided_at string")
     decided = catalogue.decide(segments, spark.createDataFrame([(1, "approved", "fun", 2.0, "now")], "id bigint, status string, reason string, t_in_user double, at string"))
     assert tuple(decided.first()) == (1, "approved", "fun", 2.0, "now")
