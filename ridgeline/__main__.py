@@ -1,4 +1,9 @@
-"""Command line: python -m ridgeline list | show NAME DIR [--top N] | write NAME DIR PATH [--csv]."""
+"""Command line: python -m ridgeline COMMAND ...
+
+Over a library folder: ingest ROOT FOLDER, score ROOT, calibrate ROOT, clips ROOT, rank ROOT [--by KEY] [--top N], inventory ROOT,
+buckets ROOT, log ROOT, label ROOT [TEXT] [--style S] [--mount M], archive ROOT FOLDER, restore ROOT FOLDER.
+Over tables: list, show NAME DIR [--top N], write NAME DIR PATH [--csv].
+"""
 
 from __future__ import annotations
 
@@ -6,12 +11,17 @@ import argparse
 import sys
 
 from ridgeline import plans
+from ridgeline.library import Library
+from ridgeline.operators import calibration, catalogue
 from ridgeline.session import session
 from ridgeline.sources.files import write_csv
 
+#: Commands over a library, with what they take beside its folder.
+LIBRARY = {"ingest": ["folder"], "score": [], "calibrate": [], "clips": [], "rank": [], "inventory": [], "buckets": [], "log": [], "label": [], "archive": ["folder"], "restore": ["folder"]}
 
-def main(args: list[str] | None = None) -> int:
-    parser = argparse.ArgumentParser(prog="ridgeline", description=__doc__)
+
+def parse(args: list[str] | None) -> argparse.Namespace:
+    parser = argparse.ArgumentParser(prog="ridgeline", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("list", help="names of the queries")
     show = commands.add_parser("show", help="print a query's first rows")
@@ -22,17 +32,59 @@ def main(args: list[str] | None = None) -> int:
     show.add_argument("--top", type=int, default=20)
     write.add_argument("path")
     write.add_argument("--csv", action="store_true", help="one CSV with a header instead of Parquet")
-    own = parser.parse_args(args)
+    for name, more in LIBRARY.items():
+        p = commands.add_parser(name, help=f"{name} of a library")
+        for x in ("root", *more):
+            p.add_argument(x)
+        if name in ("calibrate", "clips"):
+            p.add_argument("--weights", help="such as rough=0.8,turn=0.2")
+        if name == "rank":
+            p.add_argument("--by", choices=("clip", "top30", "floor"), default="clip")
+            p.add_argument("--top", type=int)
+        if name == "label":
+            p.add_argument("text", nargs="?")
+            p.add_argument("--style")
+            p.add_argument("--mount")
+    return parser.parse_args(args)
+
+
+def over_library(own: argparse.Namespace) -> None:
+    library = Library(session(), own.root)
+    weights = calibration.parse_weights(own.weights) if getattr(own, "weights", None) else None
+    if own.command == "ingest":
+        print(f"{library.ingest(own.folder)} new")
+    elif own.command == "score":
+        library.score()
+    elif own.command == "calibrate":
+        library.calibrate(weights).show(truncate=False)
+    elif own.command == "clips":
+        print(f"{library.clips(weights)} segments")
+    elif own.command == "rank":
+        library.rank(own.by, own.top).show(own.top or 1000, truncate=False)
+    elif own.command == "label":
+        if own.style or own.mount:
+            print(f"{library.label(own.text, own.style, own.mount)} changed")
+        else:
+            catalogue.label_counts(library.table("assets")).orderBy("style", "mount").show(1000, truncate=False)
+    else:
+        found = getattr(library, own.command)(*([own.folder] if LIBRARY[own.command] else []))
+        found.show(1000, truncate=False)
+
+
+def main(args: list[str] | None = None) -> int:
+    own = parse(args)
     if own.command == "list":
         print("\n".join(sorted(plans.QUERIES)))
-        return 0
-    df = plans.QUERIES[own.name](session(), own.dir)
-    if own.command == "show":
-        df.show(own.top, truncate=False)
-    elif own.csv:
-        write_csv(df, own.path)
+    elif own.command in LIBRARY:
+        over_library(own)
     else:
-        df.write.mode("overwrite").parquet(own.path)
+        df = plans.QUERIES[own.name](session(), own.dir)
+        if own.command == "show":
+            df.show(own.top, truncate=False)
+        elif own.csv:
+            write_csv(df, own.path)
+        else:
+            df.write.mode("overwrite").parquet(own.path)
     return 0
 
 

@@ -12,6 +12,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ridgeline.functions.numbers import rotate_offset
 
 DEAD, VELOCITY, ACCELERATION = 0.12, 0.02, 0.01
 ANCHOR, BOUND, ROUNDS, SETTLED = 1e-5, 1.0e4, 24, 1e-5
@@ -94,15 +98,48 @@ def solve_path(target: np.ndarray, weight: np.ndarray, dt: float, low: float = -
 
 
 def crop_paths(aims: DataFrame, clip: str, low: float, high: float, hz: float = HZ) -> DataFrame:
-    """(clip, t, z, rounds, saturated) from aims(clip, t, target, weight), on an even grid of hz."""
+    """(clip, t, z, rounds, saturated, violation) from aims(clip, t, target, weight), on an even grid of hz."""
     kind = dict(aims.dtypes)[clip]
 
     def kernel(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("t")
         path = solve_path(g["target"].to_numpy(float), g["weight"].to_numpy(float), 1 / hz, low, high)
-        return pd.DataFrame({clip: key[0], "t": g["t"].to_numpy(float), "z": path.z, "rounds": path.rounds, "saturated": path.saturated})
-
-    return aims.select(clip, "t", "target", "weight").groupBy(clip).applyInPandas(kernel, f"{clip} {kind}, t double, z double, rounds int, saturated double")
+        return pd.DataFrame({clip: key[0], "t": g["t"].to_numpy(float), "z": path.z, "rounds": path.rounds, "saturated": path.saturated, "violation": path.violation})
+
+    return aims.select(clip, "t", "target", "weight").groupBy(clip).applyInPandas(kernel, f"{clip} {kind}, t double, z double, rounds int, saturated double, violation double")
+
+
+def framed(track: DataFrame, clips: DataFrame, frame: tuple[int, int], crop: int, asset: str = "content_hash", applied_deg: float = 0.0) -> DataFrame:
+    """(clip, t, x, hits, n, held, pan_p50, pan_p95, saturated, violation_px): where the crop's left edge stands in each clip.
+
+    track(asset, t, u, v) has box centres as shares of the frame, null where there is none; clips(asset, clip, t_in, t_out). Each
+    clip is solved with two seconds around it, which are then left out, in crop widths, and given in pixels. hits is the share
+    of its frames with a box, held that of path points within the dead zone of their aim, pan the speed in crop widths a second.
+    """
+    from ridgeline.operators import intervals, series
+
+    width, height = frame
+    du, dv = (F.col("u") - 0.5) * width, (F.coalesce("v", F.lit(0.5)) - 0.5) * height
+    at = width / 2 + (rotate_offset(du, dv, F.lit(applied_deg)) if applied_deg else du)
+    spans = clips.select(asset, "clip", F.col("t_in").cast("double").alias("t_in"), F.col("t_out").cast("double").alias("t_out"))
+    seen = intervals.slices(track.select(asset, "t", ((at - crop / 2) / crop).alias("z")), spans, asset, "t", "clip", "t_in", "t_out", PAD)
+    seen = seen.join(spans.select("clip", "t_in", "t_out"), "clip")
+    hits = seen.where(F.col("t").between(F.col("t_in"), F.col("t_out"))).groupBy("clip").agg(F.avg(F.col("z").isNotNull().cast("double")).alias("hits"), F.count("*").alias("n"))
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.round((F.col("t_out") - F.col("t_in") + 2 * PAD) * HZ).cast("long")))
+    grid = spans.select("clip", (F.col("t_in") - PAD).alias("__from"), step.alias("__i")).select("clip", (F.col("__from") + F.col("__i") / HZ).alias("t"))
+    # a sighting counts for the grid point that is nearest, within a step
+    known = seen.where("z is not null").select("clip", "t", "z")
+    centre = (width - crop) / 2 / crop
+    aims = series.hold_then_ease(series.nearest(grid, known, "clip", "z", 1 / HZ), "clip", "t", "z", centre)
+    solved = crop_paths(aims, "clip", 0.0, (width - crop) / crop).join(aims.select("clip", "t", "target"), ["clip", "t"]).join(spans.drop(asset), "clip")
+    inside = solved.where((F.col("t") >= F.col("t_in") - 1e-9) & (F.col("t") <= F.col("t_out") + 1e-9))
+    speed = F.abs(F.col("z") - F.lag("z").over(W.partitionBy("clip").orderBy("t"))) * HZ
+    paths = inside.withColumn("__pan", speed)
+    report = paths.groupBy("clip").agg(
+        F.avg((F.abs(F.col("z") - F.col("target")) <= DEAD + 1e-9).cast("double")).alias("held"), F.percentile("__pan", F.lit(0.5)).alias("pan_p50"), F.percentile("__pan", F.lit(0.95)).alias("pan_p95"),
+    )
+    out = paths.join(report, "clip").join(hits, "clip", "left")
+    return out.select("clip", "t", (F.col("z") * crop).alias("x"), F.coalesce("hits", F.lit(0.0)).alias("hits"), F.coalesce("n", F.lit(0)).alias("n"), "held", "pan_p50", "pan_p95", "saturated", (F.col("violation") * crop).alias("violation_px"))
 
 
 def command_script(t: np.ndarray, x: np.ndarray, start: float, stop: float, what: str, hz: float = 50.0) -> str:

@@ -54,6 +54,23 @@ def ranked(df: DataFrame, breaks: DataFrame, features: list[str]) -> DataFrame:
     return out.select(*df.columns, *[rank_interp(F.col(f).cast("double"), F.col(f"b_{f}")).alias(f"s_{f}") for f in features])
 
 
+#: What each sub-score ranks, the first that an asset's second has: cornering force where the speed is known, else the turn.
+SOURCES = {"speed": ("speed_ms",), "turn": ("lat_accel", "yaw_rate"), "rough": ("rough",), "descent": ("grade",)}
+
+
+def score_breaks(scores: DataFrame, approximate: bool = False) -> DataFrame:
+    """corpus_breaks() of all columns that sub-scores rank."""
+    return corpus_breaks(scores, [c for own in SOURCES.values() for c in own], approximate)
+
+
+def sub_scores(scores: DataFrame, breaks: DataFrame) -> DataFrame:
+    """scores with s_speed, s_turn, s_rough, s_descent and s_air."""
+    columns = [c for own in SOURCES.values() for c in own]
+    out = ranked(scores, breaks, columns)
+    subs = [F.coalesce(*[F.col(f"s_{c}") for c in own]).alias(f"s_{k}") for k, own in SOURCES.items()]
+    return out.select(*scores.columns, *subs, air_score(F.col("air_s")).alias("s_air"))
+
+
 def leveled(df: DataFrame, subs: list[str], weights: list[float], sharpness: float = SHARPNESS) -> DataFrame:
     """df with level_raw, the power mean of the sub-scores, and key, which of them it is made of."""
     present = [F.col(s).isNotNull() & F.lit(w > 0) for s, w in zip(subs, weights, strict=True)]

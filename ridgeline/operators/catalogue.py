@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -83,6 +84,66 @@ def set_ride(assets: DataFrame, ride: str, lighting: str | None = None, mount: s
     return out.withColumn("mount", F.when(own, F.lit(mount)).otherwise(F.col("mount"))) if mount is not None else out
 
 
+def label(assets: DataFrame, text: str | None, style: str | None = None, mount: str | None = None) -> tuple[DataFrame, int]:
+    """(assets, how many changed): style and mount set by hand on those that a part of a ride or file name or a hash's start
+    picks, or on all. Those that have the values already are no change."""
+    given = {k: v for k, v in (("style", style), ("mount", mount)) if v}
+    mine = F.lit(True)
+    if text:
+        mine = F.contains(F.coalesce("ride_id", F.lit("")), F.lit(text)) | F.contains(F.coalesce("filename", F.lit("")), F.lit(text)) | F.startswith("content_hash", F.lit(text))
+    other = F.lit(False)
+    for k, v in given.items():
+        other = other | ~F.col(k).eqNullSafe(F.lit(v))
+    changed = assets.where(mine & other).count() if given else 0
+    return assets.withColumns({k: F.when(mine, F.lit(v)).otherwise(F.col(k)) for k, v in given.items()}) if given else assets, changed
+
+
+def label_counts(assets: DataFrame) -> DataFrame:
+    """(style, mount, files); what is not set is a dash."""
+    return assets.groupBy(F.coalesce("style", F.lit("-")).alias("style"), F.coalesce("mount", F.lit("-")).alias("mount")).agg(F.count("*").alias("files"))
+
+
+def by_id(segments: DataFrame, assets: DataFrame, segment: int):
+    """One segment with its asset, as a row; None if it is not there."""
+    return segments.where(F.col("id") == segment).join(assets, "content_hash").first()
+
+
+def known_queued(jobs: DataFrame, segments: DataFrame) -> DataFrame:
+    """(id, segment_id): what queued jobs ask for, of the segments that are approved."""
+    asked = jobs.where("status = 'queued'").select("id", F.explode("segment_ids").alias("segment_id"))
+    approved = segments.where("status = 'approved'").select(F.col("id").alias("segment_id"))
+    return asked.join(approved, "segment_id", "left_semi").select("id", "segment_id")
+
+
+def work(path: str, spark, do: Callable, clean: Callable | None = None, most: int | None = None) -> int:
+    """Do the queued jobs of the snapshot at the path, the oldest first and one at a time; returns how many were done.
+
+    do(row) makes a job's output and returns its path. If it raises, the job ends in an error with the message, clean(row) takes
+    away what was half made, and the next job is tried. Every change of status is a new snapshot, so a restart sees it; jobs that
+    an earlier worker left running end in an error first.
+    """
+    jobs = fail_orphans(spark.read.parquet(path))
+    save_snapshot(jobs, path)
+    done = 0
+    while most is None or done < most:
+        jobs = spark.read.parquet(path)
+        job = next_job(jobs).first()
+        if job is None:
+            break
+        mine = F.col("id") == job["id"]
+        save_snapshot(jobs.withColumn("status", F.when(mine, F.lit("running")).otherwise(F.col("status"))), path)
+        try:
+            result = {"status": "done", "out_path": do(job), "error": None}
+        except Exception as e:
+            if clean:
+                clean(job)
+            result = {"status": "error", "out_path": None, "error": str(e)[:500]}
+        jobs = spark.read.parquet(path)
+        save_snapshot(jobs.withColumns({k: F.when(mine, F.lit(v)).otherwise(F.col(k)).cast("string") for k, v in result.items()}), path)
+        done += 1
+    return done
+
+
 def enqueue(jobs: DataFrame, delta: DataFrame) -> DataFrame:
     """Jobs with new queued ones, numbered after the last."""
     last = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))  # one row

@@ -160,11 +160,27 @@ def roll_suppression(telemetry: DataFrame, group: str = ASSET, least: float = 0.
     return found.select(group, "spread", image.alias("image_spread"), share.alias("suppression"), (share > 0.5).alias("locked"))
 
 
-def level_summary(rolls: DataFrame, fits: DataFrame, asset: str = ASSET, still: float = 1.0) -> DataFrame:
-    """(asset, axis, gain, constant, spread, p95, share): how far the picture leans over a clip. rolls(asset, t, axis, roll); of
-    usable fits only. spread is the standard deviation of the visible roll, p95 that of its size, share how much of the time
-    it is more than still degrees off."""
-    seen = visible_roll(rolls, fits, asset)
-    return seen.groupBy(asset, "axis", "gain", "constant").agg(
-        F.stddev_pop("visible").alias("spread"), F.percentile(F.abs("visible"), F.lit(0.95)).alias("p95"), F.avg((F.abs("visible") > still).cast("double")).alias("share"),
-    )
+def level_summary(rolls: DataFrame, fits: DataFrame, asset: str = ASSET, least: float = 1.5) -> DataFrame:
+    """(asset, n, constant, spread, most, worth) of rolls(asset, t, axis, roll), of usable fits only: the median lean of the
+    picture in degrees, the span of the middle nine tenths and the greatest size around it, and if the median is worth a turn."""
+    seen = visible_roll(rolls, fits, asset).where(F.abs("visible") < float("inf"))
+    p = lambda q: F.percentile("visible", F.lit(q))
+    out = seen.groupBy(asset).agg(F.count("*").alias("n"), p(0.5).alias("constant"), p(0.95).alias("__hi"), p(0.05).alias("__lo"), F.max("visible").alias("__max"), F.min("visible").alias("__min"))
+    most = F.greatest(F.col("__max") - F.col("constant"), F.col("constant") - F.col("__min"))
+    return out.select(asset, "n", "constant", (F.col("__hi") - F.col("__lo")).alias("spread"), most.alias("most"), (F.abs("constant") >= least).alias("worth"))
+
+
+def turn_spread(df: DataFrame, group: str, order: str, turn: list[str]) -> DataFrame:
+    """(group, spread): the mean angle in degrees of unit quaternions from their mean. A quaternion and its negative are the same
+    turn, so all are brought to the side of the group's first one."""
+    q = [F.col(c) for c in turn]
+    size = norm(*q)
+    known = df.where((size > 1e-9) & (size < float("inf"))).select(group, order, *[(c / size).alias(f"__q{i}") for i, c in enumerate(q)])
+    first = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    side = F.signum(dot([F.col(f"__q{i}") for i in range(4)], [F.first(f"__q{i}").over(first) for i in range(4)]))
+    own = known.withColumn("__side", side).select(group, *[(F.col(f"__q{i}") * F.col("__side")).alias(f"__q{i}") for i in range(4)])
+    means = own.groupBy(group).agg(F.count("*").alias("__n"), *[F.avg(f"__q{i}").alias(f"__m{i}") for i in range(4)])
+    mean = [F.col(f"__m{i}") for i in range(4)]
+    along = F.abs(F.try_divide(dot([F.col(f"__q{i}") for i in range(4)], mean), norm(*mean)))
+    angle = F.degrees(2 * F.acos(F.least(F.lit(1.0), along)))
+    return own.join(means.where("__n > 1"), group).groupBy(group).agg(F.avg(angle).alias("spread"))

@@ -64,3 +64,23 @@ def upright(g0: Column, g1: Column, g2: Column) -> Column:
 def framing_gate(hits: Column, n: Column) -> Column:
     """Why a clip is framed on its centre, null if it follows the subject."""
     return F.when(F.coalesce(n, F.lit(0)) == 0, "not covered").when(hits / n < 0.15, "too few hits")
+
+
+LEAST_S, TINY_S = 20.0, 30.0
+
+
+def long_enough(duration: Column, least: float = LEAST_S) -> Column:
+    """Whether a recording lasts long enough to be ranked; an unknown duration doesn't."""
+    return F.coalesce(duration, F.lit(0.0)) >= least
+
+
+def has_position(streams: Column) -> Column:
+    """Whether a list of streams has a position stream."""
+    return F.coalesce(F.arrays_overlap(streams, F.array(F.lit("GPS5"), F.lit("GPS9"))), F.lit(False))
+
+
+def shortcomings(has_telemetry: Column, streams: Column, duration: Column) -> Column:
+    """What a recording lacks, as a list: telemetry, or position beside telemetry, and length."""
+    telemetry = F.coalesce(has_telemetry, F.lit(False))
+    cases = F.array(F.when(~telemetry, "no telemetry"), F.when(telemetry & ~has_position(streams), "no position"), F.when(~long_enough(duration, TINY_S), "tiny"))
+    return F.filter(cases, lambda x: x.isNotNull())

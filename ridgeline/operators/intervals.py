@@ -23,6 +23,22 @@ def points_inside(points: DataFrame, spans: DataFrame, asset: str, t: str, start
     return own.join(cells, [asset, "__cell"]).where((F.col(t) > F.col(start)) & (F.col(t) < F.col(end))).drop("__cell")
 
 
+def slices(series: DataFrame, clips: DataFrame, asset: str, t: str, key: str, start: str, end: str, pad: float = 0.0, width: float = 30.0) -> DataFrame:
+    """series with the key of each clip that holds its time, ends included, with so much around it. A row in two clips is there twice."""
+    own = clips.select(asset, key, (F.col(start) - pad).alias("__a"), (F.col(end) + pad).alias("__b"))
+    cells = own.withColumn("__cell", _cells(F.col("__a"), F.col("__b"), width))
+    placed = series.withColumn("__cell", F.floor(F.col(t) / width).cast("long"))
+    return placed.join(cells, [asset, "__cell"]).where(F.col(t).between(F.col("__a"), F.col("__b"))).drop("__cell", "__a", "__b")
+
+
+def within_any(points: DataFrame, spans: DataFrame, asset: str, t: str, start: str, end: str, width: float = 30.0) -> DataFrame:
+    """The points whose time any span holds, ends included, each once."""
+    cells = spans.select(asset, F.col(start).alias("__a"), F.col(end).alias("__b"), _cells(F.col(start), F.col(end), width).alias("__cell"))
+    placed = points.withColumn("__cell", F.floor(F.col(t) / width).cast("long")).alias("p")
+    same = (F.col(f"p.{asset}") == F.col(f"s.{asset}")) & (F.col("p.__cell") == F.col("s.__cell")) & F.col(f"p.{t}").between(F.col("s.__a"), F.col("s.__b"))
+    return placed.join(cells.alias("s"), same, "left_semi").drop("__cell")
+
+
 def overlaps(spans: DataFrame, asset: str, key: str, start: str, end: str, gap: float = 0.0, width: float = 30.0) -> DataFrame:
     """(asset, a, b), a < b, of spans that overlap or are less than the gap apart. Each pair is found in the first cell both touch."""
     cells = spans.select(asset, key, start, end, _cells(F.col(start) - gap, F.col(end) + gap, width).alias("__cell"))

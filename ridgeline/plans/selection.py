@@ -180,7 +180,7 @@ def track_follow(spark, d):
 def deadzone_path(spark, d):
     own = m.gappy(spark, d).select("asset", (F.col("t") / 10).alias("t"), (F.col("v") / 500).alias("z"))
     aims = series.hold_then_ease(own, "asset", "t", "z", 0.5)
-    return framing.crop_paths(aims, "asset", 0.1, 0.9)
+    return framing.crop_paths(aims, "asset", 0.1, 0.9).drop("violation")
 
 
 @query("roughness")

@@ -86,6 +86,69 @@ def resolve_originals(assets: DataFrame, present: DataFrame) -> DataFrame:
     return both.select("content_hash", F.when(F.col("__s"), F.col("source_path")).when(F.col("__a"), F.col("archived_path")).alias("path"), state.alias("state"))
 
 
+def _place(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+def copy_verified(source: str, target: str, expected: str) -> None:
+    """Copy a file beside the target, check its content, and only then give it its name. Nothing is left of a copy that fails."""
+    (a, b), (c, d) = _place(source), _place(target)
+    partial = f"{d}.partial"
+    try:
+        with a.open_input_stream(b) as data, c.open_output_stream(partial) as out:
+            while part := data.read(WINDOW):
+                out.write(part)
+        got = sampled_hash(f"{target}.partial")
+        if got != expected:
+            raise ValueError(f"the copy of {source} is {got}, not {expected}")
+        c.move(partial, d)
+    except BaseException:
+        if c.get_file_info(partial).is_file:
+            c.delete_file(partial)
+        raise
+
+
+def archive_file(source: str, folder: str, expected: str, known: str | None = None) -> str:
+    """The path of a file in the archive: where it is known to be, or a verified copy. A file of that name that is not known is
+    an error, since it may be another one."""
+    if known:
+        return known
+    target = f"{folder.rstrip('/')}/{source.rsplit('/', 1)[-1]}"
+    system, at = _place(target)
+    if system.get_file_info(at).is_file:
+        raise FileExistsError(f"{target} is there, but not as {expected}")
+    copy_verified(source, target, expected)
+    return target
+
+
+def restore_file(archived: str, folder: str, expected: str) -> str:
+    """The path of an archived file in a working folder: an earlier copy if it is still right, else a verified new one."""
+    target = f"{folder.rstrip('/')}/{archived.rsplit('/', 1)[-1]}"
+    system, at = _place(target)
+    if not (system.get_file_info(at).is_file and sampled_hash(target) == expected):
+        copy_verified(archived, target, expected)
+    return target
+
+
+def copied(files: DataFrame, folder: str, how: Callable[[str, str, str], str] = restore_file) -> DataFrame:
+    """files(content_hash, path) with target and error: each file archived or restored by a task of its own, one after the other
+    inside a partition. A file that fails has an error and doesn't stop the others."""
+
+    @F.pandas_udf("target string, error string")
+    def each(paths: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        rows = []
+        for path, expected in zip(paths, hashes, strict=True):
+            try:
+                rows.append((how(path, folder, expected), None))
+            except Exception as e:
+                rows.append((None, str(e)))
+        return pd.DataFrame(rows, columns=["target", "error"], dtype=object)
+
+    return files.withColumn("__c", each("path", "content_hash")).select(*files.columns, "__c.*")
+
+
 def read_gpx(spark: SparkSession, path: str, kind: str = "trkpt") -> DataFrame:
     """(lat, lon, ele) of a GPX file's points: trkpt, rtept or wpt."""
     schema = "_lat double, _lon double, ele double"
@@ -128,6 +191,12 @@ def load_calibration(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return spark.read.parquet(f"{path}/features"), spark.read.parquet(f"{path}/levels")
 
 
+def export_and_clear(segments: DataFrame, path: str) -> tuple[int, DataFrame]:
+    """(how many, segments): decisions exported, and taken back from the segments only after they were read back in full."""
+    n = export_decisions(segments.where("status <> 'candidate'"), path)
+    return n, segments.where("status = 'candidate'")
+
+
 def export_decisions(rows: DataFrame, path: str, tag: str = "decisions-1") -> int:
     """Decisions as JSON lines with a format tag; read back and counted before anything may be cleared. Returns the count."""
     rows.withColumn("format", F.lit(tag)).write.mode("overwrite").json(path)
