@@ -4,8 +4,8 @@ Five statistics of a document (words, their mean length, symbols, lines and word
 repeats), on logarithmic scales, make a vector. For each (lang, source) the minimum covariance
 determinant estimate is approached by concentration steps: from medians and absolute deviations,
 take the share H of rows with the smallest Mahalanobis distances, recompute mean and covariance from
-them, and repeat until no group's determinant falls any more, which it cannot do for ever; more than
-MOST_STEPS steps are an error. There is one start, so the estimate is the one that it leads to. A document whose squared distance
+them as long as the determinant falls: a group whose own does not keeps its estimate, so the steps
+come to an end; more than MOST_STEPS are an error. There is one start, so the estimate is the one that it leads to. A document whose squared distance
 exceeds CUTOFF is rejected.
 
 Only built-in functions are used. The vectors are fixed-point integers and the sums are exact, so the
@@ -32,6 +32,7 @@ CONSISTENT = 1.41
 CUTOFF = 50.0
 LEAST = 50
 MOST_STEPS = 100
+FALL = 0.01  # the least fall of a determinant's logarithm that counts
 #: Tables with a row a group are broadcast up to so many groups (a few hundred bytes each); beyond, they are joined by exchange.
 BROADCAST_GROUPS = 50_000
 FIXED = 1024  # fixed-point units
@@ -180,11 +181,14 @@ def estimates(fit: DataFrame, few: bool = False) -> DataFrame:
         far = _distance(fit, factors, "d", few).withColumn("q", F.round(F.log1p("d") * 64).cast("int"))
         near = far.groupBy("group").agg(F.percentile("q", F.lit(H)).alias("most"))
         moments = far.join(small(near), "group").where("q <= most").groupBy("group").agg(*sums)
-        after = materialize(_factors(moments), "factors")
-        falls = after.alias("a").join(factors.select("group", F.col("det").alias("was")).alias("b"), "group").where("det < was - 0.001")
-        settled = not falls.limit(1).count()
+        was = factors.select("group", F.struct(*factors.columns).alias("__was"))
+        both = _factors(moments).join(was, "group")
+        falls = F.col("det") < F.col("__was.det") - FALL
+        after = both.select("group", *[F.when(falls, F.col(c)).otherwise(F.col(f"__was.{c}")).alias(c) for c in factors.columns if c != "group"], falls.alias("__falls"))
+        after = materialize(after, "factors")
+        settled = not after.where("__falls").limit(1).count()
         drop_table(factors)
-        factors = after
+        factors = after.drop("__falls")
         if settled:
             return factors
     raise RuntimeError(f"estimates did not settle in {MOST_STEPS} steps")

@@ -485,11 +485,11 @@ def slow_verdicts(rows):
             far = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
             q = half_up(np.log1p(far) * 64)
             near = x[q <= np.percentile(q, 100 * quality_rules.H)]
-            mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * quality_rules.CONSISTENT + np.diag(floors**2)
-            det = np.linalg.slogdet(cov)[1]
-            if det >= was - 0.001:
+            new = near.mean(axis=0), np.cov(near.T, bias=True) * quality_rules.CONSISTENT + np.diag(floors**2)
+            det = np.linalg.slogdet(new[1])[1]
+            if det >= was - quality_rules.FALL:
                 break
-            was = det
+            (mean, cov), was = new, det
         far = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
         out |= {d: bool(f <= quality_rules.CUTOFF) for d, f in zip(docs, far, strict=True)}
     return out
