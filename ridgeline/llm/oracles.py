@@ -56,3 +56,72 @@ so_far AS (SELECT *, sum(n) OVER (PARTITION BY domain, l, s ORDER BY ord RANGE B
 copies AS (SELECT *, whole + CASE WHEN total <= remains THEN 1 ELSE 0 END AS copies FROM so_far)
 SELECT doc_id, domain, lang, source, unnest(range(copies)) AS epoch, n AS n_tokens FROM copies WHERE copies > 0
 """
+
+
+def op11(k: int, rounds: int, dim: int, scale: int, seed: int) -> str:
+    """Exact while sums of squares are below 2**53, as doubles are then."""
+    d = "CAST(list_inner_product(v.v, c.c) * -2 + list_inner_product(c.c, c.c) + list_inner_product(v.v, v.v) AS BIGINT)"
+    out = [f"""v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v, sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')) AS h, embedding AS e FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h, e) - 1 AS k, v AS c FROM (SELECT * FROM v ORDER BY h, e LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        out.append(f"""
+d{i} AS (SELECT v.r, c.k, {d} AS d FROM v, c{i} c),
+a{i} AS (SELECT r, min(d) AS d, arg_min(k, d * {k} + k) AS k FROM d{i} GROUP BY r)""")
+        if i < rounds:
+            out.append(f"""
+x{i} AS (SELECT a.k, v.v, unnest(range(1, {dim} + 1)) AS p FROM a{i} a JOIN v ON v.r = a.r),
+m{i} AS (SELECT k, list(m ORDER BY p) AS c FROM (SELECT k, p, floor(sum(v[p]) / count(*)) AS m FROM x{i} GROUP BY k, p) GROUP BY k),
+c{i + 1} AS (SELECT c.k, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN m{i} m ON m.k = c.k)""")
+    return f"""WITH {",".join(out)}
+SELECT v.vec_id, CAST(a.k AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c.c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v ON v.r = a.r JOIN c{rounds} c ON c.k = a.k"""
+
+
+def _op12() -> str:
+    # (cost, audit) as text that sorts by cost and then audit
+    add = lambda cost, letter, b: f"lpad(CAST(CAST(substr({b}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || '{letter}' || substr({b}, 10)"
+    more = "CASE WHEN f = 3 THEN 3 ELSE 0 END"
+    moves, free = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}, {0: 2, 1: 2, 2: 3, 3: 2}
+    row = []
+    for s in range(4):
+        kept = " ".join(f"WHEN ini = '{x}' THEN {add(more, 'K', f'b{t}')}" for x, t in moves[s].items())
+        keep = f"CASE {kept} ELSE '999999999' END"
+        rerole = add(f"3 + {more}", "R", f"b{free[s]}")
+        row.append(f"least({add(4, 'D', f'b{s}')}, CASE WHEN f IN (1, 2) THEN '999999999' ELSE least({keep}, {rerole}) END) AS r{s}")
+    return rf"""
+WITH RECURSIVE c AS (SELECT conv_id, coalesce(conv_id::VARCHAR, '') AS own, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(name, ''), lambda x: [ord(x), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 20 AS d FROM c),
+damaged AS (SELECT own, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy FROM crc WHERE d <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy) AS i FROM damaged),
+seen AS (SELECT *, substr(role, 1, 1) AS ini, row_number() OVER (PARTITION BY own, role, text ORDER BY i) AS nth FROM placed),
+rows AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN nth > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS f,
+  coalesce(lag(ini) OVER (PARTITION BY own ORDER BY i) || ini NOT IN ('su', 'ua', 'au'), false) AS bad FROM seen),
+counts AS (SELECT own, coalesce(max(turn)::HUGEINT - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (f = 1) AS blank, count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated, count(*) FILTER (bad) AS illegal, count(*) AS n FROM rows GROUP BY own),
+best AS (SELECT own, n AS i, '000000000' AS b0, '000000006II' AS b1, '000000003I' AS b2, '000000000' AS b3 FROM counts
+  UNION ALL SELECT own, i - 1, least(r0, {add(3, 'I', f"least(r2, {add(3, 'I', 'r3')})")}), least(r1, {add(3, 'I', f"least(r2, {add(3, 'I', 'r3')})")}), least(r2, {add(3, 'I', 'r3')}), least(r3, {add(3, 'I', 'r2')})
+  FROM (SELECT best.own, best.i, {", ".join(row)} FROM best JOIN rows ON rows.own = best.own AND rows.i = best.i)),
+audits AS (SELECT own, CAST(substr(b0, 1, 9) AS BIGINT) AS cost, substr(b0, 10) AS audit FROM best WHERE i = 0),
+letters AS (SELECT own, unnest(string_split(audit, '')) AS x, unnest(range(1, length(audit) + 1)) AS p FROM audits WHERE audit <> ''),
+steps AS (SELECT *, count(*) FILTER (x <> 'I') OVER (PARTITION BY own ORDER BY p) AS i, count(*) FILTER (x <> 'D') OVER (PARTITION BY own ORDER BY p) AS e FROM letters),
+made AS (SELECT s.own, s.p, s.x, s.e, rows.role, rows.text, max(CASE WHEN s.e = 1 AND s.x = 'K' AND rows.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY s.own) AS first FROM steps s LEFT JOIN rows ON rows.own = s.own AND rows.i = s.i WHERE s.x <> 'D'),
+texts AS (SELECT own, string_agg((CASE WHEN x = 'K' THEN role WHEN (e - first) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || (CASE WHEN x = 'I' THEN '' ELSE text END), chr(10) ORDER BY p) AS t FROM made GROUP BY own)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, own FROM c) o LEFT JOIN counts ON counts.own = o.own LEFT JOIN audits ON audits.own = o.own LEFT JOIN texts ON texts.own = o.own
+"""
+
+
+OP12 = _op12()
+
+
+def op13(rules: list[tuple[str, str]]) -> str:
+    """Pages that hold no canonical link and no refresh have no aliases, so here rules decide all; the tests hold aliases against a plain version."""
+    given = ", ".join(f"('{verdict}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for verdict, rule in rules)
+    return f"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+rules(verdict, rule, name, start) AS (VALUES {given}),
+fits AS (SELECT u.r, rules.rule, rules.verdict, row_number() OVER (PARTITION BY u.r ORDER BY length(rule) DESC, length(name) DESC) AS n FROM u JOIN rules ON (u.host = rules.name OR ends_with(u.host, '.' || rules.name)) AND starts_with(u.path, rules.start))
+SELECT u.page_id, u.host, u.path, fits.rule, coalesce(fits.verdict, 'allow') AS verdict FROM u LEFT JOIN fits ON fits.r = u.r AND fits.n = 1
+"""

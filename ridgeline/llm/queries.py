@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bit_packing, bpe_codec, golay_simhash, histogram_sort, line_dedup, m_tree, oracles, quality_rules, secret_scan, source_mix, token_counts
+from ridgeline.llm import bit_packing, bpe_codec, conversation_repair, golay_simhash, hamerly, histogram_sort, line_dedup, m_tree, oracles, quality_rules, secret_scan, source_mix, token_counts, url_filter
 from ridgeline.llm.common import table, text_batches
 
 
@@ -22,6 +22,8 @@ def tokenizer_path(name: str) -> str:
 DOMAINS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
 LANGUAGES = {"en": 6, "de": 2, "fr": 2, "es": 1}
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = (6, 10), 2, 17
+#: Fixed by the query's contract.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
 def domain_of(source: Column) -> Column:
@@ -97,6 +99,18 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("trip", bpe_codec.round_trip_column(F.col("text"), tokenizer_path("byte_bpe_50k.json"))).select("doc_id", "trip.*")
 
 
+def op11_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.clustered(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64, seed=1)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -109,6 +123,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mix": op8_source_mix,
         "op9_secret_scan": op9_secret_scan,
         "op10_bpe_codec": op10_bpe_codec,
+        "op11_hamerly": op11_hamerly,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_url_filter": op13_url_filter,
     }
 
 
@@ -117,4 +134,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": oracles.OP1,
         "op7_m_tree": oracles.OP7,
         "op8_source_mix": oracles.op8(DOMAINS, LANGUAGES, MIX_SHARE, MIX_EPOCHS, MIX_SEED),
+        "op11_hamerly": oracles.op11(16, 3, 64, 64, 1),
+        "op12_conversation_repair": oracles.OP12,
+        "op13_url_filter": oracles.op13(URL_RULES),
     }
