@@ -11,25 +11,29 @@ blocked by a rule and none is allowed by one: explicit allows go before blocks,
 before its class. Aliases need not be pages themselves.
 
 In the graph a URL is its host, path and query; the scheme and the fragment, which no rule sees, don't
-count, an empty path is "/", and dot segments are resolved. Everything is DataFrame expressions: tags are
-found in one pass over the page, in which comments, scripts, styles, titles and text areas are passed over.
+count, an empty path is "/", and dot segments are resolved. Tags are found in one pass over the page, in which
+comments, scripts, styles, titles and text areas are passed over; Python only reads those that tell an alias.
 """
 
 from __future__ import annotations
 
+import html
+import re
 import string
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import drop_table, materialize
+from ridgeline.llm.common import drop_table, materialize, text_batches
 from ridgeline.llm.components import components
 
 _RAW = r"<!--.*?(?:-->|\z)|" + "|".join(rf"<{x}\b.*?(?:</{x}\b|\z)" for x in ("script", "style", "textarea", "title"))
-#: Tags that tell aliases, and what is skipped on the way to them, in order.
-TAGS = rf"(?is){_RAW}|<(?:link|meta|base)\b(?:[^'\x22>]|\x22[^\x22]*\x22|'[^']*')*+>"
-ATTRIBUTES = r"""[^\s"'>/=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
-REFRESH = r"""(?is)^[\s0-9.]*[;,\s]\s*url\s*=\s*["']?([^"']*)"""
+#: Tags that tell aliases, and what is skipped on the way to them, in order. Every way through ends, at the text's end if need be.
+TAGS = rf"(?is){_RAW}|<(?:link|meta|base)\b(?:[^'\x22>]|\x22[^\x22]*(?:\x22|\z)|'[^']*(?:'|\z))*+(?:>|\z)"
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'>/=])([^\s"'>/=]++)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.A)
+_REFRESH = re.compile(r"""[\s0-9.]*[;,\s]\s*url\s*=\s*["']?([^"']*)""", re.I | re.A)
 
 
 def _lowered(c: Column) -> Column:
@@ -73,45 +77,63 @@ def alias_key(url: Column) -> Column:
     return F.when(_rest(url).isNotNull(), F.concat(host(url), _plain_path(path(url)), query))
 
 
-def resolved(base: Column, href: Column) -> Column:
-    """The http(s) URL that href, as written in a page at base, stands for; null for other schemes."""
-    href = F.regexp_replace(F.regexp_replace(F.regexp_replace(href, r"[\r\n\t]", ""), r"^\x20+|\x20+$", ""), r"(?i)&(?:amp|#38|#x26);", "&")
-    origin = F.concat(F.lit("http://"), host(base))
-    folder = F.regexp_extract(path(base), r"^(?:.*/)?", 0)
-    return (
-        F.when(F.rlike(href, F.lit(r"(?i)^https?://")), href)
-        .when(F.rlike(href, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), F.lit(None))
-        .when(F.startswith(href, F.lit("//")), F.concat(F.lit("http:"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
-        .when(F.rlike(href, F.lit("^[?#]|^$")), F.concat(origin, path(base), href))
-        .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), href))
-    )
+def resolved(base: str, href: str) -> str | None:
+    """The http(s) URL that href, as written in a page at base, stands for; None for other schemes and what is no URL."""
+    try:
+        out = urljoin(base, html.unescape(href).strip("\x20\t\n\r\f"))
+    except ValueError:
+        return None
+    return out if out.lower().startswith(("http://", "https://")) else None
+
+
+def _attributes(tag: str) -> dict[str, str]:
+    """The attributes of a tag by lower-case name, the first of each."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(tag):
+        value = m[2][1:-1] if m[2][0] in "\"'" else m[2]
+        out.setdefault(m[1].lower(), value)
+    return out
+
 
+def target(url: str, base: str | None, tag: str) -> str | None:
+    """The URL that a link or meta tag of a page says is the page's own, or None. base is the page's base tag."""
+    own = _attributes(tag)
+    if tag[:5].lower() == "<link":
+        href = own.get("href") if "canonical" in own.get("rel", "").lower().split() else None
+    else:
+        found = _REFRESH.match(own.get("content", "")) if own.get("http-equiv", "").lower() == "refresh" else None
+        href = found[1] if found and found[1] else None
+    if href is None:
+        return None
+    return resolved((resolved(url, _attributes(base).get("href", "")) if base else None) or url, href)
 
-def _attribute(tag: Column, name: str) -> Column:
-    """The value of the tag's first attribute of that name, without quotes; null if it has none."""
-    own = F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTES), F.lit(0)), lambda a: F.rlike(a, F.lit(rf"(?i)^{name}\s*=")))
-    value = F.regexp_replace(F.get(own, 0), r"^[^=]*=\s*", "")
-    return F.regexp_replace(value, r"""^["']|["']$""", "")
+
+def _targets(url: str, base: str, tag: str) -> Column:
+    @F.pandas_udf("string")
+    def found(urls: pd.Series, bases: pd.Series, tags: pd.Series) -> pd.Series:
+        return pd.Series([target(*x) for x in zip(urls, bases.astype(object).where(bases.notna(), None), tags, strict=True)], dtype=object)
+
+    return found(url, base, tag)
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): pairs of different alias keys that pages(url, html) say are one. A page without html or a key says nothing."""
-    tags = F.filter(F.regexp_extract_all("html", F.lit(TAGS), F.lit(0)), lambda t: F.rlike(t, F.lit(r"(?i)^<(?:link|meta|base)\b")))
-    base = F.get(F.filter(tags, lambda t: F.rlike(t, F.lit(r"(?is)^<base\b.*href"))), 0)
-    held = pages.where(F.rlike("html", F.lit(r"(?i)canonical|http-equiv"))).select("url", tags.alias("tags"), base.alias("base"))
-    held = held.where("size(tags) > 0").select("url", F.coalesce(resolved(F.col("url"), _attribute(F.col("base"), "href")), "url").alias("at"), F.explode("tags").alias("tag"))
-    link = F.rlike("tag", F.lit(r"(?i)^<link\b")) & F.rlike(_attribute(F.col("tag"), "rel"), F.lit(r"(?i)(?:^|\s)canonical(?:\s|$)"))
-    refresh = F.rlike("tag", F.lit(r"(?i)^<meta\b")) & (F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh")
-    to = F.nullif(F.regexp_extract(_attribute(F.col("tag"), "content"), REFRESH, 1), F.lit(""))
-    target = F.when(link, _attribute(F.col("tag"), "href")).when(refresh, to)
-    said = held.select("url", "at", target.alias("href")).where("href is not null")
-    return said.select(alias_key(F.col("url")).alias("a"), alias_key(resolved(F.col("at"), F.col("href"))).alias("b")).where("a <> b")
+    """(a, b): pairs of different alias keys that pages(url, html) say are one. A page without html or a key says nothing.
+
+    Tags are cut out in the JVM; Python sees only the tags that tell an alias, with the page's URL and base tag.
+    """
+    text_batches(pages.sparkSession)
+    held = pages.where(F.rlike("html", F.lit("(?i)canonical|refresh")) & (F.instr("url", "://") > 0))
+    held = held.select("url", F.filter(F.regexp_extract_all("html", F.lit(TAGS), F.lit(0)), lambda t: F.rlike(t, F.lit(r"(?is)^<(?:link|meta|base)\b.*>\z"))).alias("tags"))
+    base = F.get(F.filter("tags", lambda t: F.rlike(t, F.lit(r"(?is)^<base\b.*href"))), 0)
+    told = F.filter("tags", lambda t: F.rlike(t, F.lit("(?is)^<link.*canonical|^<meta.*refresh")))
+    held = held.select("url", base.alias("base"), F.explode(told).alias("tag"))
+    said = held.select("url", _targets("url", "base", "tag").alias("target")).where("target is not null")
+    return said.select(alias_key(F.col("url")).alias("a"), alias_key(F.col("target")).alias("b")).where("a <> b")
 
 
 def redirect_edges(redirects: DataFrame) -> DataFrame:
-    """(a, b) of a table of redirects(url, target) as a crawler notes them; rows with nulls or without :// say nothing."""
-    return redirects.select(alias_key(F.col("url")).alias("a"), alias_key(resolved(F.col("url"), F.col("target"))).alias("b")).where("a <> b")
+    """(a, b) of a table of redirects(url, target) as a crawler notes them, both whole URLs; rows with nulls or without :// say nothing."""
+    return redirects.select(alias_key(F.col("url")).alias("a"), alias_key(F.col("target")).alias("b")).where("a <> b")
 
 
 def _split(rule: str) -> tuple[str, str]:

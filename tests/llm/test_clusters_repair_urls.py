@@ -241,7 +241,7 @@ def plain_verdicts(pages, rules):
     near = {}
     for _, url, html in pages:
         key = parts_of(url)[2]
-        if key is not None and html:
+        if key is not None and html and len(html) < 10_000:  # the long ones have no whole tag
             own = Links(html)
             base = urljoin(url, own.base) if own.base else url
             for href in own.found:
@@ -299,6 +299,7 @@ def alias_pages():
         (21, "http://i.test/1", "<link title='rel=canonical > x' href='http://bad.test/' rel=nofollow>"),
         (22, "http://i.test/2", "<link data-rel=canonical rel='next canonical' href=http://bad.test/q>"),
         (23, "http://i.test/3", "<link " + '"" ' * 20_000 + "rel=canonical"),  # a tag without end
+        (29, "http://i.test/4", "<link " * 20_000 + "x" * 20_000 + " rel=canonical href='http://bad.test/'"),
         (24, "http://a.test/1", None),
         (24, "http://a.test/1", None),
         (25, "http://x.net/ads.js", ""), (26, "http://x.net", ""), (27, "http://net/ads", ""), (28, "http://xnet/ads", ""),
@@ -323,7 +324,7 @@ def df_lit():
 
 def test_redirects_are_aliases(spark):
     pages = spark.createDataFrame([(1, "http://a.test/1", None), (2, "http://z.test/", "")], "page_id long, url string, html string")
-    redirects = spark.createDataFrame([("http://a.test/1", "/2"), ("http://a.test/2", "http://bad.test/"), (None, "http://z.test/"), ("http://z.test/", None)], "url string, target string")
+    redirects = spark.createDataFrame([("http://a.test/1", "HTTPS://A.test/2#x"), ("http://a.test/2", "http://bad.test/"), (None, "http://z.test/"), ("http://z.test/", None)], "url string, target string")
     got = url_filter.judge(pages, RULES, redirects).select("page_id", "verdict")
     assert rows_of(got) == [(1, "block"), (2, "allow")]
 
