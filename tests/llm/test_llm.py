@@ -738,13 +738,13 @@ def slow_keys(text):
         if text[i] not in allowed or not behind:
             i += 1
             continue
-        places, j = [], i
+        places, j, fresh = [], i, True
         while j < len(text):
             if (k := between(j)) > j:
-                j = k
-            elif text[j] in allowed and not (text.startswith("-----", j) and (j == i or text[j - 1] not in allowed)):
+                j, fresh = k, True
+            elif text[j] in allowed and not (fresh and text.startswith("-----", j)):
                 places.append(j)
-                j += 1
+                j, fresh = j + 1, False
             else:
                 break
         data = "".join(text[j] for j in places).replace("-", "+").replace("_", "/")
@@ -853,9 +853,10 @@ def test_pipeline(spark, sf_dir):
         if not gone or gone < n:
             expected[doc] = (rest, len(rest) if gone else rows[doc]["n_chars"])
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in lines} == expected
-    prints = {d: slow_print(t) for d, (t, _) in expected.items()}
-    ids = sorted(prints)
-    root = roots(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 4])
+    sets = {d: near_sets.shingles(t.encode()) for d, (t, _) in expected.items()}
+    alike = lambda x, y: 5 * (both := len(np.intersect1d(x, y, assume_unique=True))) >= 4 * (len(x) + len(y) - both)
+    ids = sorted(sets)
+    root = roots(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if alike(sets[a], sets[b])])
     cleaned = spark.createDataFrame(lines, docs.schema)
     near = corpus_pipeline.near_stage(spark, cleaned, sf_dir)
     assert {r["doc_id"] for r in near.collect()} == {d for d in ids if root[d] == d}
