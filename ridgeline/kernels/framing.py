@@ -1,12 +1,19 @@
 """Smooth crop paths: a penalised path that moves only when the subject leaves a dead zone.
 
-The path minimises velocity and acceleration penalties plus, where the subject is outside the zone, the squared distance
-to the zone's near edge. Which samples are outside, and which are held at a bound, is guessed, solved for and guessed
-again until nothing changes. The matrix is pentadiagonal and solved by a banded Cholesky factorisation.
+A path z of a clip minimises the half of
+
+    dt * sum(weight * (gap(z, target - dead, target + dead)**2 + ANCHOR * (z - target)**2))
+    + z' P z + BOUND * sum(gap(z, low, high)**2),
+
+gap(x, a, b) being how far x is from [a, b] and P the penalty on velocity and acceleration. Its gradient is linear in
+pieces, so Newton's method ends when no sample changes its piece. The Hessian is P, which is pentadiagonal, plus a
+diagonal. Clips of like lengths are stacked, and one factorisation goes through all of them at once; short ones are
+filled up with rows of the identity.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,41 +27,52 @@ from ridgeline.functions.numbers import rotate_offset
 DEAD, VELOCITY, ACCELERATION = 0.12, 0.02, 0.01
 ANCHOR, BOUND, ROUNDS, SETTLED = 1e-5, 1.0e4, 24, 1e-5
 HZ, PAD = 10.0, 2.0
+#: Numbers of one stack at most, unless a single clip has more; and how much longer than its shortest clip a stack's longest may be.
+STACK, ALIKE = 1 << 20, 1.5
+
+
+def stacked_penalties(sizes: np.ndarray, dt: float, velocity: float, acceleration: float) -> np.ndarray:
+    """Diagonals 0, 1, 2 of velocity D1'D1 / dt + acceleration D2'D2 / dt**3 for paths of those sizes, as (3, longest, paths)."""
+    n = int(sizes.max(initial=0))
+    out = np.zeros((3, n, len(sizes)))
+    for stencil, scale in ((np.array([-1.0, 1.0]), velocity / dt), (np.array([1.0, -2.0, 1.0]), acceleration / dt**3)):
+        width = len(stencil)
+        if n < width:
+            continue
+        whole = np.arange(n - width + 1)[:, None] + width <= sizes  # differences within the path
+        for i in range(width):
+            for j in range(i, width):
+                out[j - i, i : i + len(whole)] += scale * stencil[i] * stencil[j] * whole
+    return out
 
 
 def penalty_bands(n: int, dt: float, velocity: float = VELOCITY, acceleration: float = ACCELERATION) -> np.ndarray:
-    """Diagonals 0, 1, 2 of velocity D1'D1 / dt + acceleration D2'D2 / dt**3, the D being difference operators."""
-    out = np.zeros((3, n))
-    for stencil, scale in (((-1.0, 1.0), velocity / dt), ((1.0, -2.0, 1.0), acceleration / dt**3)):
-        rows = n - len(stencil) + 1
-        if rows > 0:
-            for i, a in enumerate(stencil):
-                for j in range(i, len(stencil)):
-                    out[j - i, i : i + rows] += scale * a * stencil[j]
-    return out
+    """The diagonals of one path of n samples."""
+    return stacked_penalties(np.array([n]), dt, velocity, acceleration)[:, :, 0]
 
 
 def solve_banded(bands: np.ndarray, rhs: np.ndarray) -> np.ndarray:
-    """x with A x = rhs for the symmetric positive definite A of those three diagonals."""
+    """x with A x = rhs for symmetric positive definite A of those three diagonals, along the first axis; others are stacked."""
     n = len(rhs)
-    d, e, f = (bands[k].tolist() for k in range(3))
-    x = rhs.tolist()
-    l1, l2 = [0.0] * n, [0.0] * n  # A = L D L'
+    pivots, x = np.empty_like(rhs, dtype=float), np.array(rhs, dtype=float)
+    below = np.zeros((2, n + 2, *rhs.shape[1:]))  # the factor's diagonals: row i to rows i - 1 and i - 2
     for i in range(n):
-        if i >= 1:
-            e_in = e[i - 1] - (l1[i - 1] * d[i - 2] * l2[i] if i >= 2 else 0.0)
-            l1[i] = e_in / d[i - 1]
-            d[i] -= l1[i] ** 2 * d[i - 1] + (l2[i] ** 2 * d[i - 2] if i >= 2 else 0.0)
-            x[i] -= l1[i] * x[i - 1] + (l2[i] * x[i - 2] if i >= 2 else 0.0)
+        pivots[i] = bands[0, i]
+        if i > 1:
+            below[1, i] = bands[2, i - 2] / pivots[i - 2]
+            pivots[i] -= below[1, i] * bands[2, i - 2]
+            x[i] -= below[1, i] * x[i - 2]
+        if i > 0:
+            across = bands[1, i - 1] - below[0, i - 1] * (bands[2, i - 2] if i > 1 else 0.0)
+            below[0, i] = across / pivots[i - 1]
+            pivots[i] -= below[0, i] * across
+            x[i] -= below[0, i] * x[i - 1]
+    x /= pivots
+    for i in range(n - 2, -1, -1):
+        x[i] -= below[0, i + 1] * x[i + 1]
         if i + 2 < n:
-            l2[i + 2] = f[i] / d[i]
-    for i in reversed(range(n)):
-        x[i] /= d[i]
-        if i + 1 < n:
-            x[i] -= l1[i + 1] * x[i + 1]
-        if i + 2 < n:
-            x[i] -= l2[i + 2] * x[i + 2]
-    return np.array(x)
+            x[i] -= below[1, i + 2] * x[i + 2]
+    return x
 
 
 @dataclass
@@ -65,48 +83,98 @@ class Path:
     saturated: float
 
 
-def solve_path(target: np.ndarray, weight: np.ndarray, dt: float, low: float = -np.inf, high: float = np.inf, dead: float = DEAD, velocity: float = VELOCITY, acceleration: float = ACCELERATION) -> Path:
-    """The crop's path in the target's units."""
-    n = len(target)
-    if not n:
-        return Path(np.zeros(0), 0, 0.0, 0.0)
-    bounded = np.isfinite(low) and np.isfinite(high)
-    if bounded and high <= low:  # nowhere to go
-        return Path(np.full(n, low), 0, 0.0, 1.0)
-    if not bounded:
-        low, high = -np.inf, np.inf
-    fixed = penalty_bands(n, dt, velocity, acceleration)
+def stacked_paths(targets: list[np.ndarray], weights: list[np.ndarray], dt: float, low: float, high: float, dead: float, velocity: float, acceleration: float) -> list[Path]:
+    """The paths of several clips, none of them empty, within finite or infinite bounds."""
+    sizes = np.array([len(x) for x in targets])
+    shape = (int(sizes.max()), len(sizes))
+    inside = np.arange(shape[0])[:, None] < sizes
+    target, pull = np.zeros(shape), np.zeros(shape)
+    target.T[inside.T] = np.concatenate(targets)
+    pull.T[inside.T] = np.concatenate(weights) * dt
+    fixed = stacked_penalties(sizes, dt, velocity, acceleration)
     z = np.clip(target, low, high)
-    state = (np.abs(z - target) > dead, np.zeros(n, dtype=int))
-    for rounds in range(1, ROUNDS + 1):  # noqa: B007
-        out, held = state
-        near = target + dead * np.sign(z - target)
-        bands, rhs = fixed.copy(), weight * dt * (np.where(out, near, 0.0) + ANCHOR * target)
-        bands[0] += weight * dt * (out + ANCHOR)
-        if held.any():
-            bands[0] += BOUND * (held != 0)
-            rhs = rhs + BOUND * np.where(held < 0, low, np.where(held > 0, high, 0.0)).clip(-1e300, 1e300) * (held != 0)
-        new = solve_banded(bands, rhs)
-        after = (np.abs(new - target) > dead, np.where(new < low - 1e-12, -1, np.where(new > high + 1e-12, 1, 0)))
-        moved = np.abs(new - z).max()
-        same = all(np.array_equal(a != 0, b != 0) for a, b in zip(state, after, strict=True))
-        z, state = new, after
-        if same and moved < SETTLED:
-            break
-    clipped = np.clip(z, low, high)
-    return Path(clipped, rounds, float(np.abs(clipped - z).max()), float(np.mean(np.isclose(clipped, low) | np.isclose(clipped, high))))
+    rounds, going = np.zeros(len(sizes), dtype=int), np.arange(len(sizes))
+    while len(going):
+        own, aim, p = z[:, going], target[:, going], pull[:, going]
+        far, beyond = own - np.clip(own, aim - dead, aim + dead), own - np.clip(own, low, high)
+        bands = fixed[:, :, going]
+        slope = bands[0] * own + p * (far + ANCHOR * (own - aim)) + BOUND * beyond
+        for k in (1, 2):
+            slope[:-k] += bands[k][:-k] * own[k:]
+            slope[k:] += bands[k][:-k] * own[:-k]
+        bands[0] += p * ((far != 0) + ANCHOR) + BOUND * (beyond != 0) + ~inside[:, going]
+        step = solve_banded(bands, np.where(inside[:, going], -slope, 0.0))
+        z[:, going] = own + step
+        rounds[going] += 1
+        going = going[(np.abs(step).max(axis=0) >= SETTLED) & (rounds[going] < ROUNDS)]
+    out = []
+    for i, n in enumerate(sizes):
+        free = z[:n, i]
+        kept = np.clip(free, low, high)
+        at_edge = np.isclose(kept, low) | np.isclose(kept, high)
+        out.append(Path(kept, int(rounds[i]), float(np.abs(kept - free).max()), float(at_edge.mean())))
+    return out
+
+
+def solve_paths(targets: list[np.ndarray], weights: list[np.ndarray], dt: float, low: float = -np.inf, high: float = np.inf, dead: float = DEAD, velocity: float = VELOCITY, acceleration: float = ACCELERATION) -> list[Path]:
+    """The crop's path in each clip, in its target's units. Bounds count if both are finite; equal ones leave no choice."""
+    if not (np.isfinite(low) and np.isfinite(high)):
+        low, high = -np.inf, np.inf
+    elif high <= low:
+        return [Path(np.full(len(x), low), 0, 0.0, float(len(x) > 0)) for x in targets]
+    out = [Path(np.zeros(0), 0, 0.0, 0.0) for _ in targets]
+    stack: list[int] = []
+    for i in [*sorted((i for i, x in enumerate(targets) if len(x)), key=lambda i: len(targets[i])), None]:
+        if stack and (i is None or len(targets[i]) > ALIKE * len(targets[stack[0]]) or len(targets[i]) * (len(stack) + 1) > STACK):
+            for j, path in zip(stack, stacked_paths([targets[j] for j in stack], [weights[j] for j in stack], dt, low, high, dead, velocity, acceleration), strict=True):
+                out[j] = path
+            stack = []
+        stack.append(i)
+    return out
+
+
+def solve_path(target: np.ndarray, weight: np.ndarray, dt: float, low: float = -np.inf, high: float = np.inf, **penalties: float) -> Path:
+    """The path of a single clip."""
+    return solve_paths([target], [weight], dt, low, high, **penalties)[0]
+
+
+def by_clip(frames: Iterator[pd.DataFrame], clip: str) -> Iterator[list[pd.DataFrame]]:
+    """The rows of whole clips, some at a time, from frames that are sorted by clip."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        key = frame[clip]
+        first = key.iloc[0]
+        if held and not (first == (last := held[-1][clip].iloc[0]) or (pd.isna(first) and pd.isna(last))):
+            yield [pd.concat(held)]
+            held = []
+        new = (key != key.shift()) & ~(key.isna() & key.shift().isna())
+        parts = [x for _, x in frame.groupby(new.cumsum().to_numpy(), sort=False)]
+        if len(parts) > 1:
+            yield [pd.concat([*held, parts[0]]), *parts[1:-1]]
+            held = []
+        held.append(parts[-1])
+    if held:
+        yield [pd.concat(held)]
 
 
 def crop_paths(aims: DataFrame, clip: str, low: float, high: float, hz: float = HZ) -> DataFrame:
-    """(clip, t, z, rounds, saturated, violation) from aims(clip, t, target, weight), on an even grid of hz."""
+    """(clip, t, z, rounds, saturated, violation) from aims(clip, t, target, weight), on an even grid of hz.
+
+    A task reads its clips in order and solves those of a batch together. A clip's rows are held at once; nulls are refused.
+    """
     kind = dict(aims.dtypes)[clip]
 
-    def kernel(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("t")
-        path = solve_path(g["target"].to_numpy(float), g["weight"].to_numpy(float), 1 / hz, low, high)
-        return pd.DataFrame({clip: key[0], "t": g["t"].to_numpy(float), "z": path.z, "rounds": path.rounds, "saturated": path.saturated, "violation": path.violation})
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for clips in by_clip(frames, clip):
+            paths = solve_paths([g["target"].to_numpy(float) for g in clips], [g["weight"].to_numpy(float) for g in clips], 1 / hz, low, high)
+            sizes = [len(g) for g in clips]
+            more = {"z": np.concatenate([p.z for p in paths])} | {name: np.repeat([getattr(p, name) for p in paths], sizes) for name in ("rounds", "saturated", "violation")}
+            yield pd.concat(clips)[[clip, "t"]].reset_index(drop=True).assign(**more)
 
-    return aims.select(clip, "t", "target", "weight").groupBy(clip).applyInPandas(kernel, f"{clip} {kind}, t double, z double, rounds int, saturated double, violation double")
+    own = aims.select(clip, F.col("t").cast("double").alias("t"), "target", "weight").repartition(clip).sortWithinPartitions(clip, "t")
+    return own.mapInPandas(kernel, f"{clip} {kind}, t double, z double, rounds int, saturated double, violation double")
 
 
 def framed(track: DataFrame, clips: DataFrame, frame: tuple[int, int], crop: int, asset: str = "content_hash", applied_deg: float = 0.0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeline.functions.numbers import availability_key, power_mean, rank_interp, rising
+from ridgeline.operators import quantiles
 
 BREAKS = 101
 MIN_FEATURE, MIN_BUCKET, SPREAD = 100, 200, 1e-9
@@ -26,14 +27,16 @@ def long_features(df: DataFrame, keys: list[str], features: list[str]) -> DataFr
 
 
 def corpus_breaks(df: DataFrame, features: list[str], approximate: bool = False) -> DataFrame:
-    """(feature, n, breaks, reason): 101 linearly interpolated percentiles of each feature, in one pass.
+    """(feature, n, breaks, reason): 101 linearly interpolated percentiles of each feature.
 
-    breaks are null, with a reason, for features that cannot be ranked. Exact percentiles keep all distinct
-    values of a feature in one aggregation buffer; approximate uses a bounded sketch instead.
+    breaks are null, with a reason, for features that cannot be ranked. Exact percentiles are selected by refined
+    counts, in jobs that run at the call; approximate takes them from a bounded sketch, in one lazy pass.
     """
     own = long_features(df, [], features)
-    at = F.percentile_approx("value", grid(), 100_000) if approximate else F.percentile("value", grid())
-    found = own.groupBy("feature").agg(F.count("value").alias("n"), at.alias("breaks"))
+    if approximate:
+        found = own.groupBy("feature").agg(F.count("value").alias("n"), F.percentile_approx("value", grid(), 100_000).alias("breaks"))
+    else:
+        found = quantiles.percentiles(own.withColumnRenamed("feature", "g"), BREAKS).withColumnRenamed("g", "feature")
     all_ = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     joined = all_.join(found, "feature", "left")
     n = F.coalesce("n", F.lit(0))
@@ -77,10 +80,19 @@ def leveled(df: DataFrame, subs: list[str], weights: list[float], sharpness: flo
     return df.withColumn("level_raw", power_mean([F.col(s) for s in subs], weights, sharpness or SHARPNESS)).withColumn("key", availability_key(present))
 
 
-def level_breaks(levels: DataFrame) -> DataFrame:
-    """(key, n, breaks) of each availability key with enough rows, and of all rows (key null), by grouping sets."""
-    own = levels.where("level_raw is not null").groupingSets([["key"], []], "key")
-    found = own.agg(F.grouping("key").alias("every"), F.count("level_raw").alias("n"), F.percentile("level_raw", grid()).alias("breaks"))
+def level_breaks(levels: DataFrame, approximate: bool = False) -> DataFrame:
+    """(key, n, breaks) of each availability key with enough rows, and of all rows (key null). Exact ones by refined counts,
+    in jobs that run at the call; approximate ones from a bounded sketch, in one lazy pass."""
+    own = levels.where("level_raw is not null")
+    kind = levels.schema["key"].dataType
+    if approximate:
+        sets = own.groupingSets([["key"], []], "key")
+        found = sets.agg(F.grouping("key").alias("every"), F.count("level_raw").alias("n"), F.percentile_approx("level_raw", grid(), 100_000).alias("breaks"))
+    else:
+        # a group for each key, and one that no key is called
+        groups = F.explode(F.array(F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), F.lit("null")), F.lit("every")))
+        found = quantiles.percentiles(own.select(groups.alias("g"), F.col("level_raw").alias("value")), BREAKS)
+        found = found.select((F.col("g") == "every").cast("int").alias("every"), F.when(F.startswith("g", F.lit("=")), F.substr("g", F.lit(2))).cast(kind).alias("key"), "n", "breaks")
     return found.where((F.col("every") == 1) | (F.col("n") >= MIN_BUCKET)).select(F.when(F.col("every") == 0, F.col("key")).alias("key"), "n", rising(F.col("breaks")).alias("breaks"))
 
 

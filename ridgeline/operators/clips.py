@@ -1,7 +1,7 @@
 """Clips worth watching, from a score a second: peaks grow into stretches, and one clip survives each neighbourhood.
 
 All steps but two are joins and windows over rows. A stretch ends at the nearest second that is below a share of its peak,
-which is looked up in the asset's list of scores; means over seconds come from running sums joined at both ends.
+which is looked up in a pyramid of minima; means over seconds come from running sums joined at both ends.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from ridgeline.session import saved
 #: What a clip may be about, and the column that tells how much it is.
 KINDS = {"speed": "s_speed", "turn": "s_turn", "rough": "s_rough", "jump": "s_air_d"}
 
+#: Parts of a block of minima.
+FAN = 64
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -49,14 +52,51 @@ def bars(seconds: DataFrame, asset: str, rules: Rules) -> DataFrame:
     return out.where("__any").select(asset, "n", F.greatest(F.col("__h"), F.col("__m") + rise).alias("floor"), F.greatest(F.lit(rules.score), F.col("__m") + rise / 2).alias("bar"))
 
 
+def pyramid(seconds: DataFrame, asset: str, most: int) -> list[DataFrame]:
+    """Minima over blocks of FAN seconds, over FAN of those, and so on: (asset, block, mins), the minima of a block's parts in order."""
+    own, out = seconds.select(asset, F.col("i").alias("__i"), "y"), []
+    while True:
+        laid = own.groupBy(asset, F.expr(f"__i div {FAN}").cast("int").alias("block")).agg(F.array_sort(F.collect_list(F.struct("__i", "y"))).alias("__parts"))
+        level = saved(laid.select(asset, "block", F.transform("__parts", lambda p: p["y"]).alias("mins")))
+        out.append(level)
+        if most < FAN:
+            return out
+        own, most = level.select(asset, F.col("block").alias("__i"), F.array_min("mins").alias("y")), most // FAN
+
+
 def stretches(peaks: DataFrame, seconds: DataFrame, asset: str, rules: Rules) -> DataFrame:
-    """peaks(asset, i, y, ...) with first and last: the seconds around i that stay at or above the share of y."""
-    lists = seconds.groupBy(asset).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "y"))), lambda s: s["y"]).alias("__ys"))
-    low = F.filter(F.transform("__ys", lambda v, j: F.when(v < F.col("y") * rules.keep, j)), lambda j: j.isNotNull())
-    both = peaks.join(lists, asset).withColumn("__low", low)
-    before = F.array_max(F.filter("__low", lambda j: j < F.col("i")))
-    after = F.array_min(F.filter("__low", lambda j: j > F.col("i")))
-    return both.withColumn("first", F.coalesce(before + 1, F.lit(0))).withColumn("last", F.coalesce(after, F.size("__ys")) - 1).drop("__ys", "__low")
+    """peaks(asset, i, y, ...) with first and last: the seconds around i that stay at or above the share of y.
+
+    The nearest lower second to either side is looked up in a pyramid of minima: in the peak's own block, else in the
+    narrowest block around it that has a lower part on that side, and from there down. A peak carries FAN minima a level.
+    """
+    size = seconds.groupBy(asset).agg(F.count("*").cast("int").alias("__size"))
+    levels = pyramid(seconds, asset, (seconds.agg(F.max("i")).first()[0] or 0))
+    low = F.col("y") * F.lit(rules.keep)
+    found = peaks
+    for k, level in enumerate(levels):
+        found = found.withColumn("block", F.expr(f"i div {FAN ** (k + 1)}").cast("int")).join(level.withColumnRenamed("mins", f"__m{k}"), [asset, "block"], "left").drop("block")
+    left, right = F.lit(None), F.lit(None)
+    for k in reversed(range(len(levels))):  # the narrowest level that has one comes first
+        at = F.expr(f"i div {FAN ** k} % {FAN}").cast("int")
+        parts = F.transform(F.col(f"__m{k}"), lambda v, j: F.when(v < low, j))
+        before = F.array_max(F.filter(parts, lambda j: j < at))  # noqa: B023 (used in this round)
+        after = F.array_min(F.filter(parts, lambda j: j > at))  # noqa: B023
+        base = F.expr(f"i div {FAN ** (k + 1)} * {FAN}").cast("int")
+        hit = lambda j: F.struct(F.lit(k).alias("level"), (base + j).alias("block"))  # noqa: B023, E731
+        left, right = F.when(before.isNotNull(), hit(before)).otherwise(left), F.when(after.isNotNull(), hit(after)).otherwise(right)
+    none = "struct<level:int,block:int>"
+    found = found.withColumn("__left", left.cast(none)).withColumn("__right", right.cast(none)).drop(*[f"__m{k}" for k in range(len(levels))])
+    for k in reversed(range(len(levels) - 1)):  # down: the last or the first lower part of the block that was found
+        for side, pick in (("__left", F.array_max), ("__right", F.array_min)):
+            down = found[side]["level"] == k + 1
+            own = levels[k].select(asset, F.col("block").alias("__at"), F.col("mins").alias("__mins"))
+            found = found.withColumn("__at", F.when(down, F.col(side)["block"])).join(own, [asset, "__at"], "left")
+            part = pick(F.filter(F.transform("__mins", lambda v, j: F.when(v < low, j)), lambda j: j.isNotNull()))
+            lower = F.struct(F.lit(k).alias("level"), (F.col("__at") * FAN + part).alias("block"))
+            found = found.withColumn(side, F.when(F.col("__at").isNotNull(), lower).otherwise(F.col(side))).drop("__at", "__mins")
+    found = found.join(size, asset)
+    return found.withColumn("first", F.coalesce(F.col("__left")["block"] + 1, F.lit(0))).withColumn("last", F.coalesce(F.col("__right")["block"], F.col("__size")) - 1).drop("__left", "__right", "__size")
 
 
 def with_mean(df: DataFrame, seconds: DataFrame, asset: str, first: str, end: str, name: str) -> DataFrame:

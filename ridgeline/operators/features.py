@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeline.functions import clock
-from ridgeline.functions.numbers import dot, norm, normalised, quat_conjugate, quat_rotate
+from ridgeline.functions.numbers import dot, norm, normalised, quat_conjugate, quat_rotate, roll_angle
 from ridgeline.kernels import filters
 from ridgeline.operators import gates, series
 
@@ -52,6 +52,22 @@ def descent(grid: DataFrame, altitude: str) -> DataFrame:
     return slope.select(ASSET, "t", F.when(F.col("__alt").isNotNull(), F.col("__s")).alias("grade"))
 
 
+def native_or_grid(fused: DataFrame, telemetry: DataFrame, least: int = 64) -> DataFrame:
+    """(content_hash, t, gyro_0..2, grav_0..2): the samples at the gyroscope's own rate, and for assets that have no more than the least of
+    them those of the 10 Hz grid, in which faster turns are lost already."""
+    columns = [ASSET, "t", *[f"{s}_{i}" for s in ("gyro", "grav") for i in range(3)]]
+    if not set(columns) <= set(telemetry.columns):
+        return fused.select(*columns)
+    enough = fused.groupBy(ASSET).agg(F.count("*").alias("__n")).where(F.col("__n") > least).select(ASSET)
+    return fused.join(enough, ASSET, "left_semi").select(*columns).unionByName(telemetry.join(enough, ASSET, "left_anti").select(*columns))
+
+
+def twice(samples: DataFrame, value: str) -> DataFrame:
+    """samples of the assets that have a value at two of them at least: one alone is no series."""
+    n = F.count(F.when(F.abs(F.col(value).cast("double")) < float("inf"), 1)).over(W.partitionBy(ASSET))
+    return samples.withColumn("__n", n).where("__n >= 2").drop("__n")
+
+
 def compute(assets: DataFrame, telemetry: DataFrame, imu: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(scores, air events): a row for every second of assets(content_hash, duration_s).
 
@@ -62,11 +78,11 @@ def compute(assets: DataFrame, telemetry: DataFrame, imu: DataFrame) -> tuple[Da
     grid = series.grid(assets, ASSET, "duration_s")
     gated = gates.lock_gate(telemetry, ASSET, "gps_speed2d", "gps_fix")
     gated = gated.withColumn("__speed", gates.dop_gate(gates.plausible_speed(F.col("gps_speed2d")), F.col("gps_dop"))).withColumn("__alt", gates.dop_gate(F.col("gps_alt"), F.col("gps_dop"), F.col("gps_fix")))
-    speed = series.interpolate(grid, gated.select(ASSET, "t", F.col("__speed").alias("speed_ms")), ASSET, "speed_ms", series.MAX_GAP, clamp=False)
-    altitude = series.interpolate(grid, gated.select(ASSET, "t", "__alt"), ASSET, "__alt", series.MAX_GAP, clamp=False)
+    speed = series.interpolate(grid, twice(gated.select(ASSET, "t", F.col("__speed").alias("speed_ms")), "speed_ms"), ASSET, "speed_ms", series.MAX_GAP, clamp=False)
+    altitude = series.interpolate(grid, twice(gated.select(ASSET, "t", "__alt"), "__alt"), ASSET, "__alt", series.MAX_GAP, clamp=False)
     gravity = telemetry.select(ASSET, "t", "grav_0", "grav_1", "grav_2")
     fused = onto(imu.select(ASSET, "t", "gyro_0", "gyro_1", "gyro_2"), gravity, ["grav_0", "grav_1", "grav_2"])
-    turn = filters.turn_rate(fused, ASSET).withColumnRenamed("value", "yaw_rate")
+    turn = filters.turn_rate(native_or_grid(fused, telemetry), ASSET).withColumnRenamed("value", "yaw_rate")
     rough = filters.roughness(imu, ASSET).withColumnRenamed("value", "rough")
     accl = imu.select(ASSET, "t", norm(*[F.col(f"accl_{i}") for i in range(3)]).alias("__mag"))
     air = series.freefall(accl, ASSET, "t", "__mag")
@@ -111,6 +127,23 @@ def recorded(container: Column, gps: Column) -> Column:
     return F.when(F.abs(gps - container) > MAX_DRIFT, gps).otherwise(F.coalesce(container, gps))
 
 
+def body_roll(telemetry: DataFrame, axis: int = 2, asset: str = ASSET, least: int = 10) -> DataFrame:
+    """(asset, t, axis, roll): degrees that the body leans, from grav_0..2, if the axis is the one that the camera looks along.
+
+    Down is the other axis that carries more of an asset's mean gravity, whichever way it points, so level is zero. Samples
+    without a direction have no roll, and assets with fewer than the least of others no rows. Angles are not unwrapped.
+    """
+    g = [F.col(f"grav_{i}").cast("double") for i in range(3)]
+    whole = F.coalesce(norm(*g) > 1e-6, F.lit(False)) & F.coalesce(norm(*g) < float("inf"), F.lit(False))
+    own = telemetry.select(asset, "t", *[F.when(whole, x / norm(*g)).alias(f"__{i}") for i, x in enumerate(g)])
+    p, q = (i for i in range(3) if i != axis)
+    means = own.groupBy(asset).agg(F.count(f"__{p}").alias("__n"), *[F.avg(f"__{i}").alias(f"__m{i}") for i in (p, q)]).where(F.col("__n") >= least)
+    first = F.abs(f"__m{p}") >= F.abs(f"__m{q}")
+    side, down = F.when(first, F.col(f"__{q}")).otherwise(F.col(f"__{p}")), F.when(first, F.col(f"__{p}")).otherwise(F.col(f"__{q}"))
+    upright = F.signum(F.when(first, F.col(f"__m{p}")).otherwise(F.col(f"__m{q}")))
+    return own.join(means, asset).select(asset, "t", F.lit(axis).alias("axis"), roll_angle(side, upright * down).alias("roll"))
+
+
 def roll_fit(tilts: DataFrame, asset: str = ASSET, least: int = 12) -> DataFrame:
     """(asset, axis, corr, gain, constant, usable) of tilts(asset, axis, tilt, roll, confidence): the candidate axis whose body
     roll follows the tilt seen in the picture best. Usable with enough frames, a correlation of 0.35 and a plausible gain."""
