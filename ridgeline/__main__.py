@@ -1,7 +1,8 @@
 """Command line: python -m ridgeline COMMAND ...
 
 Over a library folder: ingest ROOT FOLDER, score ROOT, calibrate ROOT, clips ROOT, rank ROOT [--by KEY] [--top N], inventory ROOT,
-buckets ROOT, log ROOT, label ROOT [TEXT] [--style S] [--mount M], archive ROOT FOLDER, restore ROOT FOLDER.
+buckets ROOT, log ROOT, label ROOT [TEXT] [--style S] [--mount M], archive ROOT FOLDER, restore ROOT FOLDER, relink ROOT FOLDER,
+verify ROOT [TEXT], errors ROOT, timing ROOT, retime ROOT, level ROOT, migrate ROOT; calibrate --approximate takes sketches.
 Over tables: list, show NAME DIR [--top N], write NAME DIR PATH [--csv].
 """
 
@@ -17,7 +18,7 @@ from ridgeline.session import session
 from ridgeline.sources.files import write_csv
 
 #: Commands over a library, with what they take beside its folder.
-LIBRARY = {"ingest": ["folder"], "score": [], "calibrate": [], "clips": [], "rank": [], "inventory": [], "buckets": [], "log": [], "label": [], "archive": ["folder"], "restore": ["folder"]}
+LIBRARY = {"ingest": ["folder"], "score": [], "calibrate": [], "clips": [], "rank": [], "inventory": [], "buckets": [], "log": [], "label": [], "archive": ["folder"], "restore": ["folder"], "verify": [], "errors": [], "timing": [], "relink": ["folder"], "retime": [], "level": [], "migrate": []}
 
 
 def parse(args: list[str] | None) -> argparse.Namespace:
@@ -38,6 +39,10 @@ def parse(args: list[str] | None) -> argparse.Namespace:
             p.add_argument(x)
         if name in ("calibrate", "clips"):
             p.add_argument("--weights", help="such as rough=0.8,turn=0.2")
+        if name == "calibrate":
+            p.add_argument("--approximate", action="store_true", help="percentiles from bounded sketches")
+        if name == "verify":
+            p.add_argument("text", nargs="?")
         if name == "rank":
             p.add_argument("--by", choices=("clip", "top30", "floor"), default="clip")
             p.add_argument("--top", type=int)
@@ -56,7 +61,11 @@ def over_library(own: argparse.Namespace) -> None:
     elif own.command == "score":
         library.score()
     elif own.command == "calibrate":
-        library.calibrate(weights).show(truncate=False)
+        library.calibrate(weights, own.approximate).show(truncate=False)
+    elif own.command == "migrate":
+        print(f"was at version {library.migrate()}")
+    elif own.command == "verify":
+        library.verify(own.text).show(1000, truncate=False)
     elif own.command == "clips":
         print(f"{library.clips(weights)} segments")
     elif own.command == "rank":

@@ -1,6 +1,6 @@
 """A library of recordings as a folder of tables, and the stages that fill it: one pass of each over all that is new.
 
-    assets  runs  telemetry  imu  scores  air  features  levels  segments  jobs
+    assets  runs  telemetry  imu  scores  air  calibration  segments  jobs  version
 
 Series are partitioned by asset, so a stage that runs again replaces only the assets it was given; the catalogue's tables are
 snapshots that are replaced as a whole.
@@ -8,6 +8,7 @@ snapshots that are replaced as a whole.
 
 from __future__ import annotations
 
+import warnings
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ridgeline import schema
 from ridgeline.operators import calibration as cal
-from ridgeline.operators import catalogue, clips, extraction, features, gates, series
+from ridgeline.operators import catalogue, checks, clips, extraction, features, gates, series
 from ridgeline.session import saved
 from ridgeline.sources import files
 
@@ -47,53 +48,130 @@ class Library:
     def replace(self, name: str, df: DataFrame) -> None:
         catalogue.save_snapshot(df, self.path(name))
 
-    def record(self, stage: str, assets: DataFrame) -> None:
-        """Note that a stage went well for assets(content_hash)."""
+    def record(self, stage: str, assets: DataFrame, failed: DataFrame | None = None) -> None:
+        """Note that a stage went well for assets(content_hash), and why it did not for failed(content_hash, error)."""
         now = F.lit(datetime.now(timezone.utc)).cast("timestamp")
-        done = assets.select(ASSET, F.lit(stage).alias("stage"), F.lit(catalogue.STAGES[stage]).alias("stage_version"), F.lit("ok").alias("status"), now.alias("started_at"), now.alias("finished_at"), F.lit(None).cast("string").alias("error"))
+        none = F.lit(None).cast("string")
+        ended = assets.select(ASSET, F.lit("ok").alias("status"), none.alias("error"))
+        if failed is not None:
+            ended = ended.unionByName(failed.select(ASSET, F.lit("error").alias("status"), "error"))
+        done = ended.select(ASSET, F.lit(stage).alias("stage"), F.lit(catalogue.STAGES[stage]).alias("stage_version"), "status", now.alias("started_at"), now.alias("finished_at"), "error")
         self.replace("runs", catalogue.record_stage(self.table("runs"), done))
 
     def pending(self, stage: str) -> DataFrame:
-        """The assets that a stage has not been done for in its present version."""
+        """The assets that a stage has not been done for in its present version: also those for which it failed."""
         runs = catalogue.stage_done(self.table("runs"), catalogue.stage_versions(self.table("runs"))).where((F.col("stage") == stage) & F.col("done"))
         return self.table("assets").join(runs.select(ASSET), ASSET, "left_anti")
 
+    def errors(self) -> DataFrame:
+        """(content_hash, filename, stage, error) of the last runs that failed."""
+        return self.table("runs").where("status = 'error'").join(self.table("assets").select(ASSET, "filename"), ASSET, "left").select(ASSET, "filename", "stage", "error").orderBy("filename", "stage")
+
+    def migrate(self) -> int:
+        """Bring the catalogue up to the present version, step by step; returns the version it had. A step that failed is done again."""
+        had = self.spark.read.parquet(self.path("version")).first()["version"] if self.has("version") else 0
+        for version in range(had + 1, len(STEPS) + 1):
+            STEPS[version - 1](self)
+            self.replace("version", self.spark.createDataFrame([(version,)], "version int"))
+        return had
+
+    def add_columns(self) -> None:
+        """The catalogue's tables get the columns and types of their schemas."""
+        for name, of in CATALOGUE.items():
+            if self.has(name) and self.table(name).dtypes != (empty := self.spark.createDataFrame([], of())).dtypes:
+                self.replace(name, catalogue.in_schema(self.table(name), empty.schema))
+
+    def fill_rides(self) -> None:
+        """Recordings from before rides were known get theirs from their names."""
+        if self.has("assets"):
+            self.replace("assets", catalogue.backfill_rides(self.table("assets")))
+
     def ingest(self, folder: str) -> int:
-        """Find the videos of a folder, and read the telemetry of those that are new; returns how many were."""
-        found = saved(files.with_content_hash(files.find_videos(self.spark, folder)).dropDuplicates([ASSET]))
+        """Find the videos of a folder, and read the telemetry of those that are new; returns how many were read.
+
+        A file that cannot be read fails alone: its run ends in an error with the message, and it is tried again next time.
+        """
+        self.migrate()
+        found = saved(files.probed(files.with_content_hash(files.find_videos(self.spark, folder)).dropDuplicates([ASSET])))
         delta = found.select(ASSET, F.col("name").alias("filename"), F.col("path").alias("source_path"), "ride_id", "chapter", "bytes")
         self.replace("assets", catalogue.upsert(self.table("assets"), delta, [ASSET]))
-        fresh = saved(self.pending("telemetry").join(found.select(ASSET), ASSET, "left_semi").select(ASSET, "source_path"))
-        paths = [r["source_path"] for r in fresh.select("source_path").collect()]  # names of files, a task each
-        if not paths:
+        todo = saved(self.pending("telemetry").select(ASSET, "source_path", "bytes").join(found.select(ASSET, "container_s", "error"), ASSET))
+        readable = todo.where("error is null").select("source_path", "bytes").collect()  # names and sizes of files: what the reader plans its tasks from
+        broken = todo.where("error is not null").select(ASSET, "error")
+        if not readable:
+            self.record("telemetry", todo.limit(0), broken)
             return 0
-        payloads = extraction.read_payloads(self.spark, paths).withColumnRenamed(ASSET, "source_path")
-        hashed = payloads.join(fresh.select(F.regexp_replace("source_path", "^file:/+", "/").alias("__p"), ASSET), F.regexp_replace("source_path", "^file:/+", "/") == F.col("__p")).drop("__p", "source_path")
+        payloads = extraction.read_payloads(self.spark, [r["source_path"] for r in readable], sizes=[r["bytes"] for r in readable], errors=True).withColumnRenamed(ASSET, "source_path")
+        payloads = saved(payloads.join(todo.select("source_path", ASSET), "source_path").drop("source_path"))
+        failed = payloads.where("error is not null").groupBy(ASSET).agg(F.min("error").alias("error"))
+        broken = saved(broken.unionByName(failed))
+        fresh = saved(todo.join(broken.select(ASSET), ASSET, "left_anti"))
+        hashed = payloads.drop("error").join(broken.select(ASSET), ASSET, "left_anti")
         telemetry, imu, streams = extraction.extract(hashed, [f.name for f in schema.telemetry().fields if f.name not in (ASSET, "t")])
         files.write_series(telemetry, self.path("telemetry"))
         files.write_series(imu, self.path("imu"))
+        odd = extraction.unknown_layouts(hashed).select(ASSET, F.concat_ws(" ", "key", F.lit("has"), F.col("n").cast("string"), F.lit("fields")).alias("__odd"))
+        for r in odd.groupBy("__odd").agg(F.count("*").alias("n")).orderBy("__odd").collect():  # a row a kind of stream
+            warnings.warn(f"{r['__odd']} in {r['n']} file(s): its columns get numbers for names", stacklevel=2)
         listed = streams.groupBy(ASSET).agg(F.sort_array(F.collect_set("key")).alias("streams"))
-        ends = self.table("telemetry").groupBy(ASSET).agg((F.max("t") + 0.1).alias("duration_s"))
-        known = listed.join(ends, ASSET, "left").withColumn("has_gpmd", F.lit(True))
+        ends = self.table("telemetry").groupBy(ASSET).agg((F.max("t") + 0.1).alias("__end"))
+        known = fresh.select(ASSET, "container_s").join(listed, ASSET, "left").join(ends, ASSET, "left")
+        known = known.select(ASSET, "streams", F.coalesce("container_s", "__end").alias("duration_s"), F.col("streams").isNotNull().alias("has_gpmd"))
         self.replace("assets", catalogue.upsert(self.table("assets"), known, [ASSET]))
-        self.record("telemetry", fresh)
-        return len(paths)
+        self.record("telemetry", fresh, broken)
+        return fresh.count()
+
+    def verify(self, text: str | None = None) -> DataFrame:
+        """(filename, metric, value, verdict) of the recordings that a text picks, or of all."""
+        assets = self.table("assets")
+        own = catalogue.find(assets, text) if text else assets
+        return checks.verify(self.table("telemetry"), own).join(own.select(ASSET, "filename"), ASSET).select("filename", "metric", "value", "verdict").orderBy("filename", "metric")
+
+    def timing(self) -> DataFrame:
+        """(stage, runs, failed, seconds, share) of the runs noted."""
+        took = F.col("finished_at").cast("double") - F.col("started_at").cast("double")
+        own = self.table("runs").groupBy("stage").agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "error").alias("failed"), F.sum(took).alias("seconds"))
+        return own.withColumn("share", F.try_divide("seconds", F.sum("seconds").over(W.partitionBy()))).orderBy("stage")  # a row a stage
+
+    def relink(self, folder: str) -> DataFrame:
+        """(content_hash, state, path): recordings that moved get the path at which a folder has them; found, missing or unknown."""
+        found = saved(files.index_archive(files.find_videos(self.spark, folder).select("path")))
+        moved = found.join(self.table("assets").select(ASSET), ASSET, "left_semi").select(ASSET, F.col("path").alias("source_path"))
+        self.replace("assets", catalogue.upsert(self.table("assets"), moved, [ASSET]))
+        return catalogue.relink(self.table("assets"), found).join(found, ASSET, "left")
+
+    def retime(self) -> DataFrame:
+        """(filename, recorded_at_gps, clock_drift_s, lighting): starts by position, saved; those without one follow their ride's chapters."""
+        assets, telemetry = self.table("assets"), self.table("telemetry")
+        place = telemetry.groupBy(ASSET).agg(F.percentile("gps_lat", F.lit(0.5)).alias("__lat"), F.percentile("gps_lon", F.lit(0.5)).alias("__lon"), F.percentile("isoe", F.lit(0.5)).alias("iso"))
+        own = assets.drop("gps_lat", "gps_lon").join(place, ASSET, "left").withColumnsRenamed({"__lat": "gps_lat", "__lon": "gps_lon"})
+        timed = saved(features.retime(own, features.gps_start(telemetry)))
+        delta = timed.select(ASSET, F.timestamp_seconds("started").alias("recorded_at_gps"), F.col("drift_s").alias("clock_drift_s"), "lighting", "lighting_source", "gps_lat", "gps_lon")
+        self.replace("assets", catalogue.upsert(assets, delta, [ASSET]))
+        return self.table("assets").select("filename", "recorded_at_gps", "clock_drift_s", "lighting").orderBy("filename")
+
+    def level(self) -> DataFrame:
+        """(filename, spread, image_spread, suppression, locked): how steady gravity is in the body and in the picture; locked is saved."""
+        steady = saved(features.roll_suppression(self.table("telemetry")))
+        self.replace("assets", catalogue.upsert(self.table("assets"), steady.select(ASSET, F.col("locked").alias("horizon_locked")), [ASSET]))
+        return self.table("assets").select(ASSET, "filename").join(steady, ASSET).drop(ASSET).orderBy("filename")
 
     def score(self) -> None:
         """A row of features for every second of the assets that have telemetry and no scores yet."""
         todo = saved(self.pending("score").where("has_gpmd").select(ASSET, "duration_s"))
-        own = lambda name: self.table(name).join(F.broadcast(todo.select(ASSET)), ASSET)  # noqa: E731 (a row a new recording)
+        own = lambda name: self.table(name).join(todo.select(ASSET), ASSET, "left_semi")
         scores, air = features.compute(todo, own("telemetry"), own("imu"))
         files.write_series(scores, self.path("scores"))
         air.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(ASSET).parquet(self.path("air"))
         self.record("score", todo)
 
-    def calibrate(self, weights: dict[str, float] | None = None) -> DataFrame:
-        """Percentile tables over the whole library, saved; returns what each feature offers."""
+    def calibrate(self, weights: dict[str, float] | None = None, approximate: bool = False) -> DataFrame:
+        """Percentile tables over the whole library, saved together; returns what each feature offers. Exact ones are made
+        in several passes of counts, approximate ones in one of sketches."""
         scores = self.table("scores")
-        breaks = saved(cal.score_breaks(scores))
+        breaks = saved(cal.score_breaks(scores, approximate))
         levels = saved(self._levels(scores, breaks, weights))
-        files.save_calibration(breaks, cal.level_breaks(levels), self.path("calibration"))
+        files.save_calibration(breaks, cal.level_breaks(levels, approximate), self.path("calibration"))
         return breaks.select("feature", "n", F.coalesce("reason", F.lit("usable")).alias("reason"))
 
     @staticmethod
@@ -165,3 +243,7 @@ class Library:
     def restore(self, folder: str) -> DataFrame:
         """(content_hash, path, target, error): archived recordings in a working folder."""
         return files.copied(self.table("assets").where("archived_path is not null").select(ASSET, F.col("archived_path").alias("path")), folder)
+
+
+#: What brings a catalogue from each version to the next.
+STEPS = [Library.add_columns, Library.fill_rides]

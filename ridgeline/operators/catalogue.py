@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ridgeline.functions.media import ride_chapter
 from ridgeline.operators import ordering
 
 STAGES = {"probe": 1, "telemetry": 4, "proxy": 1, "thumbs": 1, "score": 3, "archive": 1, "select": 1, "track": 1}
@@ -144,6 +146,18 @@ def work(path: str, spark, do: Callable, clean: Callable | None = None, most: in
     return done
 
 
+def in_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """df with the columns of a schema: those that it lacks are null, those of another type are cast, others are left out."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def backfill_rides(assets: DataFrame) -> DataFrame:
+    """assets with the ride and chapter that their file names tell where there is no ride yet; no file is read."""
+    told = ride_chapter(F.col("filename"))
+    new = F.col("ride_id").isNull() & told["ride"].isNotNull()
+    return assets.withColumn("__new", new).withColumns({"ride_id": F.when(F.col("__new"), told["ride"]).otherwise(F.col("ride_id")), "chapter": F.when(F.col("__new"), told["chapter"]).otherwise(F.col("chapter"))}).drop("__new")
+
+
 def enqueue(jobs: DataFrame, delta: DataFrame) -> DataFrame:
     """Jobs with new queued ones, numbered after the last."""
     last = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))  # one row
@@ -194,9 +208,15 @@ def save_snapshot(df: DataFrame, path: str) -> None:
     A rename that fails is an error, after which the old snapshot stands at the path as before; the old one is deleted only
     when the new one has taken its place.
     """
-    spark = df.sparkSession
+    save_snapshots({"": df}, path)
+
+
+def save_snapshots(tables: dict[str, DataFrame], path: str) -> None:
+    """save_snapshot() of a folder with several tables, by name: all of them take their places at once, or none does."""
+    spark = next(iter(tables.values())).sparkSession
     aside, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
-    df.write.parquet(aside)
+    for name, df in tables.items():
+        df.write.parquet(f"{aside}/{name}".rstrip("/"))
     jvm = spark.sparkContext._jvm
     target, fresh, gone = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, aside, old))
     system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -6,6 +6,8 @@ one exchange by asset and name, and turned into columns at the end.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +33,20 @@ NAMES = {
 ASSET = "content_hash"
 
 
-def read_payloads(spark: SparkSession, paths: list[str], keys: tuple[str, ...] = STREAMS) -> DataFrame:
-    """(content_hash, key, payload, seconds, stmp_us, n, samples) of files; a file is a task. The path stands for the hash."""
+def read_payloads(spark: SparkSession, paths: list[str], keys: tuple[str, ...] = STREAMS, sizes: list[int] | None = None, errors: bool = False, split: int | None = None) -> DataFrame:
+    """(content_hash, key, payload, seconds, stmp_us, n, samples) of files. The path stands for the hash.
+
+    A file is a task, or several if its size is given and above split bytes. With errors there is a column error, and a file
+    that cannot be read has a row of it. Filters on key and path go into the reader where Spark is set to push them.
+    """
     spark.dataSource.register(PayloadSource)
-    return spark.read.format("telemetry").option("keys", ",".join(keys)).load(",".join(paths)).withColumnRenamed("path", ASSET)
+    own = spark.read.format("telemetry").option("keys", ",".join(keys)).option("paths", json.dumps(paths))
+    own = own.option("errors", "rows" if errors else "raise").option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
+    if sizes:
+        own = own.option("sizes", json.dumps(sizes))
+    if split:
+        own = own.option("split", split)
+    return own.load().withColumnRenamed("path", ASSET)
 
 
 def best_position(payloads: DataFrame) -> DataFrame:
@@ -52,6 +64,17 @@ def names_of(key: Column, n: Column) -> Column:
     return out
 
 
+def unknown_layouts(payloads: DataFrame) -> DataFrame:
+    """(content_hash, key, n, expected): streams that have names, but not for so many fields: their columns get numbers, and what
+    is made of the named ones stays empty. For a file that shows this, the format has changed."""
+    known: dict[str, list[int]] = {}
+    for key, n in NAMES:
+        known.setdefault(key, []).append(n)
+    table = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    own = payloads.where(F.size("samples") > 0).select(ASSET, "key", F.size(F.get("samples", F.lit(0))).alias("n")).distinct()
+    return own.withColumn("expected", table[F.col("key")]).where(F.col("expected").isNotNull() & ~F.array_contains("expected", F.col("n")))
+
+
 def fields(payloads: DataFrame) -> DataFrame:
     """(content_hash, key, t, name, value): every finite field of every sample. Samples of a position stream are dated by its
     own stamps, others by the track's times where there are any."""

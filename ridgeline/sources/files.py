@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions.media import VIDEO_SUFFIXES, ride_chapter
+from ridgeline.operators import catalogue
+from ridgeline.sources import payloads
 
 WINDOW = 8 << 20
 
@@ -33,10 +35,7 @@ def sampled_digest(n: int, read: Callable[[int, int], bytes], window: int = WIND
 
 def sampled_hash(path: str) -> str:
     """The digest of a file, of which at most three windows are read."""
-    from pyarrow import fs
-
-    system, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    with system.open_input_file(at) as f:
+    with payloads.opened(path) as f:
         return sampled_digest(f.size(), f.read_at)
 
 
@@ -60,6 +59,23 @@ def with_content_hash(files: DataFrame) -> DataFrame:
     return files.withColumn("content_hash", of("path"))
 
 
+def probed(files: DataFrame) -> DataFrame:
+    """files(path, ...) with container_s, the seconds that the file itself tells, and error, why it cannot be read; only its index is read."""
+
+    @F.pandas_udf("container_s double, error string")
+    def of(paths: pd.Series) -> pd.DataFrame:
+        rows = []
+        for path in paths:
+            try:
+                rows.append((payloads.container_duration(path), None))
+            except Exception as e:
+                rows.append((None, f"{type(e).__name__}: {e}"[:500]))
+        return pd.DataFrame(rows, columns=["container_s", "error"]).astype({"container_s": float, "error": object})
+
+    out = files.withColumn("__p", of("path"))
+    return out.select(*files.columns, F.when(~F.isnan("__p.container_s"), F.col("__p.container_s")).alias("container_s"), F.col("__p.error").alias("error"))
+
+
 def verify(files: DataFrame, expected: str = "expected") -> DataFrame:
     """files(path, expected) with ok: whether the content is what it should be."""
     return with_content_hash(files).withColumn("ok", F.col("content_hash") == F.col(expected))
@@ -87,9 +103,7 @@ def resolve_originals(assets: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def _place(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return payloads.located(path)
 
 
 def copy_verified(source: str, target: str, expected: str) -> None:
@@ -160,11 +174,9 @@ def fourcc_counts(files: DataFrame, most: int = 64 << 20) -> DataFrame:
     codes = ("GPS5", "GPS9", "ACCL", "GYRO", "GRAV", "CORI", "IORI", "STMP", "SCAL")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for batch in batches:
             for path in batch["path"]:
-                system, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+                system, at = payloads.located(path)
                 with system.open_input_stream(at) as f:
                     data = f.read(most)
                 yield pd.DataFrame({"path": path, "code": codes, "n": [data.count(c.encode()) for c in codes]})
@@ -183,8 +195,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def save_calibration(features: DataFrame, levels: DataFrame, path: str) -> None:
-    features.write.mode("overwrite").parquet(f"{path}/features")
-    levels.write.mode("overwrite").parquet(f"{path}/levels")
+    """Both tables as one snapshot, so that they are always those of one calibration: levels stand in their folder."""
+    catalogue.save_snapshots({"features": features, "levels": levels}, path)
 
 
 def load_calibration(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -9,11 +9,11 @@ from ridgeline.operators import calibration, clips, features, quantiles, spectra
 
 
 def picture(degrees, height=120, width=160):
-    """A grating of two directions, turned; its mean is zero, so its border is no edge."""
+    """Stripes of two directions, turned; its mean is zero, so its border is no edge."""
     y, x = np.mgrid[0:height, 0:width].astype(float)
     a = np.radians(degrees)
     u, v = x * np.cos(a) + y * np.sin(a), -x * np.sin(a) + y * np.cos(a)
-    return 100 * np.sin(u / 3.1) + 60 * np.sin(v / 4.7)
+    return 100 * np.tanh(4 * np.sin(u / 6)) + 60 * np.tanh(4 * np.sin(v / 8))
 
 
 @pytest.mark.parametrize("degrees", [-17.0, -3.0, 2.0, 9.0, 20.0])
