@@ -15,8 +15,8 @@ of its lines, so the rounds' intervals delete exactly what all intervals do. The
 read off for neighbours in the suffix array by comparing ranks from the longest prefix down, and
 tells the longest run that each document shares.
 
-Only built-in functions are used. Positions are longs: the document's number times 2**25 plus the
-line, so a document may have 33 million lines with words and there may be 2**38 documents.
+Only built-in functions are used. Positions are longs: the document's number and the line's, which
+gets as many bits as the longest document needs; what doesn't fit 63 bits is an error.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.common import dense_ids, drop_table, materialize, ordered_ids
 
+#: Bits of a position that number the lines of a document, where nothing else is said.
 LINE_BITS = 25
 LONG_BLANKS = 49
 _SPACE_CHARS = " \t\n\x0b\f\r"
@@ -55,7 +56,7 @@ def sequences(docs: DataFrame) -> DataFrame:
     return dense_ids(placed, ["doc_id", "hash"], "doc")
 
 
-def doubling(lines: DataFrame, n_lines: int | None = None) -> list[DataFrame]:
+def doubling(lines: DataFrame, n_lines: int | None = None, bits: int = LINE_BITS) -> list[DataFrame]:
     """Tables (at, rank, whole, n, first), the i-th for prefixes of 2**i lines, of the suffixes that begin with a line that
     occurs elsewhere. lines has (at, h1, h2).
 
@@ -68,7 +69,7 @@ def doubling(lines: DataFrame, n_lines: int | None = None) -> list[DataFrame]:
     n = levels[0].count()
     k = 1
     while levels[-1].where("whole and n > 1").limit(1).count():
-        ahead = W.partitionBy(F.shiftright("at", LINE_BITS)).orderBy("at").rangeBetween(k, k)
+        ahead = W.partitionBy(F.shiftright("at", bits)).orderBy("at").rangeBetween(k, k)
         far = F.first(F.struct("rank", "whole")).over(ahead)
         pairs = levels[-1].select("at", "rank", far.alias("__far"), F.col("whole").alias("__near"))
         pairs = pairs.select("at", "rank", F.coalesce("__far.rank", F.lit(-1).cast("long")).alias("next"), (F.col("__near") & F.coalesce("__far.whole", F.lit(False))).alias("whole"))
@@ -112,10 +113,13 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     placed = sequences(docs)
     found = materialize(placed, "sequences")
     drop_table(placed)
-    lines = found.select("doc", F.posexplode("lines").alias("__i", "__s")).select((F.shiftleft("doc", LINE_BITS) + F.col("__i")).alias("at"), "__s.h1", "__s.h2", F.col("__s.at").alias("line"), "__s.long")
-    n_lines = found.agg(F.sum(F.size("lines"))).first()[0] or 0
+    n_lines, longest, last = found.agg(F.sum(F.size("lines")), F.max(F.size("lines")), F.max("doc")).first()
+    n_lines, bits = n_lines or 0, max(1, (longest or 0).bit_length())  # as many bits as the longest document needs
+    if (last or 0) >> (63 - bits):
+        raise ValueError(f"{last} documents of up to {longest} lines cannot be numbered in 63 bits")
+    lines = found.select("doc", F.posexplode("lines").alias("__i", "__s")).select((F.shiftleft("doc", bits) + F.col("__i")).alias("at"), "__s.h1", "__s.h2", F.col("__s.at").alias("line"), "__s.long")
     lines = materialize(lines, "lines", n_lines)
-    levels = doubling(lines, n_lines)
+    levels = doubling(lines, n_lines, bits)
     lcp = longest_common_prefixes(levels)
     later = F.col("at") != F.col("first")
     runs = lines.where("long").join(levels[0].where(later).select("at"), "at").select("at", F.lit(1).cast("long").alias("run"))
@@ -123,7 +127,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         runs = runs.union(level.where(later & F.col("whole")).select("at", F.lit(1 << i).cast("long")))
     runs = runs.groupBy("at").agg(F.max("run").alias("run"))
     marked = lcp.join(lines.select("at", "line"), "at").join(runs, "at", "left")
-    doc = F.shiftright("at", LINE_BITS)
+    doc = F.shiftright("at", bits)
     so_far = W.partitionBy(doc).orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     covered = marked.select(doc.alias("doc"), "line", "lcp", (F.max(F.col("at") + F.coalesce("run", F.lit(0))).over(so_far) > F.col("at")).alias("covered"))
     by_doc = covered.groupBy("doc").agg(F.collect_list(F.when(F.col("covered"), F.col("line"))).alias("gone"), F.max("lcp").alias("longest"))

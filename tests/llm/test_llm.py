@@ -2,6 +2,7 @@
 
 import base64
 import json
+import math
 import random
 import textwrap
 import time
@@ -529,7 +530,7 @@ def test_determinant_falls_to_the_clean_rows(spark):
 def test_search(spark):
     rng = np.random.default_rng(16)
     vectors = [[float(x) for x in v] for v in np.r_[rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(1, 8)), 40, axis=0)]]
-    rows = [(i, v, 1.0) for i, v in enumerate(vectors)] + [(50, vectors[50], 1.0), (1000, None, 1.0), (1001, [1.0, None] + [0.0] * 6, 1.0), (1002, [float("nan")] * 8, 1.0), (None, vectors[0], 1.0), (1003, [2.0, 1.0], 1.0), (1004, [float("inf")] * 8, 1.0)]
+    rows = [(i, v, 1.0) for i, v in enumerate(vectors)] + [(1000, None, 1.0), (1001, [1.0, None] + [0.0] * 6, 1.0), (1002, [float("nan")] * 8, 1.0), (None, vectors[0], 1.0), (1003, [2.0, 1.0], 1.0), (1004, [float("inf")] * 8, 1.0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double")
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in m_tree.top_k(df, every=10, tree_rows=64).collect()}
     ints = np.floor(256 * np.array(vectors)).astype(np.int64)
@@ -575,12 +576,75 @@ def test_tree_skips_most_of_what_is_far():
     rng = np.random.default_rng(17)
     centers = rng.integers(-4000, 4000, size=(40, 6))
     x = np.repeat(centers, 100, axis=0) + rng.integers(-20, 20, size=(4000, 6))
-    tree = m_tree.MTree(np.arange(4000), x)
+    tree = m_tree.MTree([[(i, i)] for i in range(4000)], x)
     for q in range(0, 4000, 400):
         scores = x @ x[q]
-        want = [j for j in np.lexsort((np.arange(4000), -scores)) if j != q][:5]
-        assert tree.search(q, x[q], 5) == [(int(scores[j]), int(j)) for j in want]
-    assert tree.computed < 0.5 * 10 * 4000
+        want = [(int(scores[j]), int(j), int(j)) for j in np.lexsort((np.arange(4000), -scores))[:6]]
+        assert tree.search(x[q], 6) == want and tree.search(x[q], 6, want[5][0]) == want
+        assert tree.search(x[q], 6, want[0][0] + 1) == []
+    assert tree.computed < 0.5 * 30 * 4000
+
+
+def test_whole_trees_are_skipped_where_rows_stand_in_clusters(spark, monkeypatch):
+    """Directions of their own: what a query finds at home rules most other pivots out."""
+    built = []
+    make = m_tree._answers
+
+    def counted(paths, k, most, points, radii, at_home):
+        inner = make(paths, k, most, points, radii, at_home)
+        total = spark.sparkContext.accumulator(0)
+        built.append((at_home, total))
+
+        def answer(key, group):
+            searches = 0
+            search = m_tree.MTree.search
+
+            def spy(self, *args):
+                nonlocal searches
+                searches += 1
+                return search(self, *args)
+
+            m_tree.MTree.search = spy
+            try:
+                return inner(key, group)
+            finally:
+                m_tree.MTree.search = search
+                total.add(searches)
+
+        return answer
+
+    monkeypatch.setattr(m_tree, "_answers", counted)
+    rng = np.random.default_rng(27)
+    x = np.repeat(np.eye(8) * 20, 60, axis=0) + rng.normal(size=(480, 8)) * 0.05
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in m_tree.top_k(df, every=4, tree_rows=20).collect()}
+    assert got == brute_search(range(480), np.floor(256 * x).astype(np.int64).tolist(), 4)
+    (home, first), (away, others) = built
+    assert home and not away and first.value >= 120
+    assert others.value < 0.5 * 120 * 23  # of 24 pivots, so many searches would be all
+
+
+def test_repeated_rows_and_ids_are_rows_like_others(spark):
+    """By the rows' own numbers, as the query's SQL has it."""
+    import duckdb
+
+    rng = random.Random(12)
+    vectors = [[float(rng.randrange(-3, 4)) for _ in range(3)] for _ in range(12)]
+    rows = [(i % 7 * 50 if i % 3 else i, vectors[rng.randrange(12)]) for i in range(60)] + [(50, vectors[0])] * 6 + [(100, vectors[1])] * 2 + [(None, vectors[2]), (150, None)]
+    rows += [(7, [1.0, 2.0]), (200, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, m_tree.top_k(df, tree_rows=5).collect()))
+    own = [(i, r, [math.floor(256 * x) for x in v]) for i, (r, v) in enumerate(rows) if r is not None and v is not None]
+    want = []
+    for i, r, v in own:
+        if r % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), s) for j, s, w in own if j != i and len(w) == len(v))[:5]
+            want += [(r, n + 1, s, -d) for n, (d, s) in enumerate(scored)]
+    assert got == sorted(want)
+    con = duckdb.connect()
+    one_size = [r for r in rows if r[1] is None or len(r[1]) == 3]
+    con.sql("create table embeddings as select * from (values " + ", ".join(f"({'NULL' if r is None else r}, {'NULL' if v is None else [float(x) for x in v]}::DOUBLE[])" for r, v in one_size) + ") t(vec_id, embedding)")
+    assert sorted(con.sql(queries.oracle_sql()["op7_m_tree"]).fetchall()) == sorted(map(tuple, m_tree.top_k(df.where("vec_id is null or embedding is null or size(embedding) = 3"), tree_rows=5).collect()))
 
 
 # op8: mix
