@@ -2,7 +2,8 @@
 
 Over a library folder: ingest ROOT FOLDER, score ROOT, calibrate ROOT, clips ROOT, rank ROOT [--by KEY] [--top N], inventory ROOT,
 buckets ROOT, log ROOT, label ROOT [TEXT] [--style S] [--mount M], archive ROOT FOLDER, restore ROOT FOLDER, relink ROOT FOLDER,
-verify ROOT [TEXT], errors ROOT, timing ROOT, retime ROOT, level ROOT, migrate ROOT; calibrate --approximate takes sketches.
+verify ROOT [TEXT], errors ROOT, timing ROOT, retime ROOT, level ROOT, orient ROOT,
+recordings ROOT, listed ROOT, fit ROOT, migrate ROOT; calibrate --approximate takes sketches.
 Over tables: list, show NAME DIR [--top N], write NAME DIR PATH [--csv].
 """
 
@@ -18,7 +19,7 @@ from ridgeline.session import session
 from ridgeline.sources.files import write_csv
 
 #: Commands over a library, with what they take beside its folder.
-LIBRARY = {"ingest": ["folder"], "score": [], "calibrate": [], "clips": [], "rank": [], "inventory": [], "buckets": [], "log": [], "label": [], "archive": ["folder"], "restore": ["folder"], "verify": [], "errors": [], "timing": [], "relink": ["folder"], "retime": [], "level": [], "migrate": []}
+LIBRARY = {"ingest": ["folder"], "score": [], "calibrate": [], "clips": [], "rank": [], "inventory": [], "buckets": [], "log": [], "label": [], "archive": ["folder"], "restore": ["folder"], "verify": [], "errors": [], "timing": [], "relink": ["folder"], "retime": [], "level": [], "orient": [], "recordings": [], "listed": [], "fit": [], "migrate": []}
 
 
 def parse(args: list[str] | None) -> argparse.Namespace:
@@ -62,6 +63,9 @@ def over_library(own: argparse.Namespace) -> None:
         library.score()
     elif own.command == "calibrate":
         library.calibrate(weights, own.approximate).show(truncate=False)
+    elif own.command == "fit":
+        for found in library.fit():
+            found.show(1000, truncate=False)
     elif own.command == "migrate":
         print(f"was at version {library.migrate()}")
     elif own.command == "verify":

@@ -178,11 +178,11 @@ def crop_paths(aims: DataFrame, clip: str, low: float, high: float, hz: float =
 
 
 def framed(track: DataFrame, clips: DataFrame, frame: tuple[int, int], crop: int, asset: str = "content_hash", applied_deg: float = 0.0) -> DataFrame:
-    """(clip, t, x, hits, n, held, pan_p50, pan_p95, saturated, violation_px): where the crop's left edge stands in each clip.
+    """(clip, t, x, hits, n, rejected, held, pan_p50, pan_p95, saturated, violation_px): where the crop's left edge stands in each clip.
 
     track(asset, t, u, v) has box centres as shares of the frame, null where there is none; clips(asset, clip, t_in, t_out). Each
     clip is solved with two seconds around it, which are then left out, in crop widths, and given in pixels. hits is the share
-    of its frames with a box, held that of path points within the dead zone of their aim, pan the speed in crop widths a second.
+    of its n frames with a box, rejected the boxes that were none (track's n_rejected, if it has it), held that of path points within the dead zone of their aim, pan the speed in crop widths a second.
     """
     from ridgeline.operators import intervals, series
 
@@ -190,9 +190,10 @@ def framed(track: DataFrame, clips: DataFrame, frame: tuple[int, int], crop: int
     du, dv = (F.col("u") - 0.5) * width, (F.coalesce("v", F.lit(0.5)) - 0.5) * height
     at = width / 2 + (rotate_offset(du, dv, F.lit(applied_deg)) if applied_deg else du)
     spans = clips.select(asset, "clip", F.col("t_in").cast("double").alias("t_in"), F.col("t_out").cast("double").alias("t_out"))
-    seen = intervals.slices(track.select(asset, "t", ((at - crop / 2) / crop).alias("z")), spans, asset, "t", "clip", "t_in", "t_out", PAD)
+    rejected = (F.col("n_rejected") if "n_rejected" in track.columns else F.lit(None)).cast("long").alias("n_rejected")
+    seen = intervals.slices(track.select(asset, "t", ((at - crop / 2) / crop).alias("z"), rejected), spans, asset, "t", "clip", "t_in", "t_out", PAD)
     seen = seen.join(spans.select("clip", "t_in", "t_out"), "clip")
-    hits = seen.where(F.col("t").between(F.col("t_in"), F.col("t_out"))).groupBy("clip").agg(F.avg(F.col("z").isNotNull().cast("double")).alias("hits"), F.count("*").alias("n"))
+    hits = seen.where(F.col("t").between(F.col("t_in"), F.col("t_out"))).groupBy("clip").agg(F.avg(F.col("z").isNotNull().cast("double")).alias("hits"), F.count("*").alias("n"), F.sum("n_rejected").alias("rejected"))
     step = F.explode(F.sequence(F.lit(0).cast("long"), F.round((F.col("t_out") - F.col("t_in") + 2 * PAD) * HZ).cast("long")))
     grid = spans.select("clip", (F.col("t_in") - PAD).alias("__from"), step.alias("__i")).select("clip", (F.col("__from") + F.col("__i") / HZ).alias("t"))
     # a sighting counts for the grid point that is nearest, within a step
@@ -207,7 +208,7 @@ def framed(track: DataFrame, clips: DataFrame, frame: tuple[int, int], crop: int
         F.avg((F.abs(F.col("z") - F.col("target")) <= DEAD + 1e-9).cast("double")).alias("held"), F.percentile("__pan", F.lit(0.5)).alias("pan_p50"), F.percentile("__pan", F.lit(0.95)).alias("pan_p95"),
     )
     out = paths.join(report, "clip").join(hits, "clip", "left")
-    return out.select("clip", "t", (F.col("z") * crop).alias("x"), F.coalesce("hits", F.lit(0.0)).alias("hits"), F.coalesce("n", F.lit(0)).alias("n"), "held", "pan_p50", "pan_p95", "saturated", (F.col("violation") * crop).alias("violation_px"))
+    return out.select("clip", "t", (F.col("z") * crop).alias("x"), F.coalesce("hits", F.lit(0.0)).alias("hits"), F.coalesce("n", F.lit(0)).alias("n"), "rejected", "held", "pan_p50", "pan_p95", "saturated", (F.col("violation") * crop).alias("violation_px"))
 
 
 def command_script(t: np.ndarray, x: np.ndarray, start: float, stop: float, what: str, hz: float = 50.0) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ridgeline import schema
 from ridgeline.operators import calibration as cal
-from ridgeline.operators import catalogue, checks, clips, extraction, features, gates, series
+from ridgeline.operators import catalogue, checks, clips, decisions, extraction, features, gates, series
 from ridgeline.session import saved
 from ridgeline.sources import files
 
@@ -150,6 +150,47 @@ class Library:
         self.replace("assets", catalogue.upsert(assets, delta, [ASSET]))
         return self.table("assets").select("filename", "recorded_at_gps", "clock_drift_s", "lighting").orderBy("filename")
 
+    def orient(self) -> DataFrame:
+        """(filename, degrees): which way up each recording was taken, by its mean gravity, saved as its rotation; null where that doesn't tell."""
+        g = [F.avg(F.when(F.abs(f"grav_{i}") < float("inf"), F.col(f"grav_{i}"))).alias(f"g{i}") for i in range(3)]
+        ways = saved(self.table("telemetry").groupBy(ASSET).agg(*g).select(ASSET, gates.upright(F.col("g0"), F.col("g1"), F.col("g2")).alias("degrees")))
+        self.replace("assets", catalogue.upsert(self.table("assets"), ways.where("degrees is not null").select(ASSET, F.col("degrees").alias("rotation")), [ASSET]))
+        return self.table("assets").select(ASSET, "filename").join(ways, ASSET).drop(ASSET).orderBy("filename")
+
+    def recordings(self) -> DataFrame:
+        """The assets by the time they were taken, those without one last, and their names."""
+        return self.table("assets").orderBy(F.coalesce("recorded_at_gps", "recorded_at").asc_nulls_last(), "filename")
+
+    def listed(self) -> DataFrame:
+        """(id, ride, chapter, filename, t_in, t_out, score, dominant, status) of the segments in the order they were ridden in."""
+        own = self.table("segments").join(self.table("assets").select(ASSET, "filename", F.coalesce("ride_id", ASSET).alias("ride"), F.coalesce("chapter", F.lit(0)).alias("chapter")), ASSET)
+        edges = [F.coalesce(f"{t}_user", t).alias(t) for t in ("t_in", "t_out")]
+        return own.select("id", "ride", "chapter", "filename", *edges, "score", "dominant", "status").orderBy("ride", "chapter", "t_in", "id")
+
+    def fit(self, kinds: tuple[str, ...] = ("turn", "rough", "jump"), seed: int = 0, spread: float = 0.05) -> tuple[DataFrame, DataFrame]:
+        """What the decisions say about the scores: (one row of held-out AUCs and a verdict, weights by feature).
+
+        The model is a ridge regression over the features of decided segments, judged on folds that it hasn't seen, pooled and
+        within rides, beside the score that chose them. Raises if there are fewer than two of each decision.
+        """
+        rides = self.table("assets").select(ASSET, F.coalesce("ride_id", ASSET).alias("ride"))
+        decided = self.table("segments").where("status in ('approved', 'rejected')").join(rides, ASSET)
+        matrix = decisions.fit_matrix(decided.withColumn("label", (F.col("status") == "approved").cast("int")), list(kinds))
+        matrix = saved(matrix.select("id", "ride", "label", "score", "usable", *kinds))
+        had = {r["label"]: r["n"] for r in matrix.where("usable").groupBy("label").agg(F.count("*").alias("n")).collect()}
+        if min(had.get(0, 0), had.get(1, 0)) < 2:
+            raise ValueError(f"{had.get(1, 0)} approved and {had.get(0, 0)} rejected segments with these features are too few")
+        scored, weights = decisions.out_of_fold(matrix, list(kinds), "label", "id", k=min(5, had[0], had[1]), seed=seed)
+        scored = saved(scored)
+        parts = [decisions.auc_pooled(scored, "p", "label").select(F.col("auc").alias("fit")), decisions.auc_within(scored, "ride", "p", "label").select(F.col("auc").alias("within"), "pairs")]
+        parts += [decisions.auc_pooled(scored, "score", "label").select(F.col("auc").alias("incumbent")), decisions.auc_within(scored, "ride", "score", "label").select(F.col("auc").alias("incumbent_within"))]
+        row = scored.agg(F.count("*").alias("n"), F.sum("label").alias("approved"))
+        for one in parts:  # a row each
+            row = row.join(F.broadcast(one))
+        row = row.withColumn("verdict", decisions.verdict(*[F.col(c) for c in ("fit", "within", "pairs", "incumbent", "incumbent_within")], F.lit(spread)))
+        stability = decisions.weight_stability(weights)
+        return row, stability.join(decisions.suggested_weights(stability), "feature").orderBy("feature")
+
     def level(self) -> DataFrame:
         """(filename, spread, image_spread, suppression, locked): how steady gravity is in the body and in the picture; locked is saved."""
         steady = saved(features.roll_suppression(self.table("telemetry")))

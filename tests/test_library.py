@@ -76,6 +76,22 @@ def test_stages_of_a_library(library, spark, tmp_path, capsys):
     assert own.label("0603", style="trail") == 2 and own.label("0603", style="trail") == 0
     counts = {(r["style"], r["mount"]): r["files"] for r in catalogue.label_counts(own.table("assets")).collect()}
     assert counts == {("trail", "-"): 2, ("-", "-"): 1}
+    # decisions by the score itself: the fit sees them, and says that there are too few pairs within rides
+    names = [f.name for f in schema.segment().fields]
+    extra = spark.range(100, 160).select(F.col("id"), F.lit(assets["GX010603.MP4"]["content_hash"]).alias("content_hash"), F.col("id").cast("double").alias("t_in"), (F.col("id") + 12.0).alias("t_out"), (F.col("id") % 2 * 0.2 + 0.5).alias("score"),
+        F.create_map(F.lit("turn"), F.col("id") % 7 / 7.0, F.lit("rough"), 0.3 + 0.4 * (F.col("id") % 2) + F.col("id") % 5 / 50.0).alias("features"), F.when(F.col("id") % 2 == 1, "approved").otherwise("rejected").alias("status"))
+    before = own.table("segments")
+    own.replace("segments", before.unionByName(extra, allowMissingColumns=True).select(*names))
+    row, weights = own.fit()
+    row = row.first()
+    assert row["n"] >= 60 and row["fit"] > 0.95 and row["verdict"] in ("no better", "keep current", "use it")
+    assert {r["feature"]: r["weight"] for r in weights.collect()}["rough"] > 0.5
+    own.replace("segments", own.table("segments").where("id < 100"))
+    with pytest.raises(ValueError, match="too few"):
+        own.fit()
+    order = [(r["ride"], r["chapter"], r["t_in"]) for r in own.listed().collect()]
+    assert order == sorted(order) and own.recordings().count() == 3
+    assert {r["degrees"] for r in own.orient().collect()} == {0} and own.level().where("suppression is null").count() == 3  # no quaternions here
     n, rest = files.export_and_clear(own.table("segments"), str(tmp_path / "log"))
     assert n == 1 and rest.where("status <> 'candidate'").count() == 0
     for command in (["rank", own.root, "--top", "1"], ["inventory", own.root], ["buckets", own.root], ["log", own.root], ["label", own.root], ["label", own.root, "0604", "--mount", "chest"]):
