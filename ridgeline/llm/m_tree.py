@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.common import drop_table, materialize
 
-PAGE = 64
+PAGE = 256
 TREE_ROWS = 16_384
 BLOCK = 4_096
 #: The driver holds so many vectors at most.
@@ -123,23 +123,31 @@ class MTree:
             least, _, node, gap = heapq.heappop(heap)
             if least > limit:
                 break
-            at = np.arange(len(node.points))
+            at, points = None, node.points
             if gap is not None and limit < np.inf:
-                low = np.abs(gap - node.parent) - (node.radii if node.children else 0)
-                at = at[low <= limit]
-                if not len(at):
-                    continue
-            self.computed += len(at)
+                kept = np.abs(gap - node.parent) - (node.radii if node.children else 0) <= limit
+                n_kept = int(np.count_nonzero(kept))
+                if 4 * n_kept <= 3 * len(kept):  # picking out most of a page costs more than its distances
+                    at = np.flatnonzero(kept)
+                    points = points[at]
+            self.computed += len(points)
+            if not len(points):
+                continue
+            along = points @ point  # points are all as long, so this tells the distances
             if node.children:
-                far = np.sqrt(((node.points[at] - point) ** 2).sum(axis=1))
-                for i, d in zip(at.tolist(), far.tolist(), strict=True):
+                far = np.sqrt(np.maximum(base - 2 * along, 0.0))
+                for i, d in zip(range(len(points)) if at is None else at.tolist(), far.tolist(), strict=True):
                     if (low := max(0.0, d - node.radii[i])) <= limit:
                         heapq.heappush(heap, (low, n, node.children[i], d))
                         n += 1
                 continue
-            rows = node.rows[at]
-            scores = vectors[rows] @ exact
+            rows = node.rows if at is None else node.rows[at]
             floor = best[0][0] if len(best) == k else bound
+            if floor is not None:
+                rows = rows[along >= float(floor) - 1e-9 * (1 + base)]
+                if not len(rows):
+                    continue
+            scores = vectors[rows] @ exact
             if floor is not None:
                 rows, scores = rows[scores >= floor], scores[scores >= floor]
             for row, score in zip(rows.tolist(), scores.tolist(), strict=True):
