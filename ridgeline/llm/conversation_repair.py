@@ -354,16 +354,15 @@ def _digests(pieces: DataFrame) -> DataFrame:
     return pieces.select("own", "part", "idx", "piece").repartition("own").sortWithinPartitions("own", "part", "idx").mapInArrow(digest, "own string, repaired_sha256 string")
 
 
-def _composed(found: list) -> list[tuple]:
-    """(own, part, entry, end, cost, illegal, final) of the fragments of _fragments(), in order."""
-    out: list[tuple] = []
-    found = sorted(found, key=lambda r: (r["own"], r["part"]))
-    i = 0
-    while i < len(found):
-        j = i
-        while j < len(found) and found[j]["own"] == found[i]["own"]:
-            j += 1
-        own, entries, ends = found[i:j], [list(START)], [list(END)]
+_SPANS = "own string, part int, entry array<long>, end array<long>, cost long, illegal long, final boolean"
+
+
+def _composed(fragments: DataFrame) -> DataFrame:
+    """(own, part, entry, end, cost, illegal, final) of _fragments(): each conversation's ones are put together in order. It has no more than there are tasks."""
+
+    def compose(group: pa.Table) -> pa.Table:
+        own = group.sort_by("part").to_pylist()
+        entries, ends = [list(START)], [list(END)]
         for r in own:
             before = _closed(list(entries[-1]), back=False)
             entries.append([min(min(before[s] + r["costs"][4 * s + t] for s in range(STATES)), _FAR) for t in range(STATES)])
@@ -372,15 +371,31 @@ def _composed(found: list) -> list[tuple]:
         ends.reverse()
         cost = min(a + b for a, b in zip(entries[-1], END, strict=True))
         illegal = sum(r["illegal"] for r in own) + sum(_illegal([a["last"], b["first"]]) for a, b in zip(own[:-1], own[1:], strict=True))
-        for n, r in enumerate(own):
-            out.append((r["own"], r["part"], list(_plain(entries[n])[0]), list(_plain(ends[n + 1])[0]), cost, illegal, n == len(own) - 1))
-        i = j
-    return out
+        n = len(own)
+        plain = lambda x: pa.array([list(_plain(c)[0]) for c in x], pa.list_(pa.int64()))
+        return pa.table({
+            "own": pa.array([r["own"] for r in own], pa.string()), "part": pa.array([r["part"] for r in own], pa.int32()), "entry": plain(entries[:n]), "end": plain(ends[1:]),
+            "cost": pa.array([cost] * n, pa.int64()), "illegal": pa.array([illegal] * n, pa.int64()), "final": pa.array([i == n - 1 for i in range(n)]),
+        })
+
+    return fragments.groupBy("own").applyInArrow(compose, _SPANS)
+
+
+def _entered(spans: DataFrame) -> DataFrame:
+    """spans(own, part, ..., ways) with the frontier before each fragment, from the conversation's first on."""
+
+    def follow(group: pa.Table) -> pa.Table:
+        group, frontier, fronts = group.sort_by("part"), 1, []
+        for ways in group.column("ways").to_pylist():
+            fronts.append(frontier)
+            frontier = ways[frontier - 1]
+        return group.select(["own", "part", "entry", "end", "final"]).append_column("frontier", pa.array(fronts, pa.int32()))
+
+    return spans.groupBy("own").applyInArrow(follow, "own string, part int, entry array<long>, end array<long>, final boolean, frontier int")
 
 
 def _pieced(loose: DataFrame) -> DataFrame:
-    """The results of the conversations of loose rows, by fragments. The driver gets a row a fragment, two a task and one a long conversation at most."""
-    spark = loose.sparkSession
+    """The results of the conversations of loose rows, by fragments."""
     rows = loose.withColumn("own", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
     alive = rows.where("not dropped")
     again = alive.where("not is_blank").groupBy("own", "key").agg(F.min(F.struct("part", "idx")).alias("once"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -392,18 +407,10 @@ def _pieced(loose: DataFrame) -> DataFrame:
     told = told.select("own", "part", "idx", "turn", "role", "text", blank.alias("blank"), duplicate.alias("duplicate"), truncated.alias("truncated"), code.cast("int").alias("code"))
     told = materialize(told, "told")
     codes = told.select("own", "part", "idx", "code")
-    composed = _composed(_fragments(codes).collect())
-    spans = spark.createDataFrame(composed, "own string, part int, entry array<long>, end array<long>, cost long, illegal long, final boolean")
-    few = F.broadcast(spans.select("own", "part", "entry", "end"))
-    ways = {(r["own"], r["part"]): r["ways"] for r in _frontiers(codes.join(few, ["own", "part"])).collect()}
-    fronts, frontier, own = [], 1, None
-    for r in composed:
-        frontier = frontier if r[0] == own else 1
-        own = r[0]
-        fronts.append((r[0], r[1], r[2], r[3], frontier, r[6]))
-        frontier = ways[r[0], r[1]][frontier - 1]
-    few = F.broadcast(spark.createDataFrame(fronts, "own string, part int, entry array<long>, end array<long>, frontier int, final boolean"))
-    edits = materialize(_edits(told.select("own", "part", "idx", "code", "role", "text").join(few, ["own", "part"])), "edits")
+    spans = materialize(_composed(_fragments(codes)), "spans")
+    ends = spans.select("own", "part", "entry", "end")
+    fronts = materialize(_entered(spans.join(_frontiers(codes.join(ends, ["own", "part"])), ["own", "part"])), "fronts")
+    edits = materialize(_edits(told.select("own", "part", "idx", "code", "role", "text").join(fronts, ["own", "part"])), "edits")
     audits = edits.where("letters is not null").groupBy("own").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "letters"))), lambda x: x["letters"]), "").alias("audit"))
     wide = lambda c: c.cast("decimal(38,0)")
     gaps = wide(F.max("turn")) - wide(F.min("turn")) + 1 - F.count_distinct("turn")
@@ -417,8 +424,8 @@ def _pieced(loose: DataFrame) -> DataFrame:
     numbers = [F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     out = out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(empty)).alias("repaired_sha256"))
     out = materialize(out, "pieced")
-    drop_table(told)
-    drop_table(edits)
+    for done in (told, spans, fronts, edits):
+        drop_table(done)
     return out
 
 
