@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.functions.media import ride_chapter
 from ridgeline.operators import ordering
+from ridgeline.session import saved
 
 STAGES = {"probe": 1, "telemetry": 4, "proxy": 1, "thumbs": 1, "score": 3, "archive": 1, "select": 1, "track": 1}
 
+#: Jobs that have a task each; of more than these some share one.
+MOST_TASKS = 10_000
+
 
 def upsert(snapshot: DataFrame, delta: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """The snapshot with delta's rows: only columns that delta has change, of several rows for a key the last by order counts."""
@@ -146,6 +151,41 @@ def work(path: str, spark, do: Callable, clean: Callable | None = None, most: in
     return done
 
 
+def work_in_tasks(path: str, spark, do: Callable, clean: Callable | None = None, most: int | None = None) -> int:
+    """Do the queued jobs of the snapshot at the path at once, each in a task of its own, or the oldest most of them; returns how many were tried.
+
+    do(row) runs on an executor and returns the path of a job's output; if it raises, the job ends in an error with the message
+    after clean(row). The snapshot is written twice in all: with the jobs running, and with their results. A lost executor's jobs
+    are done again, so do() must replace what it left; jobs that an earlier worker left running end in an error first.
+    """
+    jobs = saved(fail_orphans(spark.read.parquet(path)))
+    queued = jobs.where("status = 'queued'")
+    chosen = saved(queued.orderBy("id").limit(most) if most is not None else queued)
+    n = chosen.count()
+    started = chosen.select("id", F.lit("running").alias("status"))
+    save_snapshot(upsert(jobs, started, ["id"]), path)
+    if not n:
+        return 0
+    columns = chosen.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in batch.to_pylist():
+                job = Row(*columns)(*[own[c] for c in columns])
+                try:
+                    result = ("done", do(job), None)
+                except Exception as e:
+                    if clean:
+                        clean(job)
+                    result = ("error", None, str(e)[:500])
+                yield pa.RecordBatch.from_pylist([dict(zip(("id", "status", "out_path", "error"), (own["id"], *result), strict=True))], schema=schema)
+
+    schema = pa.schema([("id", pa.int64()), ("status", pa.string()), ("out_path", pa.string()), ("error", pa.string())])
+    results = saved(chosen.repartition(min(n, MOST_TASKS)).mapInArrow(run, "id bigint, status string, out_path string, error string"))
+    save_snapshot(upsert(saved(spark.read.parquet(path)), results, ["id"]), path)
+    return n
+
+
 def in_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """df with the columns of a schema: those that it lacks are null, those of another type are cast, others are left out."""
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])

@@ -118,6 +118,33 @@ def test_archive_and_restore(library, tmp_path):
     assert sorted(p.name for p in work.iterdir()) == ["GX010603.MP4", "GX020603.MP4"]
 
 
+def test_jobs_in_tasks(spark, tmp_path):
+    path, out = str(tmp_path / "jobs"), str(tmp_path)
+    rows = [(1, "a", [1], "queued"), (2, "b", [2], "queued"), (3, "c", [3], "running"), (4, "d", [1, 9], "queued"), (5, "e", None, "cancelled")]
+    jobs = spark.createDataFrame(rows, "id bigint, name string, segment_ids array<bigint>, status string").withColumns({"out_path": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+    catalogue.save_snapshot(jobs, path)
+
+    def do(job):
+        target = f"{out}/{job.name}"
+        with open(target, "w") as f:
+            f.write(str(job["segment_ids"]))
+        if 9 in job.segment_ids:
+            raise ValueError("no segment 9")
+        return target
+
+    def clean(job):
+        import os
+
+        os.remove(f"{out}/{job.name}")
+
+    state = lambda: {r["id"]: (r["status"], r["out_path"] and r["out_path"].rsplit("/", 1)[1], r["error"]) for r in spark.read.parquet(path).collect()}
+    assert catalogue.work_in_tasks(path, spark, do, clean, most=1) == 1
+    assert state() == {1: ("done", "a", None), 2: ("queued", None, None), 3: ("error", None, "interrupted"), 4: ("queued", None, None), 5: ("cancelled", None, None)}
+    assert catalogue.work_in_tasks(path, spark, do, clean) == 2 and catalogue.work_in_tasks(path, spark, do, clean) == 0
+    assert state()[2] == ("done", "b", None) and state()[4] == ("error", None, "no segment 9")
+    assert (tmp_path / "b").read_text() == "[2]" and not (tmp_path / "d").exists()
+
+
 def test_job_worker(spark, tmp_path):
     path = str(tmp_path / "jobs")
     rows = [(1, "a", [1], "queued"), (2, "b", [2], "queued"), (3, "c", [3], "running"), (4, "d", [1, 9], "queued")]
