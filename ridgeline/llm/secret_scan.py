@@ -28,8 +28,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 #: Where the base64 of a DER sequence, of an OpenSSH container or of a PEM block may begin, and their hexadecimal: all have fixed first bits.
-_STARTS = re.compile(r"(?:(?<![A-Za-z0-9+_-])|(?<=\\[nrt]))(?:M[A-P]|b3Bl|LS0tLS1CRUdJTi)")
-_HEX_STARTS = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=\\[nrt]))(?:30[0-9A-Fa-f]{4}|6[Ff]70656[Ee])")
+_STARTS = re.compile(r"M[A-P]|b3Bl|LS0tLS1CRUdJTi")
+_HEX_STARTS = re.compile(r"30[0-9A-Fa-f]{4}|6[Ff]70656[Ee]")
 #: What may stand between the pieces of a wrapped key: line ends of any kind, written out as well, blanks, and marks of quotes and comments.
 _BETWEEN = r"(?:[\x20\t\r\n]|\\+[nrt]|(?<=[\x20\t\r\n>|#*])[>|#*])+"
 _PIECES = re.compile(rf"({_BETWEEN})|(?!-----)[A-Za-z0-9+/_-]+")
@@ -181,6 +181,13 @@ def _pem_end(run: _Run, first: int) -> int | None:
     return None
 
 
+def _inside(text: str, at: int, bits: int) -> bool:
+    """Whether a place is within a word of digits: behind a letter, unless that is the end of an escape, or the like."""
+    before = text[at - 1] if at else " "
+    within = before.isascii() and (before.isalnum() or bits == 6 and before in "+_-")
+    return within and not (before in "nrt" and text[at - 2 : at - 1] == "\\")
+
+
 def _keys(text: str, begins: re.Pattern, pieces: re.Pattern, bits: int) -> list[tuple[int, int]]:
     """Spans of keys in base64 (6 bits a digit) or hexadecimal (4), over any number of lines.
 
@@ -190,6 +197,9 @@ def _keys(text: str, begins: re.Pattern, pieces: re.Pattern, bits: int) -> list[
     out, at, run = [], 0, None
     while m := begins.search(text, at):
         start = m.start()
+        if _inside(text, start, bits):
+            at = start + 1
+            continue
         if run is None or start >= run.end:
             run = _Run(text, start, pieces, bits)
         first = run.index(start)
