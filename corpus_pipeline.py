@@ -23,7 +23,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles with a similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: candidates by SimHash and Golay indices, links by five-word shingles with a similarity of 0.8 or more."""
     return near_sets.keep_one(docs)
 
 

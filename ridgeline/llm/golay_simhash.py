@@ -13,6 +13,11 @@ fingerprints are keyed. Within a bucket, small groups compare all their fingerpr
 grow a spanning forest, so edges stay in proportion to the bucket's rows. The rows of a bucket above
 `largest` are never held together: its fingerprints instead name all words within two bits, and two
 that are linked name a common one; no word has more than 2081 such fingerprints.
+
+Wide fingerprints, for candidates that are compared as sets afterwards, have 128 bits and so six Golay
+words. A key is an index of each of two words, so sets share one if two of the six words are alike.
+Those of a similarity of 0.8 nearly always do, but no number of bits bounds that similarity: who needs
+every pair looks for the rest in another way.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ from ridgeline.llm.components import components
 WORDS = 4
 SEED = 42
 MAX_BITS = 4
+#: Bits of 128 in which wide fingerprints of candidates may differ; sets of a Jaccard similarity of 0.8 differ in about 19.
+WIDE_BITS = 30
 #: The Golay code's generator polynomial (fixed value).
 GENERATOR = 0xC75
 #: (lowest bit, bits) of the segments.
@@ -52,7 +59,11 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     starts = np.r_[0, ends[:-1]][: len(own) - words + 1].tolist()
     ends = (ends[words - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)], dtype="<u8")
+    return majority(np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 4096):
         part = np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -60,6 +71,14 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def wide_print(hashes: np.ndarray) -> tuple[int, int]:
+    """A SimHash of 128 bits as two of 64: of the hashes, and of the hashes mixed once more (SplitMix64's finish)."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return majority(hashes), majority((x ^ (x >> np.uint64(31))).astype("<u8"))
+
+
 def fingerprint_column(text: Column, words: int = WORDS) -> Column:
     """The fingerprint as a long with the same bits; a null text is empty."""
 
@@ -231,6 +250,124 @@ def links(prints: DataFrame, largest: int = 20_000) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(within, "a long, b long").distinct()
 
 
+def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of wide fingerprints, an array of two columns: an index of each of two of the six words, 420 keys or so a row."""
+    words = [((p >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for p in prints.T for at, n in SEGMENTS]
+    found = [golay_indices(w) for w in words]
+    rows = np.arange(len(prints))
+    keys, owners = [], []
+    for combo, (i, j) in enumerate(combinations(range(len(words)), 2)):
+        (a, n), (b, m) = found[i], found[j]
+        for c in range(6):
+            for d in range(6):
+                ok = (n > c) & (m > d)
+                keys.append(((combo << 24) | (a[:, c] << 12) | b[:, d])[ok])
+                owners.append(rows[ok])
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def wide_edges(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b), a < b, of ids that connect those of a key that are at most WIDE_BITS bits apart; rows are sorted by key."""
+    prints = prints.view(np.uint64)  # of a negative number the bits of its absolute value would be counted
+    bits = lambda x, y: np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(np.r_[starts, len(keys)])
+    rows = np.repeat(sizes, sizes)
+    ok = (rows > 1) & (rows <= small)
+    k, own, p = keys[ok], ids[ok], prints[ok]
+    out = [np.zeros((0, 2), dtype=np.int64)]
+    for step in range(1, min(small, len(k))):
+        same = np.flatnonzero(k[step:] == k[:-step])
+        if not len(same):
+            break
+        hit = same[bits(p[same], p[same + step]) <= WIDE_BITS]
+        out.append(np.stack([own[hit], own[hit + step]], axis=1))
+    for i in np.flatnonzero(sizes > small):
+        left = np.arange(starts[i], starts[i] + sizes[i])
+        while len(left):
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                at = queue.pop()
+                near = bits(prints[left], prints[at]) <= WIDE_BITS
+                out.append(np.stack([np.full(near.sum(), ids[at]), ids[left[near]]], axis=1))
+                queue += left[near].tolist()
+                left = left[~near]
+    pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+class Spanning:
+    """Of edges as they come, those that connect what was apart. Nodes above most are forgotten, which lets more edges through and loses none."""
+
+    def __init__(self, most: int = 200_000):
+        self.most, self.up = most, {}
+
+    def _root(self, x: int) -> int:
+        up = self.up
+        top = x
+        while (over := up.setdefault(top, top)) != top:
+            top = over
+        while up[x] != top:
+            up[x], x = top, up[x]
+        return top
+
+    def new(self, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        if len(self.up) > self.most:
+            self.up = {}
+        out = []
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            i, j = self._root(x), self._root(y)
+            if i != j:
+                self.up[max(i, j)] = min(i, j)
+                out.append((x, y))
+        pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def candidates(prints: DataFrame, largest: int = 20_000) -> DataFrame:
+    """Edges (a, b), a < b, over prints(set, print, again), that connect sets whose wide fingerprints share a key and differ in WIDE_BITS bits or fewer.
+
+    The sets of a key that has more than largest are all joined to its least one, so no task holds them.
+    """
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
+            for i in range(0, len(own), 1000):
+                part = own[i : i + 1000]
+                keys, rows = wide_keys(part[:, 1:].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(x) for x in part[rows].T)], names=["key", "set", "print", "again"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 4), dtype=np.int64)
+        edges = Spanning().new  # a set has hundreds of keys: a task tells once what they connect
+        hub = None  # (key, set) of a key that has too many to hold
+        for batch in batches:
+            held = np.concatenate([held, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)])
+            if hub is not None:
+                n = int(np.searchsorted(held[:, 0], hub[0], side="right"))
+                yield edges(np.full(n, hub[1]), held[:n, 1])
+                held = held[n:]
+                if not len(held):
+                    continue
+                hub = None
+            if not len(held):
+                continue
+            cut = int(np.searchsorted(held[:, 0], held[-1, 0]))  # the last key may go on
+            if cut:
+                yield edges(*wide_edges(held[:cut, 0], held[:cut, 1], held[:cut, 2:]))
+                held = held[cut:]
+            if len(held) > largest:
+                hub = (held[0, 0], held[0, 1])
+                yield edges(np.full(len(held) - 1, hub[1]), held[1:, 1])
+                held = held[:0]
+        if len(held):
+            yield edges(*wide_edges(held[:, 0], held[:, 1], held[:, 2:]))
+
+    keyed = prints.select("set", "print", "again").mapInArrow(expand, "key long, set long, print long, again long")
+    return keyed.repartition("key").sortWithinPartitions("key", "set").mapInArrow(within, "a long, b long").distinct()
+
+
 def spheres(prints: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all of prints(fp) that are at most four bits apart, through the words within two bits of both."""
     masks = [0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i, j in combinations(range(64), 2))]

@@ -1,17 +1,21 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, exactly.
+"""Near-duplicates by SimHash and Golay-code fuzzy hashing, compared as sets of word shingles; no pair is left to chance.
 
-Two texts are linked if their sets of five-word shingles have a similarity of 0.8 or more: five times
-the overlap is at least four times the union. No pair is left to chance:
+Two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more: five
+times the overlap is at least four times the union.
 
 * A set of n shingles that is linked to another shares all but n // 5 of its shingles. Those that hold
   more that no other set has are put aside, first by a fixed third of all hashes, so that what is
   exchanged for all texts is a third of their shingles.
-* Of the sets that are left, each names its n // 5 + 1 rarest shingles. Linked sets name a common one
-  (prefix filtering), so no linked pair lies across the connected components of "names a common one".
-* The sets of such a component go to one task, which compares them as sets and grows a spanning forest.
-  A component of more than BLOCK shingles is dealt into blocks by the hash of the set, and each pair of
-  blocks is a task. Every link lies within some pair, and the forests of the pairs together connect what
-  the links do, so this is exact as well; each set is sent once for each other block of its component.
+* The sets that are left get wide fingerprints, whose Golay indices name the candidates
+  (golay_simhash.candidates). The sets of a connected component of candidates go to one task, which
+  compares them as sets and grows a spanning forest. That links nearly all that there is to link.
+* Fingerprints bound no similarity, so the pairs that they left apart are looked for exactly: each set
+  names its n // 5 + 1 rarest shingles, and linked sets name a common one (prefix filtering). Only the
+  sets that name one in common with a set of another forest are compared, and only with such sets.
+
+A component of more than BLOCK shingles is dealt into blocks by the hash of the set, and each pair of
+blocks is a task. Every link lies within some pair, and the forests of the pairs together connect what
+the links do, so this is exact as well; each set is sent once for each other block of its component.
 
 Shingles are 64-bit hashes, and a set is known by the hash of its sorted shingles.
 """
@@ -26,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.llm import golay_simhash
 from ridgeline.llm.common import drop_table, materialize, text_batches
 from ridgeline.llm.components import components
 
@@ -58,7 +63,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _sets(texts: DataFrame, words: int, first: int | None) -> DataFrame:
-    """(doc_id, hash, set, n, shingles) of texts(doc_id, hash, text); shingles only below first, if given."""
+    """(doc_id, hash, set, n, shingles) of texts(doc_id, hash, text): shingles only below first, if given, else with the wide fingerprint (print, again)."""
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,13 +71,21 @@ def _sets(texts: DataFrame, words: int, first: int | None) -> DataFrame:
             own = [shingles(x, words) for x in batch.column(2).to_pylist()]
             names = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in own], dtype=np.uint64).view(np.int64)
             parts = own if first is None else [x[: np.searchsorted(x, np.uint64(first))] for x in own]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(list(map(len, own)), pa.int64()), _lists(parts)], names=["doc_id", "hash", "set", "n", "shingles"])
+            columns = {"doc_id": batch.column(0), "hash": batch.column(1), "set": pa.array(names), "n": pa.array(list(map(len, own)), pa.int64()), "shingles": _lists(parts)}
+            if first is None:
+                prints = np.array([golay_simhash.wide_print(x) for x in own], dtype=np.uint64).view(np.int64).reshape(-1, 2)
+                columns |= {"print": pa.array(prints[:, 0]), "again": pa.array(prints[:, 1])}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    more = ", print long, again long" if first is None else ""
+    return texts.select("doc_id", "hash", F.col("text").cast("binary").alias("text")).mapInArrow(cut, f"doc_id {kind}, hash long, set long, n long, shingles array<long>{more}")
 
-    return texts.select("doc_id", "hash", F.col("text").cast("binary").alias("text")).mapInArrow(cut, f"doc_id {kind}, hash long, set long, n long, shingles array<long>")
 
+def forest(names: np.ndarray, roots: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that, with what connects sets of equal roots already, span the graph that links sets of a similarity of 0.8 or more.
 
-def forest(names: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph that links sets of a similarity of 0.8 or more. tokens has the sets one after the other."""
+    tokens has the sets one after the other.
+    """
     codes = np.unique(tokens, return_inverse=True)[1].astype(np.int32)
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
     held = np.zeros(int(codes.max()) + 1, dtype=bool)
@@ -88,8 +101,10 @@ def forest(names: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> list[tup
             both = np.add.reduceat(held[flat], at, dtype=np.int64)
             held[mine] = False
             near = 5 * both >= 4 * (sizes[left] + sizes[own] - both)
+            known = roots[left] == roots[own]
+            out += [(int(names[own]), int(names[x])) for x in left[near & ~known]]
+            near |= known
             if near.any():
-                out += [(int(names[own]), int(names[x])) for x in left[near]]
                 queue += left[near].tolist()
                 flat, left = flat[np.repeat(~near, sizes[left])], left[~near]
                 at = np.r_[0, np.cumsum(sizes[left])[:-1]].astype(np.int64)
@@ -97,20 +112,20 @@ def forest(names: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> list[tup
 
 
 def _within(grouped: DataFrame) -> DataFrame:
-    """Edges (a, b) of the linked sets of grouped(component, set, shingles)."""
+    """Edges (a, b) of the linked sets of different roots of grouped(component, set, root, shingles)."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         now = None
 
         def done() -> Iterator[pa.RecordBatch]:
-            names, sizes, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
-            found = np.array(forest(names, tokens, sizes), dtype=np.int64).reshape(-1, 2)
+            names, roots, tokens, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            found = np.array(forest(names, roots, tokens, sizes), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], names=["a", "b"])
 
         for batch in batches:
-            keys, names = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            lists = batch.column(2)
+            keys, names, roots = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            lists = batch.column(3)
             ends = lists.offsets.to_numpy()
             tokens = lists.values.to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
@@ -121,15 +136,15 @@ def _within(grouped: DataFrame) -> DataFrame:
                     yield from done()
                     held = []
                 now = keys[i]
-                held.append((names[i:j].copy(), np.diff(ends[i : j + 1]).astype(np.int64), tokens[ends[i] : ends[j]].copy()))
+                held.append((names[i:j].copy(), roots[i:j].copy(), tokens[ends[i] : ends[j]].copy(), np.diff(ends[i : j + 1]).astype(np.int64)))
         if held:
             yield from done()
 
-    return grouped.select("component", "set", "shingles").repartition("component").sortWithinPartitions("component", "set").mapInArrow(link, "a long, b long")
+    return grouped.select("component", "set", "root", "shingles").repartition("component").sortWithinPartitions("component", "set").mapInArrow(link, "a long, b long")
 
 
 def _dealt(sets: DataFrame, near: DataFrame, block: int) -> DataFrame:
-    """(component, set, shingles) of near(set, component), with a component of more than block shingles split into one for each pair of its blocks.
+    """(component, set, root, shingles) of near(set, root, component), with a component of more than block shingles split into one for each pair of its blocks.
 
     The splits are found on rows without shingles, so shingles are exchanged by set and by task only.
     """
@@ -140,26 +155,47 @@ def _dealt(sets: DataFrame, near: DataFrame, block: int) -> DataFrame:
     others = F.filter(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda i: i != own)
     others = F.transform(others, lambda i: F.xxhash64("component", F.least(own, i), F.greatest(own, i)))
     keys = F.when(F.col("__blocks").isNull(), F.array("component")).otherwise(others)
-    tasks = narrow.join(blocks, "component", "left").select("set", keys.alias("__tasks"))
-    return sets.join(tasks, "set").select(F.explode("__tasks").alias("component"), "set", "shingles")
+    tasks = narrow.join(blocks, "component", "left").select("set", "root", keys.alias("__tasks"))
+    return sets.join(tasks, "set").select(F.explode("__tasks").alias("component"), "set", "root", "shingles")
 
 
-def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) over sets(set, n, shingles) that connect all that are linked. Edges of a split component may repeat."""
+def print_links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) over sets(set, n, print, again, shingles) that connect the linked sets whose fingerprints make them candidates."""
+    edges = materialize(golay_simhash.candidates(sets), "candidates")
+    near = components(edges).select(F.col("node").alias("set"), F.col("node").alias("root"), "component")
+    drop_table(edges)
+    return _within(_dealt(sets, near, block))
+
+
+def rest_links(sets: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) over sets(set, n, shingles) that connect, with what connects sets of one root of roots(set, root), all that are linked.
+
+    Sets that roots doesn't have are their own.
+    """
     each = sets.select("set", "n", F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
     shared = each.join(often, "shingle").groupBy("set").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("shared"))
     # the rarest are those that no other set has, then these
     take = F.expr("cast(n div 5 + 1 - (n - size(shared)) as int)")
     named = shared.where(take > 0).select("set", F.explode(F.slice("shared", F.lit(1), take)).alias("s")).select("set", "s.shingle")
-    named = materialize(named, "named")
-    # every set is joined to the least one of each shingle: minima combine before the exchange, and a hot shingle's rows can be split
-    least = named.groupBy("shingle").agg(F.min("set").alias("a"), F.max("set").alias("__most")).where("a < __most").drop("__most")
+    named = materialize(named.join(roots, "set", "left").select("set", F.coalesce("root", "set").alias("root"), "shingle"), "named")
+    # every set is joined to the least one of each shingle that sets of several roots name: minima combine before the exchange, and a hot shingle's rows can be split
+    least = named.groupBy("shingle").agg(F.min("set").alias("a"), F.min("root").alias("__least"), F.max("root").alias("__most")).where("__least < __most").select("shingle", "a")
     edges = materialize(named.join(least, "shingle").where("a < set").select("a", F.col("set").alias("b")).distinct(), "shares")
     drop_table(named)
-    near = components(edges).withColumnRenamed("node", "set")
+    near = components(edges).withColumnRenamed("node", "set").join(roots, "set", "left")
     drop_table(edges)
-    return _within(_dealt(sets, near, block))
+    return _within(_dealt(sets, near.select("set", F.coalesce("root", "set").alias("root"), "component"), block))
+
+
+def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) over sets(set, n, print, again, shingles) that connect all that are linked, as a table. Edges of a split component may repeat."""
+    found = materialize(print_links(sets, block), "found")
+    roots = components(found).select(F.col("node").alias("set"), F.col("component").alias("root"))
+    out = materialize(found.union(rest_links(sets, roots, block)), "links")
+    for done in (found, roots):
+        drop_table(done)
+    return out
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -184,8 +220,8 @@ def keep_one(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> DataFra
     some = materialize(some.select(F.col("first.doc_id").alias("__id"), F.col("first.hash").alias("__hash")), "some")
     drop_table(rows)
     again = texts.join(_small(some), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash")), "left_semi")
-    whole = materialize(_sets(again, words, None).dropDuplicates(["set"]).select("set", "n", "shingles"), "whole")
-    edges = materialize(links(whole, block), "links")
+    whole = materialize(_sets(again, words, None).dropDuplicates(["set"]).drop("doc_id", "hash"), "whole")
+    edges = links(whole, block)
     drop_table(whole)
     found = components(edges).withColumnRenamed("node", "set")
     drop_table(edges)

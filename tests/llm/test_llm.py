@@ -388,6 +388,80 @@ def test_near_stage_links_five_word_similarity(spark):
         assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root.values()))
 
 
+def test_near_stage_goes_by_fingerprints_and_loses_nothing(spark, monkeypatch):
+    """Golay candidates find nine of ten links or more, and the rest come without them: with candidates, with none and with one bucket of all."""
+    rng = random.Random(21)
+    texts = []
+    for i in range(60):
+        own = words(rng, rng.randrange(60, 300), 5000).split()
+        texts.append(" ".join(own))
+        for _ in range(i % 3):
+            copy = list(own)
+            for _ in range(max(1, len(own) // 60)):
+                copy[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    df = docs_of(spark, texts)
+    own = [slow_shingles(t) for t in texts]
+    linked = [(i, j) for i in range(len(own)) for j in range(i + 1, len(own)) if 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j])]
+    want = roots(range(len(own)), linked)
+    sets = near_sets._sets(df.selectExpr("doc_id", "doc_id as hash", "text"), near_sets.WORDS, None).cache()
+    of = {r["set"]: r["doc_id"] for r in sets.collect()}
+    found = [(of[r["a"]], of[r["b"]]) for r in near_sets.print_links(sets).collect()]
+    assert {tuple(sorted(x)) for x in found} <= set(linked)
+    got = roots(range(len(own)), found)
+    assert len(linked) > 40 and sum(got[i] == got[j] for i, j in linked) >= 0.9 * len(linked)
+    plain, calls = golay_simhash.candidates, []
+    ways = [plain, lambda prints: plain(prints).limit(0), lambda prints: plain(prints).where("a % 3 = 0"), lambda prints: plain(prints, largest=1)]
+    for way in ways:
+        monkeypatch.setattr(golay_simhash, "candidates", lambda prints, way=way: calls.append(way) or way(prints))
+        assert sorted(r["doc_id"] for r in corpus_pipeline.near_stage(spark, df, None).collect()) == sorted(set(want.values()))
+    assert calls == ways
+
+
+def test_wide_fingerprints_and_their_candidates(spark):
+    rng = np.random.default_rng(22)
+    hashes = rng.integers(0, 1 << 63, 9000).astype(np.uint64)
+
+    def mixed(x):
+        x = (x + 0x9E3779B97F4A7C15) % (1 << 64)
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+        return x ^ x >> 31
+
+    for n in (1, 2, 7, 9000):
+        of = lambda xs: sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in xs) > len(xs))
+        own = hashes[:n].tolist()
+        assert golay_simhash.wide_print(hashes[:n]) == (of(own), of([mixed(x) for x in own]))
+    rows = []
+    for _ in range(80):  # families around a center, some beyond the bits
+        x, y = (int(v) for v in rng.integers(0, 1 << 63, 2))
+        rows += [(x, y)] + [(flipped(rng, x, k), flipped(rng, y, k)) for k in rng.integers(0, 20, int(rng.integers(0, 4)))]
+    center = tuple(int(v) for v in rng.integers(0, 1 << 63, 2))
+    rows += [(flipped(rng, center[0], k % 3), flipped(rng, center[1], k % 2)) for k in range(100)]  # buckets of more than 48
+    prints = np.array(rows, dtype=np.uint64)
+    keys, owners = golay_simhash.wide_keys(prints)
+    named = defaultdict(set)
+    for key, row in zip(keys.tolist(), owners.tolist(), strict=True):
+        assert row not in named[key]
+        named[key].add(row)
+    linked = {(i, j) for own in named.values() for i in own for j in own if i < j and sum((a ^ b).bit_count() for a, b in zip(rows[i], rows[j], strict=True)) <= golay_simhash.WIDE_BITS}
+    df = spark.createDataFrame([(i, *(int(v) for v in p)) for i, p in enumerate(prints.view(np.int64))], "set long, print long, again long")
+    edges = [(r["a"], r["b"]) for r in golay_simhash.candidates(df).collect()]
+    assert set(edges) <= linked and roots(range(len(rows)), edges) == roots(range(len(rows)), linked)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(edges) <= tasks * (len(rows) - len(set(roots(range(len(rows)), linked).values())))  # a spanning forest a task, not a pair a key
+    few = golay_simhash.Spanning(most=10)
+    pairs = np.array(sorted(linked), dtype=np.int64)
+    told = [tuple(r.values()) for i in range(0, len(pairs), 7) for r in few.new(*pairs[i : i + 7].T).to_pylist()]
+    assert len(told) < len(pairs) and roots(range(len(rows)), told) == roots(range(len(rows)), linked)
+    hubs = [(r["a"], r["b"]) for r in golay_simhash.candidates(df, largest=30).collect()]
+    assert all(a < b for a, b in hubs)
+    wide = roots(range(len(rows)), hubs)
+    assert all(wide[i] == wide[j] for i, j in linked)
+    assert golay_simhash.candidates(df.limit(0)).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     rng = random.Random(11)
     names = rng.sample(range(10_000), 300)
