@@ -256,12 +256,12 @@ def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     found = [golay_indices(w) for w in words]
     rows = np.arange(len(prints))
     keys, owners = [], []
-    for combo, (i, j) in enumerate(combinations(range(len(words)), 2)):
+    for i, j in combinations(range(len(words)), 2):
         (a, n), (b, m) = found[i], found[j]
         for c in range(6):
             for d in range(6):
                 ok = (n > c) & (m > d)
-                keys.append(((combo << 24) | (a[:, c] << 12) | b[:, d])[ok])
+                keys.append(((i << 27) | (a[:, c] << 15) | (j << 12) | b[:, d])[ok])
                 owners.append(rows[ok])
     return np.concatenate(keys), np.concatenate(owners)
 
@@ -365,7 +365,8 @@ def candidates(prints: DataFrame, largest: int = 20_000) -> DataFrame:
             yield edges(*wide_edges(held[:, 0], held[:, 1], held[:, 2:]))
 
     keyed = prints.select("set", "print", "again").mapInArrow(expand, "key long, set long, print long, again long")
-    return keyed.repartition("key").sortWithinPartitions("key", "set").mapInArrow(within, "a long, b long").distinct()
+    # dealt by the first word and its index, so that a set's keys meet in 30 tasks at most and each tells once what they connect
+    return keyed.repartition(F.shiftright("key", 15)).sortWithinPartitions("key", "set").mapInArrow(within, "a long, b long").distinct()
 
 
 def spheres(prints: DataFrame) -> DataFrame:
