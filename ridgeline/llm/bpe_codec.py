@@ -4,10 +4,14 @@ Each pretoken is a doubly linked list of symbols with a priority queue of the ra
 that stand side by side. The lowest rank, leftmost first, is merged; queue entries whose symbols
 have changed since they were pushed are stale and skipped. Decoding concatenates the vocabulary's
 byte strings.
+
+Several workers share an executor's memory, so what one holds is bounded: a long text is gone through
+in sections, and the ids of recent pieces are kept in two generations of at most KEPT entries each.
 """
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import json
 from hashlib import sha256
@@ -18,11 +22,16 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ridgeline.llm.pieces import Memo, check_byte_level, chunks, pieces
+from ridgeline.llm.pieces import check_byte_level, pieces, sections
 
 #: The split of byte-level vocabularies (fixed value, from the tokenizer's definition).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Pieces and words whose ids one generation keeps, and the longest that it does.
+KEPT, LONGEST = 150_000, 64
+#: Characters of texts that are encoded at once.
+SECTION = 250_000
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself where it is one, else the next free one from 256 on."""
@@ -42,24 +51,24 @@ class BpeCodec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.vocab: dict[str, int] = dict(model["vocab"])
+        vocab: dict[str, int] = model["vocab"]
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special = added
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         symbols = byte_symbols()
-        self.first = [self.vocab[s] for s in symbols]
+        self.first = [vocab[s] for s in symbols]
         byte_of = {s: i for i, s in enumerate(symbols)}
         self.strings: dict[int, bytes] = {}
-        for token, i in (self.vocab | added).items():
+        for token, i in (vocab | added).items():
             known = all(c in byte_of for c in token)
             self.strings[i] = bytes(byte_of[c] for c in token) if known else token.encode()
         self.pattern = regex.compile(PATTERN)
-        self.words: dict[str, list[int]] = {}
-        self.memo = Memo(self._of_pieces)
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one pretoken."""
@@ -88,35 +97,59 @@ class BpeCodec:
                 heapq.heappush(queue, (m[0], h, m[1], ids[h], made))
         return [x for x in ids if x is not None]
 
-    def _of_pieces(self, new: list[str]) -> list[list[int]]:
-        out = []
-        for piece in new:
-            ids: list[int] = []
-            for part in self.split_special.split(piece) if self.split_special and "<" in piece else (piece,):
-                if part in self.special:
-                    ids.append(self.special[part])
-                    continue
-                for word in self.pattern.findall(part):
-                    known = self.words.get(word)
-                    if known is None:
-                        known = self.merge(word.encode())
-                        if len(word) <= 32 and len(self.words) < 200_000:
-                            self.words[word] = known
-                    ids += known
-            out.append(ids)
-        return out
+    def _known(self, text: str) -> tuple[int, ...] | None:
+        """The ids of a piece or word that was seen lately; it stays for another generation."""
+        if (ids := self.young.get(text)) is None and (ids := self.old.get(text)) is not None:
+            self._keep(text, ids)
+        return ids
+
+    def _keep(self, text: str, ids: tuple[int, ...]) -> None:
+        if len(text) <= LONGEST:
+            if len(self.young) >= KEPT:
+                self.young, self.old = {}, self.young
+            self.young[text] = ids
+
+    def _of_piece(self, piece: str) -> tuple[int, ...]:
+        ids: list[int] = []
+        for part in self.split_special.split(piece) if self.split_special and "<" in piece else (piece,):
+            if part in self.special:
+                ids.append(self.special[part])
+                continue
+            for word in self.pattern.findall(part):
+                if (known := self._known(word)) is None:
+                    known = tuple(self.merge(word.encode()))
+                    if word != piece:
+                        self._keep(word, known)
+                ids += known
+        return tuple(ids)
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         cut = [pieces(x) for x in texts]
-        ids = self.memo(cut)
+        ids: dict[str, tuple[int, ...]] = {}
+        for piece in set().union(*cut):
+            if (own := self._known(piece)) is None:
+                own = self._of_piece(piece)
+                self._keep(piece, own)
+            ids[piece] = own
         return [list(chain.from_iterable(map(ids.__getitem__, c))) for c in cut]
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_batch([text])[0]
+        return list(chain.from_iterable(self.encode_batch([x])[0] for x in sections(text, SECTION)))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """The number of ids, the sha256 of the decimal ids joined by commas, and that of the decoded text; a section at a time."""
+        n, of_ids, of_text, decoder = 0, sha256(), sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+        for section in sections(text, SECTION):
+            ids = self.encode_batch([section])[0]
+            of_ids.update(("," * (n > 0 and len(ids) > 0) + ",".join(map(str, ids))).encode())
+            of_text.update(decoder.decode(b"".join(map(self.strings.__getitem__, ids))).encode())
+            n += len(ids)
+        of_text.update(decoder.decode(b"", True).encode())
+        return n, of_ids.hexdigest(), of_text.hexdigest()
+
 
 _codecs: dict[str, BpeCodec] = {}
 
@@ -134,7 +167,7 @@ def encode_column(text: Column, path: str) -> Column:
     @F.pandas_udf("array<int>")
     def ids(batches: pd.Series) -> pd.Series:
         own = codec(path)
-        return pd.Series([x for c in chunks(batches.fillna("").tolist()) for x in own.encode_batch(c)])
+        return pd.Series([own.encode(x) for x in batches.fillna("")])
 
     return ids(text)
 
@@ -159,10 +192,8 @@ def round_trip_column(text: Column, path: str) -> Column:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(batches: pd.Series) -> pd.DataFrame:
-        own, rows = codec(path), []
-        for c in chunks(batches.fillna("").tolist()):
-            for ids in own.encode_batch(c):
-                rows.append((len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256(own.decode(ids).encode()).hexdigest()))
+        own = codec(path)
+        rows = [own.digests(x) for x in batches.fillna("")]
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digests(text)

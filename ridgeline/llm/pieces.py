@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable
 
 ADJACENT = re.compile(r"\s\s")
 BLANK = re.compile(r"(?<=\S)(?= \S)")
+BREAK = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 def check_byte_level(path: str) -> None:
@@ -35,6 +36,15 @@ def pieces(text: str) -> list[str]:
     return [p for p in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if p]
 
 
+def sections(text: str, chars: int) -> Iterable[str]:
+    """Consecutive parts of a text, each cut at the first place after so many characters where it may be cut."""
+    start = 0
+    while len(text) - start > chars and (at := BREAK.search(text, start + chars)):
+        yield text[start : at.start()]
+        start = at.start()
+    yield text[start:]
+
+
 class Memo:
     """What a function of lists of distinct pieces gives, kept for at most limit pieces."""
 

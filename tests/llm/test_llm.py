@@ -6,6 +6,7 @@ import math
 import random
 import textwrap
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ridgeline.llm import bit_packing, bpe_codec, components, golay_simhash, histogram_sort, line_dedup, m_tree, near_sets, quality_rules, queries, secret_scan, source_mix, token_counts
-from ridgeline.llm.pieces import Memo, pieces
+from ridgeline.llm.pieces import Memo, pieces, sections
 
 GPT = queries.tokenizer_path("byte_bpe_50k.json")
 WORD = queries.tokenizer_path("word_bpe_49k.json")
@@ -59,6 +60,31 @@ def test_codec_equals_the_library(library):
         assert ids == want and own.decode(ids) == library[GPT].decode(want, skip_special_tokens=False) == text
 
 
+def test_codec_holds_little_of_a_long_text_of_rare_words(library):
+    rng, own = random.Random(31), bpe_codec.BpeCodec(GPT)
+    text = " ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(120_000))
+    tracemalloc.start()
+    try:
+        ids = own.encode(text)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert ids == library[GPT].encode(text, add_special_tokens=False).ids
+    assert peak < 40_000_000
+
+
+def test_codec_sections_and_generations_stay_right(library, monkeypatch):
+    monkeypatch.setattr(bpe_codec, "SECTION", 40)
+    monkeypatch.setattr(bpe_codec, "KEPT", 30)
+    own = bpe_codec.BpeCodec(GPT)
+    for text in [t for t in ODD if t is not None] + noise(400, 32) + ["a\nb c " * 30, "x" * 100 + " y\n\nz<|endoftext|> \t q\nr" * 9, "é\u2003 ü\n" * 40]:
+        assert "".join(sections(text, 40)) == text
+        ids = library[GPT].encode(text, add_special_tokens=False).ids
+        assert own.encode(text) == own.encode_batch([text])[0] == ids
+        assert own.digests(text) == (len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256(text.encode()).hexdigest())
+        assert len(own.young) <= 30 and len(own.old) <= 30
+
+
 def test_decoding_broken_bytes_equals_the_library(library):
     rng, own = random.Random(2), bpe_codec.BpeCodec(GPT)
     for _ in range(300):
