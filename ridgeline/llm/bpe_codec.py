@@ -6,7 +6,8 @@ have changed since they were pushed are stale and skipped. Decoding concatenates
 byte strings.
 
 Several workers share an executor's memory, so what one holds is bounded: a long text is gone through
-in sections, and the ids of recent pieces are kept in two generations of at most KEPT entries each.
+in sections, and the ids of recent pieces are kept in two generations of KEPT entries, and at most
+those of a section more, each.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+from collections.abc import Iterable, Iterator
 from hashlib import sha256
 from itertools import chain
 
@@ -22,7 +24,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ridgeline.llm.pieces import check_byte_level, pieces, sections
+from ridgeline.llm.pieces import check_byte_level, chunks, pieces, sections
 
 #: The split of byte-level vocabularies (fixed value, from the tokenizer's definition).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -66,6 +68,7 @@ class BpeCodec:
         for token, i in (vocab | added).items():
             known = all(c in byte_of for c in token)
             self.strings[i] = bytes(byte_of[c] for c in token) if known else token.encode()
+        self.decimal = {i: str(i) for i in self.strings}
         self.pattern = regex.compile(PATTERN)
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
@@ -97,18 +100,6 @@ class BpeCodec:
                 heapq.heappush(queue, (m[0], h, m[1], ids[h], made))
         return [x for x in ids if x is not None]
 
-    def _known(self, text: str) -> tuple[int, ...] | None:
-        """The ids of a piece or word that was seen lately; it stays for another generation."""
-        if (ids := self.young.get(text)) is None and (ids := self.old.get(text)) is not None:
-            self._keep(text, ids)
-        return ids
-
-    def _keep(self, text: str, ids: tuple[int, ...]) -> None:
-        if len(text) <= LONGEST:
-            if len(self.young) >= KEPT:
-                self.young, self.old = {}, self.young
-            self.young[text] = ids
-
     def _of_piece(self, piece: str) -> tuple[int, ...]:
         ids: list[int] = []
         for part in self.split_special.split(piece) if self.split_special and "<" in piece else (piece,):
@@ -116,35 +107,48 @@ class BpeCodec:
                 ids.append(self.special[part])
                 continue
             for word in self.pattern.findall(part):
-                if (known := self._known(word)) is None:
-                    known = tuple(self.merge(word.encode()))
-                    if word != piece:
-                        self._keep(word, known)
+                if (known := self.young.get(word)) is None:
+                    if (known := self.old.get(word)) is None:
+                        known = tuple(self.merge(word.encode()))
+                    if len(word) <= LONGEST:
+                        self.young[word] = known
                 ids += known
         return tuple(ids)
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         cut = [pieces(x) for x in texts]
-        ids: dict[str, tuple[int, ...]] = {}
-        for piece in set().union(*cut):
-            if (own := self._known(piece)) is None:
-                own = self._of_piece(piece)
-                self._keep(piece, own)
-            ids[piece] = own
-        return [list(chain.from_iterable(map(ids.__getitem__, c))) for c in cut]
+        new = set().union(*cut).difference(self.young)
+        for piece in new:
+            if (ids := self.old.get(piece)) is None:
+                ids = self._of_piece(piece)
+            self.young[piece] = ids
+        out = [list(chain.from_iterable(map(self.young.__getitem__, c))) for c in cut]
+        for piece in new:
+            if len(piece) > LONGEST:
+                del self.young[piece]
+        if len(self.young) >= KEPT:
+            self.young, self.old = {}, self.young
+        return out
+
+    def parts(self, texts: list[str]) -> Iterator[Iterable[list[int]]]:
+        """Of each text its ids, a section at a time if it is long; each text's are to be read before the next one's."""
+        for some in chunks(texts, SECTION):
+            if len(some) > 1:
+                yield from ([ids] for ids in self.encode_batch(some))
+            else:
+                yield (self.encode_batch([x])[0] for x in sections(some[0], SECTION))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.encode_batch([x])[0] for x in sections(text, SECTION)))
+        return list(chain.from_iterable(next(self.parts([text]))))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """The number of ids, the sha256 of the decimal ids joined by commas, and that of the decoded text; a section at a time."""
+    def digests(self, parts: Iterable[list[int]]) -> tuple[int, str, str]:
+        """The number of a text's ids, the sha256 of the decimal ids joined by commas, and that of the decoded text."""
         n, of_ids, of_text, decoder = 0, sha256(), sha256(), codecs.getincrementaldecoder("utf-8")("replace")
-        for section in sections(text, SECTION):
-            ids = self.encode_batch([section])[0]
-            of_ids.update(("," * (n > 0 and len(ids) > 0) + ",".join(map(str, ids))).encode())
+        for ids in parts:
+            of_ids.update(("," * (n > 0 and len(ids) > 0) + ",".join(map(self.decimal.__getitem__, ids))).encode())
             of_text.update(decoder.decode(b"".join(map(self.strings.__getitem__, ids))).encode())
             n += len(ids)
         of_text.update(decoder.decode(b"", True).encode())
@@ -167,7 +171,7 @@ def encode_column(text: Column, path: str) -> Column:
     @F.pandas_udf("array<int>")
     def ids(batches: pd.Series) -> pd.Series:
         own = codec(path)
-        return pd.Series([own.encode(x) for x in batches.fillna("")])
+        return pd.Series([list(chain.from_iterable(x)) for x in own.parts(batches.fillna("").tolist())])
 
     return ids(text)
 
@@ -193,7 +197,7 @@ def round_trip_column(text: Column, path: str) -> Column:
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(batches: pd.Series) -> pd.DataFrame:
         own = codec(path)
-        rows = [own.digests(x) for x in batches.fillna("")]
+        rows = [own.digests(x) for x in own.parts(batches.fillna("").tolist())]
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digests(text)
