@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MAX_SPEED, LOCKED, MAX_DOP = 30.0, 1.5, 6.0
-GRADE_FLOOR, GRADE_OF_SPEED, GRADE_UNKNOWN = 0.35, 0.6, 3.0
+GRADE_FLOOR, GRADE_OF_SPEED, GRADE_UNKNOWN = Decimal("0.35"), Decimal("0.6"), Decimal("3.0")
 
 
 def plausible_speed(v: Column) -> Column:
@@ -31,8 +33,9 @@ def dop_gate(value: Column, dop: Column, fix: Column | None = None) -> Column:
 
 
 def bound_by_speed(grade: Column, speed: Column) -> Column:
-    """The grade if the speed allows it: at most the greater of 0.35 and 0.6 of the speed, or 3 where that is unknown."""
-    most = F.greatest(F.lit(GRADE_FLOOR), F.coalesce(F.abs(speed) * GRADE_OF_SPEED, F.lit(GRADE_UNKNOWN)))
+    """The grade if the speed allows it: at most the greater of 0.35 and 0.6 of the speed, or 3 where that is unknown. The
+    limits are decimals, so that 0.6 of a decimal speed is exact; that of a double is a double."""
+    most = F.greatest(F.lit(GRADE_FLOOR), F.coalesce(F.abs(speed) * F.lit(GRADE_OF_SPEED), F.lit(GRADE_UNKNOWN)))
     return F.when(F.abs(grade) <= most, grade)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import clock, media, numbers
 from ridgeline.operators import gates
 from ridgeline.plans import mapping as m
-from ridgeline.plans.registry import query, r6, read
+from ridgeline.plans.registry import query, r6, r6_binary, read
 from ridgeline.sources import payloads
 
 _FIX = m.SAMPLES + ", fixes AS (SELECT asset, event_id, t, value, CASE WHEN asset % 3 = 0 THEN NULL WHEN asset % 3 = 1 THEN k % 2 * 1.0 ELSE k % 4 * 1.0 END AS fix, CASE WHEN k % 5 = 0 THEN NULL ELSE k % 12 * 1.0 END AS dop FROM samples)"
@@ -35,9 +36,10 @@ def dop_gate(spark, d):
 
 @query("bound_by_speed", f"WITH {_FIX}, g AS (SELECT asset, (value - 245) / 60 AS grade, dop AS speed FROM fixes), b AS (SELECT asset, grade, CASE WHEN abs(grade) <= greatest(0.35, coalesce(abs(speed) * 0.6, 3.0)) THEN grade END AS kept FROM g) SELECT asset, count(kept) AS kept, round(sum(kept), 6) AS total, round(count(*) FILTER (grade IS NOT NULL AND kept IS NULL) / count(grade), 6) AS rejected FROM b GROUP BY asset")
 def bound_by_speed(spark, d):
-    g = _fixes(spark, d).select("asset", ((F.col("value") - 245) / 60).alias("grade"), F.col("dop").alias("speed"))
+    g = _fixes(spark, d).select("asset", ((F.col("value") - 245) / 60).alias("grade"), F.col("dop").cast("decimal(21,1)").alias("speed"))
     b = g.withColumn("kept", gates.bound_by_speed(F.col("grade"), F.col("speed")))
-    return b.groupBy("asset").agg(F.count("kept").alias("n"), F.round(F.sum("kept"), 6).alias("total"), F.round(gates.rejected_share(F.col("grade"), F.col("kept")), 6).alias("rejected")).withColumnRenamed("n", "kept")
+    share = F.coalesce(gates.rejected_share(F.col("grade"), F.col("kept")), F.lit(math.nan))  # the SQL's 0 / 0
+    return b.groupBy("asset").agg(F.count("kept").alias("n"), r6_binary(F.sum("kept")).alias("total"), r6_binary(share).alias("rejected")).withColumnRenamed("n", "kept")
 
 
 @query(

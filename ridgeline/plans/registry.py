@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,5 +26,10 @@ def r6(column, name: str | None = None):
     return F.round(c, 6).alias(name or column)
 
 
+def r6_binary(c: Column) -> Column:
+    """c to six digits as DuckDB rounds a double: the scaled binary value, so 0.0640625, a little less there, goes down."""
+    return F.round(c * 1e6) / 1e6
+
+
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
