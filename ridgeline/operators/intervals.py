@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 
-def _cells(lo: Column, hi: Column, width: float) -> Column:
+def _cells(lo: Column, hi: Column, width: float | Column) -> Column:
     return F.explode(F.sequence(F.floor(lo / width).cast("long"), F.floor(hi / width).cast("long")))
 
 
@@ -49,14 +49,31 @@ def overlaps(spans: DataFrame, asset: str, key: str, start: str, end: str, gap:
     return a.join(b, [asset, "__cell"]).where((F.col("a") < F.col("b")) & meet & (F.col("__cell") == first)).select(asset, "a", "b")
 
 
+#: How often spatial_nearest takes a quarter of the radius at most.
+QUARTERINGS = 2
+
+
 def spatial_nearest(points: DataFrame, targets: DataFrame, key: str, radius: float) -> DataFrame:
-    """points(key, x, y) with the nearest target(target, x, y) within the radius, by cells of that size: nine for each target."""
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    near = targets.select("target", F.col("x").alias("__tx"), F.col("y").alias("__ty"), cell("x").alias("__cx"), cell("y").alias("__cy"), around.alias("__o"))
-    near = near.select("target", "__tx", "__ty", (F.col("__cx") + F.col("__o.i")).alias("__cx"), (F.col("__cy") + F.col("__o.j")).alias("__cy"))
+    """points(key, x, y) with the nearest target(target, x, y) within the radius, the least target of equally near ones.
+
+    A point's reach is the radius, or a quarter or a sixteenth of it if one target of the point's own square is that near. Targets are
+    in tiles of every reach and a point names those that its own reach touches, so dense places make few pairs. The joins are merged by
+    hint: Spark doesn't see that rows multiply, and would broadcast them all."""
+    n, reach = F.col("__n"), radius / F.pow(F.lit(4.0), F.col("__n"))
+    reaches = lambda least: F.explode(F.sequence(F.lit(least), F.lit(QUARTERINGS))).alias("__n")
+    cells = lambda x, y, width: {"__cx": F.floor(F.col(x) / width), "__cy": F.floor(F.col(y) / width)}
     far = F.sqrt((F.col("x") - F.col("__tx")) ** 2 + (F.col("y") - F.col("__ty")) ** 2)
-    pairs = points.withColumn("__cx", cell("x")).withColumn("__cy", cell("y")).join(near, ["__cx", "__cy"]).withColumn("distance", far).where(F.col("distance") <= radius)
+    spots = targets.groupBy(F.col("x").alias("__tx"), F.col("y").alias("__ty")).agg(F.min("target").alias("target"))
+
+    side = reach * 0.7  # its diagonal is within reach
+    some = spots.select("__tx", "__ty", reaches(1)).withColumns(cells("__tx", "__ty", side)).groupBy("__n", "__cx", "__cy").agg(F.first("__tx").alias("__tx"), F.first("__ty").alias("__ty"))
+    squares = points.select(key, "x", "y", reaches(1)).withColumns(cells("x", "y", side)).join(some.hint("merge"), ["__n", "__cx", "__cy"], "left")
+    own = squares.groupBy(key, "x", "y").agg(F.coalesce(F.max(F.when(far <= reach, n)), F.lit(0)).alias("__n"))
+
+    tiles = spots.select("target", "__tx", "__ty", reaches(0)).withColumns(cells("__tx", "__ty", 2 * reach))
+    more = reach * (1 + 1e-9)  # a distance may have been rounded down to the reach
+    touched = own.withColumn("__cx", _cells(F.col("x") - more, F.col("x") + more, 2 * reach)).withColumn("__cy", _cells(F.col("y") - more, F.col("y") + more, 2 * reach))
+    pairs = touched.join(tiles.hint("merge"), ["__n", "__cx", "__cy"]).withColumn("distance", far).where(F.col("distance") <= reach)
     return pairs.groupBy(key).agg(F.min_by("target", F.struct("distance", "target")).alias("target"), F.min("distance").alias("distance"))
 
 

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import random
 
 import duckdb
 import pyarrow as pa
@@ -9,6 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from ridgeline import plans
+from ridgeline.operators import intervals
 
 
 def same(spark, d, name, tables):
@@ -38,3 +40,62 @@ def test_a_grade_at_the_limit_of_its_speed_is_kept(spark, tmp_path, k, value):
 def test_the_rejected_share_is_rounded_as_in_sql(spark, tmp_path):
     rows = [(1, 600.0, 1)] * 41 + [(1, 245.0, 1)] * 599 + [(2, None, 1)]
     assert [r[3] for r in same(spark, tmp_path, "bound_by_speed", {"events": events(rows)})] == [0.064062, "nan"]
+
+
+def near(spark, points, targets, radius):
+    """spatial_nearest's rows; points and targets are (key, x, y)."""
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, x double, y double")
+    return sorted(map(tuple, intervals.spatial_nearest(frame(points, "id"), frame(targets, "target"), "id", radius).collect()))
+
+
+def nearest(points, targets, radius):
+    """The same by all pairs."""
+    pairs = ((i, math.sqrt((x - a) ** 2 + (y - b) ** 2), t) for i, x, y in points for t, a, b in targets if None not in (x, y, a, b))
+    best = {}
+    for i, far, t in pairs:
+        if far <= radius and (i not in best or (far, t) < best[i]):
+            best[i] = far, t
+    return sorted((i, t, far) for i, (far, t) in best.items())
+
+
+def test_nearest_targets_are_those_of_all_pairs(spark):
+    dice = random.Random(7)
+    at = lambda n, wide: [(dice.choice([1, 1, 1, 30]) * dice.uniform(-wide, wide), dice.uniform(-wide, wide)) for _ in range(n)]
+    grid = [(20.0 * i, 1.25 * j) for i in range(-3, 4) for j in range(-3, 4)]
+    points = [(i % 290, *p) for i, p in enumerate([*at(100, 3), *at(150, 90), *grid, (None, 1.0), (1e15, -1e15)])]
+    targets = [(500 - i // 2, *p) for i, p in enumerate([*at(60, 2), *at(60, 90), *grid, *grid, (20.0, 0.0), (1.0, None), (1e15, -1e15)])]
+    assert near(spark, points, targets, 20.0) == nearest(points, targets, 20.0)
+    assert near(spark, points, targets, 1.25) == nearest(points, targets, 1.25)
+
+
+def test_a_target_at_the_radius_counts(spark):
+    assert near(spark, [(1, 0.0, 0.0), (2, -0.1, 0.0), (3, 5.0, 0.0)], [(9, 12.0, 16.0), (8, 20.0, 0.0), (7, -15.0, 0.0)], 20.0) == [(1, 7, 15.0), (2, 7, 14.9), (3, 8, 15.0)]
+    assert near(spark, [(1, 0.0, 0.0)], [(9, 12.0, 16.0), (8, 20.0, 0.0)], 20.0) == [(1, 8, 20.0)]
+
+
+def test_targets_are_not_broadcast(spark, sf_dir):
+    plan = plans.QUERIES["spatial_nearest"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_dense_targets_make_few_pairs(spark):
+    """900 points among 900 targets a unit apart: the pairs within 20 are 571,120."""
+    spots = [(i, float(i % 30), float(i // 30)) for i in range(900)]
+    frame = lambda key: spark.createDataFrame(spots, f"{key} long, x double, y double")
+    out = intervals.spatial_nearest(frame("id"), frame("target"), "id", 20.0)
+    assert sorted(map(tuple, out.collect())) == [(i, i, 0.0) for i in range(900)]
+    assert joined(out) < 30_000
+
+
+def joined(out):
+    """The most rows that a join of a frame, just collected, made."""
+    plan, most = out._jdf.queryExecution().executedPlan(), 0
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        inner = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if node.nodeName().endswith("QueryStage") else []
+        children = node.children()
+        todo += inner + [children.apply(i) for i in range(children.size())]
+    return most
