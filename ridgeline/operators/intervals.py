@@ -39,14 +39,30 @@ def within_any(points: DataFrame, spans: DataFrame, asset: str, t: str, start: s
     return placed.join(cells.alias("s"), same, "left_semi").drop("__cell")
 
 
+#: Spans that touch a cell are dealt into blocks of about so many.
+BLOCK = 5_000
+
+
 def overlaps(spans: DataFrame, asset: str, key: str, start: str, end: str, gap: float = 0.0, width: float = 30.0) -> DataFrame:
-    """(asset, a, b), a < b, of spans that overlap or are less than the gap apart. Each pair is found in the first cell both touch."""
-    cells = spans.select(asset, key, start, end, _cells(F.col(start) - gap, F.col(end) + gap, width).alias("__cell"))
-    a = cells.select(asset, "__cell", F.col(key).alias("a"), F.col(start).alias("__as"), F.col(end).alias("__ae"))
-    b = cells.select(asset, "__cell", F.col(key).alias("b"), F.col(start).alias("__bs"), F.col(end).alias("__be"))
-    first = F.greatest(F.floor((F.col("__as") - gap) / width), F.floor((F.col("__bs") - gap) / width))
-    meet = (F.col("__as") < F.col("__be") + gap) & (F.col("__bs") - gap < F.col("__ae"))
-    return a.join(b, [asset, "__cell"]).where((F.col("a") < F.col("b")) & meet & (F.col("__cell") == first)).select(asset, "a", "b")
+    """(asset, a, b), a < b, of spans that overlap or are less than the gap apart.
+
+    Less its gap, the later start of a pair lies in the earlier span, so a pair is found once: in the cell of that start, by the block
+    of the earlier span. A block is all that a task must hold. The result grows with the square of the spans that meet, which rows
+    and bytes of the join's input don't show: its partitions are numbered, so that adaptive execution doesn't merge them."""
+    n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = spans.select(asset, F.col(key).alias("__k"), F.col(start).alias("__s"), F.col(end).alias("__e"), (F.col(start) - gap).alias("__from"), (F.col(end) + gap).alias("__upto"))
+    touching = own.where(F.col("__e") >= F.col("__from")).withColumn("__cell", _cells(F.col("__from"), F.col("__e"), width))
+    blocks = touching.groupBy(asset, "__cell").agg(F.ceil(F.count("*") / BLOCK).alias("__blocks")).hint("merge")
+    dealt = lambda df, block: df.join(blocks, [asset, "__cell"]).withColumn("__block", block).drop("__blocks").repartition(n, asset, "__cell", "__block")
+    later = dealt(own.withColumn("__cell", F.floor(F.col("__from") / width)), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1))).alias("l")
+    holding = dealt(touching, F.pmod(F.xxhash64("__k"), F.col("__blocks"))).alias("h")
+
+    l, h = (lambda c: F.col(f"l.__{c}")), (lambda c: F.col(f"h.__{c}"))  # noqa: E731, E741
+    lesser = l("k") < h("k")
+    after = (l("from") > h("from")) | ((l("from") == h("from")) & ~lesser)
+    meet = F.when(lesser, (l("s") < h("upto")) & (h("from") < l("e"))).otherwise((h("s") < l("upto")) & (l("from") < h("e")))
+    same = [F.col(f"l.{c}") == F.col(f"h.{c}") for c in (asset, "__cell", "__block")]
+    return later.join(holding.hint("merge"), [*same, l("k") != h("k"), after, meet]).select(F.col(f"l.{asset}").alias(asset), F.least(l("k"), h("k")).alias("a"), F.greatest(l("k"), h("k")).alias("b"))
 
 
 #: How often spatial_nearest takes a quarter of the radius at most.

@@ -8,6 +8,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from ridgeline import plans
 from ridgeline.operators import intervals
@@ -99,3 +100,28 @@ def joined(out):
         children = node.children()
         todo += inner + [children.apply(i) for i in range(children.size())]
     return most
+
+
+def spans_of(spark, rows):
+    return spark.createDataFrame(rows, "asset string, id long, s double, e double")
+
+
+@pytest.mark.parametrize("block", [4, 5_000])
+@pytest.mark.parametrize("gap", [0.0, 0.7])
+def test_overlaps_are_those_of_all_pairs(spark, monkeypatch, block, gap):
+    monkeypatch.setattr(intervals, "BLOCK", block, raising=False)
+    dice = random.Random(3)
+    starts = [round(dice.choice([dice.uniform(-9, 9), dice.uniform(-90, 90), 6.0]), 1) for _ in range(160)]
+    rows = [(dice.choice(["x", "x", "y", None]), i, s, round(s + dice.choice([0.0, 0.1, 3.0, 10.0, 70.0, -2.0]), 1)) for i, s in enumerate(starts)]
+    rows += [("y", 900, None, 3.0), ("y", 901, 3.0, None), ("y", None, 3.0, 4.0), ("y", 5, 6.0, 7.0)]
+    dice.shuffle(rows)
+    meet = lambda p, q: p[0] == q[0] is not None and None not in p + q and p[1] < q[1] and p[2] < q[3] + gap and q[2] - gap < p[3]
+    want = sorted((p[0], p[1], q[1]) for p in rows for q in rows if meet(p, q))
+    assert len(want) > 500 and sorted(map(tuple, intervals.overlaps(spans_of(spark, rows), "asset", "id", "s", "e", gap=gap, width=3.0).collect())) == want
+
+
+def test_pairs_of_one_moment_are_made_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "BLOCK", 20, raising=False)
+    out = intervals.overlaps(spans_of(spark, [("x", i, 1.0, 2.0 + i) for i in range(400)]), "asset", "id", "s", "e")
+    made = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+    assert sum(made) == 400 * 399 // 2 and len(made) == 4
